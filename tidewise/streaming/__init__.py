@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The forecasting workflow this library rebuilds is bounded batch only: it has no
+stream source, watermark, event-time window or stateful operator, and its
+"time segments" are blocks of forecast horizons, not stream windows. Every
+operator here works on bounded DataFrames.
+"""
