@@ -115,3 +115,82 @@ def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
     """(fold, segment, n, mse) of the Last forecaster: one job, no loop."""
     preds = backtest_predictions(df, roles, n_pred, group, n_folds, ("Last",), unit)
     return backtest_scores(preds, ["fold", "segment"], roles)
+
+
+# --------------------------------------------------------------------------
+# Refitting chosen models
+# --------------------------------------------------------------------------
+def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int,
+                                n_folds: int, params_by_model: dict[tuple[str, int], dict],
+                                unit: str = "day", threads: int = 4) -> DataFrame:
+    """Refit the forest of each (segment, horizon) in ``params_by_model`` on
+    the rows up to each fold's end of training and predict its time group.
+
+    One distributed fit per (fold, segment, horizon), run from a small driver
+    thread pool; predictions stay lazy and are unioned into one DataFrame.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+
+    from tidewise.operators import forest as fr
+    from tidewise.plans.train import forest_features, horizon_frame
+
+    group = check_grouping(n_pred, group)
+    horizons = horizon_list(n_pred, group)
+    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    tests = backtest_tests(frame)
+    tasks = [(k, seg, h) for k in range(n_folds) for (seg, h) in sorted(params_by_model)]
+
+    def run(task):
+        k, seg, h = task
+        grid = horizon_frame(frame.filter(F.col("segment") == seg), horizons, h)
+        feats = forest_features(grid, roles)
+        train = grid.filter(F.col("train_from") <= k)
+        model = fr.fit_forest(train, roles, params_by_model[(seg, h)], feats)
+        test = horizon_frame(tests.filter((F.col("segment") == seg) & (F.col("fold") == k)
+                                          & (F.col("predict_horizon") == h)), horizons, h)
+        return fr.predict(model, test, roles, keep=["fold", "predict_horizon", "segment",
+                                                    "beyond"])
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
+        preds = list(ex.map(run, tasks))
+    out = preds[0]
+    for p in preds[1:]:
+        out = out.unionByName(p)
+    return out.select(F.lit("RandomForest").alias("model"), "fold", "predict_horizon",
+                      "segment", roles.id, roles.time, roles.target, "prediction", "beyond")
+
+
+def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
+             winners: DataFrame, unit: str = "day", threads: int = 4) -> dict[str, DataFrame]:
+    """Backtest the chosen model of each (segment, horizon).
+
+    ``winners``: ``best_models`` rows (segment, predict_horizon, model, params).
+    Baseline winners are predicted in one job and kept by a semi join on the
+    winners; forest winners are refitted (their rows drive the fits, one per
+    model, so only they reach the driver). Returns ``predictions`` and
+    ``fold_scores`` (per fold over all segments and horizons, as the
+    reference reports them).
+    """
+    import json
+
+    group = check_grouping(n_pred, group)
+    keys = ["segment", "predict_horizon", "model"]
+    w = winners.select(*keys, "params")
+    is_forest = F.col("model") == "RandomForest"
+    base_models = sorted(r[0] for r in w.filter(~is_forest).select("model").distinct().collect())
+    parts = []
+    if base_models:
+        p = backtest_predictions(df, roles, n_pred, group, n_folds, tuple(base_models), unit)
+        parts.append(p.join(w.filter(~is_forest).select(*keys), keys, "left_semi"))
+    forest = {(r["segment"], int(r["predict_horizon"])): json.loads(r["params"] or "{}")
+              for r in w.filter(is_forest).collect()}
+    if forest:
+        parts.append(forest_backtest_predictions(df, roles, n_pred, group, n_folds, forest,
+                                                 unit, threads))
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
+    return {"predictions": preds, "fold_scores": backtest_scores(preds, ["fold"], roles)}

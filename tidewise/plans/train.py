@@ -135,3 +135,105 @@ def mean_cv_predictions(df: DataFrame, roles: Roles, model: str, n_folds: int, n
             .select("segment", roles.id, roles.time, roles.target,
                     F.col("test_fold").alias("fold")))
     return mean_predictions(test, folded, roles, model, n_folds)
+
+
+# --------------------------------------------------------------------------
+# Forest search
+# --------------------------------------------------------------------------
+FOREST = "RandomForest"
+FOREST_SCORE_SCHEMA = ("segment string, predict_horizon bigint, model string, candidate bigint, "
+                       "fold bigint, n bigint, mse double, params string")
+
+
+def horizon_frame(folded: DataFrame, horizons: list[int], h: int) -> DataFrame:
+    """The grid of one horizon: its lag becomes ``last``, other lags go."""
+    from tidewise.operators.lags import lag_name
+    return folded.withColumn("last", F.col(lag_name(h))).drop(*[lag_name(x) for x in horizons])
+
+
+def forest_features(frame: DataFrame, roles: Roles) -> list[str]:
+    from tidewise.operators.forest import feature_columns
+    exclude = ["test_fold", "train_from", "tests", "beyond", "fold", "predict_horizon"]
+    if roles.segment != "segment":
+        exclude.append("segment")  # the added label; the configured column stays
+    return feature_columns(frame, roles, exclude)
+
+
+def _score(preds: DataFrame, roles: Roles) -> tuple[int, float | None]:
+    y, p = F.col(roles.target), F.col("prediction")
+    r = preds.agg(F.count(F.lit(1)).alias("n"), F.avg(sq_err(p, y)).alias("mse"),
+                  F.count_if(y.isNull() | p.isNull()).alias("bad")).collect()[0]
+    if r["bad"]:
+        raise ValueError(f"mean squared error over {r['bad']} rows without prediction or truth")
+    return int(r["n"]), r["mse"]
+
+
+def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
+                  candidates: list[dict] | None = None, by_segment: bool = True,
+                  threads: int = 4, fit_partitions: int | None = None) -> DataFrame:
+    """(segment, predict_horizon, model, candidate, fold, n, mse, params) of a
+    random search over forest parameters, scored on the expanding folds.
+
+    Each (segment, horizon, candidate, fold) is one distributed Spark ML fit
+    on a filter of one persisted frame; a small driver thread pool keeps
+    several fits in flight. Only per-fit scores come back to the driver.
+    """
+    import json
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+
+    from tidewise.operators import forest as fr
+
+    candidates = candidates or fr.sample_candidates()
+    fit_partitions = fit_partitions or fr.FIT_PARTITIONS
+    horizons = horizon_list(n_pred, check_grouping(n_pred, group))
+    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        segments = [r[0] for r in folded.select("segment").distinct().collect()]
+        tasks = [(s, h, ci, k) for s in sorted(segments) for h in horizons
+                 for ci in range(len(candidates)) for k in range(n_folds)]
+
+        def run(task):
+            seg, h, ci, k = task
+            grid = horizon_frame(folded.filter(F.col("segment") == seg), horizons, h)
+            feats = forest_features(grid, roles)
+            train = grid.filter(F.col("train_from") <= k)
+            test = grid.filter(F.col("test_fold") == k)
+            model = fr.fit_forest(train, roles, candidates[ci], feats, fit_partitions)
+            n, m = _score(fr.predict(model, test, roles), roles)
+            return (seg, h, FOREST, ci, k, n, m, json.dumps(candidates[ci], sort_keys=True))
+
+        with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
+            rows = list(ex.map(run, tasks))
+    finally:
+        folded.unpersist()
+    return df.sparkSession.createDataFrame(rows, FOREST_SCORE_SCHEMA)
+
+
+def train(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
+          baselines: tuple[str, ...] = ("Last",), with_forest: bool = True,
+          candidates: list[dict] | None = None, project: str = "panel",
+          by_segment: bool = True, threads: int = 4) -> dict[str, DataFrame]:
+    """Score every model, keep the best per (segment, horizon), summarize.
+
+    Returns ``scores`` (per fold), ``cv_results`` (per candidate, with the
+    candidate's own parameters), ``best_models`` and ``summary``.
+    """
+    group = check_grouping(n_pred, group)
+    parts = []
+    if baselines:
+        b = baseline_scores(df, roles, n_pred, group, n_folds, baselines, by_segment)
+        parts.append(b.withColumn("params", F.lit("{}")))
+    if with_forest:
+        parts.append(forest_scores(df, roles, n_pred, group, n_folds, candidates, by_segment,
+                                   threads))
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    params = scores.groupBy(*SCORE_KEYS).agg(F.first("params").alias("params"))
+    results = cv_results(scores, n_folds).join(params, SCORE_KEYS)
+    best = best_models(results, project).join(params, SCORE_KEYS)
+    return {"scores": scores, "cv_results": results, "best_models": best,
+            "summary": train_summary(best)}

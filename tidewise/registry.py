@@ -397,3 +397,182 @@ def q_backtest_scores(spark, sf_dir):
     p = bt.backtest_predictions(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
                                 ("Last", "Mean", "MeanTS"))
     return bt.backtest_scores(p, ["model", "fold"], ROLES)
+
+
+# --------------------------------------------------------------------------
+# Base table: reshape, joins, flag, sample
+# --------------------------------------------------------------------------
+from tidewise.operators import prepare as pp  # noqa: E402
+from tidewise.plans.base_table import base_table  # noqa: E402
+
+# Fixed values of the sample: one state, two stores, one department, two ship
+# years and ten items.
+SAMPLE = {
+    "state": "TX", "stores": ["2", "3"], "dept": "DEPT_1",
+    "date_from": "1995-01-01 00:00:00", "date_to": "1997-01-01 00:00:00",
+    "items": ["Brand#1", "Brand#4", "Brand#7", "Brand#10", "Brand#13", "Brand#16",
+              "Brand#19", "Brand#22", "Brand#25", "Brand#2"],
+}
+
+RAW_CTE = """sales_wide as (
+  select p_brand || '_' || cast(l_suppkey % 5 as varchar) as id, p_brand as item_id,
+         'DEPT_' || cast(cast(substr(p_brand, 7) as integer) % 3 as varchar) as dept_id,
+         'CAT_' || cast(cast(substr(p_brand, 7) as integer) % 2 as varchar) as cat_id,
+         cast(l_suppkey % 5 as varchar) as store_id,
+         case when l_suppkey % 5 in (0, 1) then 'CA' when l_suppkey % 5 in (2, 3) then 'TX'
+              else 'WI' end as state_id,
+         sum(case when year(l_shipdate) = 1995 then l_quantity end) as d_1,
+         sum(case when year(l_shipdate) = 1996 then l_quantity end) as d_2,
+         sum(case when year(l_shipdate) = 1997 then l_quantity end) as d_3,
+         sum(case when year(l_shipdate) = 1998 then l_quantity end) as d_4
+  from lineitem join part on l_partkey = p_partkey group by all),
+raw_calendar as (
+  select 'd_' || cast(y - 1994 as varchar) as d, cast(y as varchar) || '-01-01' as date,
+         cast(y as bigint) as wm_yr_wk, cast(y as bigint) as year,
+         cast(y = 1995 as integer) as snap_CA, cast(y = 1996 as integer) as snap_TX,
+         cast(y = 1997 as integer) as snap_WI
+  from (select distinct year(l_shipdate) as y from lineitem
+        where year(l_shipdate) between 1995 and 1997)),
+sell_prices as (
+  select p_brand as item_id, cast(l_suppkey % 5 as varchar) as store_id,
+         cast(year(l_shipdate) as bigint) as wm_yr_wk, max(l_extendedprice) as sell_price
+  from lineitem join part on l_partkey = p_partkey group by all),
+calendar as (
+  select substr(d, 1, 6) as d, cast(strptime(date, '%Y-%m-%d') as timestamp) as date,
+         wm_yr_wk, year, snap_CA, snap_TX, snap_WI from raw_calendar),
+long as (
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_1' as d, d_1 as Quantity
+  from sales_wide union all
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_2', d_2 from sales_wide union all
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_3', d_3 from sales_wide union all
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_4', d_4 from sales_wide),
+with_cal as (
+  select l.*, c.date, c.wm_yr_wk, c.year, c.snap_CA, c.snap_TX, c.snap_WI
+  from long l left join calendar c on l.d = c.d),
+with_price as (
+  select w.*, p.sell_price from with_cal w
+  left join sell_prices p on w.item_id = p.item_id and w.store_id = p.store_id
+                         and w.wm_yr_wk = p.wm_yr_wk),
+flagged as (
+  select id, item_id, dept_id, cat_id, store_id, state_id, Quantity, date, sell_price,
+         case when state_id = 'CA' then snap_CA when state_id = 'TX' then snap_TX
+              else snap_WI end as snap
+  from with_price)"""
+
+_BASE_FEATURES_SQL = """day(date) as day, cast(isodow(date) >= 6 as bigint) as weekend,
+  cast(floor(((0.20439731::double + (floor(date_diff('microsecond', timestamp '2001-01-01', date)
+       / 1000000) / 86400.0::double) * 0.03386319269::double) % 1) * 8 + 0.5) as bigint) & 7
+       as moon,
+  isodow(date) - 1 as dayofweek, weekofyear(date) as week,
+  cast(ceil(day(date) / 7.0) as bigint) as weekmonth, month(date) as month,
+  quarter(date) as quarter, year(date) as year"""
+
+
+def _raw(spark, sf_dir):
+    return (fx.sales_wide(spark, sf_dir), fx.calendar(spark, sf_dir),
+            fx.sell_prices(spark, sf_dir))
+
+
+@register("calendar_clean", f"with {RAW_CTE} select * from calendar")
+def q_calendar_clean(spark, sf_dir):
+    return pp.calendar_clean(fx.calendar(spark, sf_dir))
+
+
+@register("wide_to_long", f"with {RAW_CTE} select * from long")
+def q_wide_to_long(spark, sf_dir):
+    return pp.wide_to_long(fx.sales_wide(spark, sf_dir))
+
+
+@register("join_calendar", f"with {RAW_CTE} select * from with_cal")
+def q_join_calendar(spark, sf_dir):
+    sales, cal, _ = _raw(spark, sf_dir)
+    return pp.join_calendar(pp.wide_to_long(sales), pp.calendar_clean(cal))
+
+
+@register("join_prices", f"with {RAW_CTE} select * from with_price")
+def q_join_prices(spark, sf_dir):
+    sales, cal, prices = _raw(spark, sf_dir)
+    return pp.join_prices(pp.join_calendar(pp.wide_to_long(sales), pp.calendar_clean(cal)),
+                          prices)
+
+
+@register("conditional_flag", f"with {RAW_CTE} select * from flagged")
+def q_conditional_flag(spark, sf_dir):
+    sales, cal, prices = _raw(spark, sf_dir)
+    j = pp.join_prices(pp.join_calendar(pp.wide_to_long(sales), pp.calendar_clean(cal)), prices)
+    return pp.conditional_flag(pp.drop_calendar_columns(j))
+
+
+@register("base_table", f"with {RAW_CTE} select *, {_BASE_FEATURES_SQL} from flagged")
+def q_base_table(spark, sf_dir):
+    return base_table(*_raw(spark, sf_dir))
+
+
+_SAMPLE_ITEMS_SQL = ", ".join(f"'{i}'" for i in SAMPLE["items"])
+
+
+@register("sample_filter", f"""with {RAW_CTE}
+select *, {_BASE_FEATURES_SQL} from flagged
+where state_id = '{SAMPLE["state"]}' and store_id in ('2', '3') and dept_id = '{SAMPLE["dept"]}'
+  and date >= timestamp '{SAMPLE["date_from"]}' and date < timestamp '{SAMPLE["date_to"]}'
+  and item_id in ({_SAMPLE_ITEMS_SQL})""")
+def q_sample_filter(spark, sf_dir):
+    return base_table(*_raw(spark, sf_dir), sample=SAMPLE)
+
+
+# --------------------------------------------------------------------------
+# Column profiles and imputation values
+# --------------------------------------------------------------------------
+from tidewise.operators import profile as pf  # noqa: E402
+
+PROFILE_COLUMNS = ["id", "segment", "y", "year", "month", "day", "hour", "minute", "second",
+                   "microsecond", "nanosecond"]
+
+
+def _featured_series(spark, sf_dir):
+    return add_time_features(_series(spark, sf_dir), "date", ALL_FEATURES)
+
+
+def _profile_sql() -> str:
+    parts = []
+    for c in PROFILE_COLUMNS:
+        parts.append(
+            f"select '{c}' as column_name, count({c}) as n_values, "
+            f"count({c}) < count(*) as has_null, "
+            f"(count({c}) = 0 or (count({c}) = count(*) and min({c}) = max({c}))) as constant "
+            f"from featured")
+    feats = ", ".join([f"year(date) as year, month(date) as month, day(date) as day, "
+                       f"hour(date) as hour, minute(date) as minute, second(date) as second, "
+                       f"microsecond(date) % 1000000 as microsecond, "
+                       f"cast(0 as bigint) as nanosecond"])
+    return (f"with {SERIES_CTE}, featured as (select *, {feats} from series) "
+            + " union all ".join(parts))
+
+
+@register("constant_columns", _profile_sql())
+def q_constant_columns(spark, sf_dir):
+    return pf.constant_profile(_featured_series(spark, sf_dir), PROFILE_COLUMNS)
+
+
+NUMERIC_IMPUTE = ["Quantity", "sell_price", "snap", "day", "week"]
+CATEGORICAL_IMPUTE = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
+
+
+@register("impute_numeric", f"""with {RAW_CTE}, b as (select *, {_BASE_FEATURES_SQL} from flagged)
+""" + " union all ".join(
+    f"select '{c}' as column_name, median(cast({c} as double)) as median from b"
+    for c in NUMERIC_IMPUTE))
+def q_impute_numeric(spark, sf_dir):
+    return pf.column_medians(base_table(*_raw(spark, sf_dir)), NUMERIC_IMPUTE)
+
+
+@register("impute_categorical", f"""with {RAW_CTE},
+vals as ({" union all ".join(f"select '{c}' as column_name, {c} as value from flagged"
+                             for c in CATEGORICAL_IMPUTE)}),
+counted as (select column_name, value, count(*) as n from vals where value is not null
+            group by all)
+select column_name, value as mode from (
+  select *, row_number() over (partition by column_name order by n desc, value) as rk
+  from counted) where rk = 1""")
+def q_impute_categorical(spark, sf_dir):
+    return pf.column_modes(base_table(*_raw(spark, sf_dir)), CATEGORICAL_IMPUTE)
