@@ -576,3 +576,63 @@ select column_name, value as mode from (
   from counted) where rk = 1""")
 def q_impute_categorical(spark, sf_dir):
     return pf.column_modes(base_table(*_raw(spark, sf_dir)), CATEGORICAL_IMPUTE)
+
+
+# --------------------------------------------------------------------------
+# Random forest (rows-only checks: Spark ML forests have no SQL form)
+# --------------------------------------------------------------------------
+from tidewise.operators import forest as fr  # noqa: E402
+from tidewise.plans.backtest import backtest_scores, forest_backtest_predictions  # noqa: E402
+
+# The parameters of the single-fit queries, and the setting of
+# the registered search (one 28-step horizon over the whole panel).
+FOREST_PARAMS = {"n_trees": fr.N_TREES, "feature_subset": "all", "min_samples_split": 2,
+                 "max_depth": 10}
+SEARCH_N_PRED = 28
+SEARCH_GROUP = 28
+LAST_FOLD = N_FOLDS - 1
+UNSEGMENTED = ROLES.__class__(id=ROLES.id, time=ROLES.time, target=ROLES.target)
+
+
+def _forest_grid(spark, sf_dir, horizon: int):
+    """Whole-panel folds, calendar features and one horizon's lag."""
+    s = add_time_features(_series(spark, sf_dir), "date")
+    folded = tr.cv_frame(s, ROLES, HORIZONS, N_FOLDS, N_PRED, by_segment=False)
+    return tr.horizon_frame(folded, HORIZONS, horizon)
+
+
+@register("onehot_features")
+def q_onehot_features(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    grid = _forest_grid(spark, sf_dir, GROUP)
+    feats = tr.forest_features(grid, ROLES)
+    train = grid.filter(F.col("train_from") <= LAST_FOLD)
+    pre = fr.fit_preprocessing(train, ROLES, feats)
+    test = grid.filter(F.col("test_fold") == LAST_FOLD)
+    return pre.transform(test).select("id", "date", vector_to_array("features").alias("features"))
+
+
+@register("forest_forecast")
+def q_forest_forecast(spark, sf_dir):
+    grid = _forest_grid(spark, sf_dir, GROUP)
+    feats = tr.forest_features(grid, ROLES)
+    model = fr.fit_forest(grid.filter(F.col("train_from") <= LAST_FOLD), ROLES, FOREST_PARAMS,
+                          feats)
+    return fr.predict(model, grid.filter(F.col("test_fold") == LAST_FOLD), ROLES,
+                      keep=["segment"])
+
+
+@register("forest_search")
+def q_forest_search(spark, sf_dir):
+    s = add_time_features(_series(spark, sf_dir), "date")
+    scores = tr.forest_scores(s, UNSEGMENTED, SEARCH_N_PRED, SEARCH_GROUP, N_FOLDS)
+    params = scores.groupBy(*tr.SCORE_KEYS).agg(F.first("params").alias("params"))
+    return tr.cv_results(scores, N_FOLDS).join(params, tr.SCORE_KEYS)
+
+
+@register("backtest_forest")
+def q_backtest_forest(spark, sf_dir):
+    s = add_time_features(_series(spark, sf_dir), "date")
+    chosen = {("all", h): FOREST_PARAMS for h in HORIZONS}
+    preds = forest_backtest_predictions(s, UNSEGMENTED, N_PRED, GROUP, N_FOLDS, chosen)
+    return backtest_scores(preds, ["fold"], UNSEGMENTED)
