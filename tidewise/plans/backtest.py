@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.functions.offsets import unit_micros
-from tidewise.operators.baselines import mean_predictions
+from tidewise.operators.baselines import fold_means, mean_keys
 from tidewise.operators.folds import fold_arrays
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags, lag_name
 from tidewise.operators.metrics import guard_missing, round_score, sq_err
 from tidewise.roles import Roles
+from tidewise.session import checkpoint
 
 
 def _bounds_scalar(df: DataFrame, roles: Roles, n_folds: int, n_pred: int) -> Column:
@@ -80,23 +81,32 @@ def last_backtest_prediction(horizons: list[int], group: int) -> Column:
 
 def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                          models: tuple[str, ...] = ("Last",), unit: str = "day") -> DataFrame:
-    """(model, fold, predict_horizon, segment, id, time, y, prediction, beyond)."""
+    """(model, fold, predict_horizon, segment, id, time, y, prediction, beyond).
+
+    The fold means of Mean / MeanTS (pre-aggregated from the training rows)
+    are joined onto the test rows once; ``inline`` then emits one row per
+    model, so several models cost one pass over the test rows, not a union.
+    """
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
     frame = backtest_frame(df, roles, n_pred, group, n_folds, unit)
+    if any(m != "Last" for m in models):
+        # two consumers (test rows, training means): materialize once
+        frame = checkpoint(frame)
     tests = backtest_tests(frame)
-    cols = ["fold", "predict_horizon", "segment", roles.id, roles.time, roles.target, "beyond"]
-    parts = []
     for model in models:
-        if model == "Last":
-            p = tests.select(*cols, last_backtest_prediction(horizons, group).alias("prediction"))
-        else:
-            p = mean_predictions(tests.select(*cols), frame, roles, model, n_folds)
-        parts.append(p.select(F.lit(model).alias("model"), *cols, "prediction"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if model != "Last":
+            keys = mean_keys(model, roles)
+            means = fold_means(frame, roles, keys, n_folds).withColumnRenamed(
+                "prediction", f"_p_{model}")
+            tests = tests.join(means, keys + ["fold"], "left")
+    per_model = F.array(*[F.struct(
+        F.lit(m).alias("model"),
+        (last_backtest_prediction(horizons, group) if m == "Last"
+         else F.col(f"_p_{m}")).alias("prediction")) for m in models])
+    cols = ["fold", "predict_horizon", "segment", roles.id, roles.time, roles.target, "beyond"]
+    out = tests.select(*cols, F.inline(per_model))
+    return out.select("model", *cols, "prediction")
 
 
 def backtest_scores(preds: DataFrame, keys: list[str], roles: Roles) -> DataFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewise.operators.baselines import BASELINES, last_prediction, mean_predictions
+from tidewise.operators.baselines import (BASELINES, fold_means, last_prediction, mean_keys,
+                                          mean_predictions)
 from tidewise.operators.folds import with_folds
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags
-from tidewise.operators.metrics import fold_summary, guard_missing, mse, sq_err
+from tidewise.operators.metrics import fold_summary, guard_missing, sq_err
 from tidewise.roles import Roles
+from tidewise.session import checkpoint
 
 SCORE_KEYS = ["segment", "predict_horizon", "model", "candidate"]
 
@@ -51,38 +53,54 @@ def last_cv_scores(folded: DataFrame, roles: Roles, horizons: list[int]) -> Data
                        guard_missing(F.col("_missing"), F.col("_mse")).alias("mse"))
 
 
-def mean_cv_scores(folded: DataFrame, roles: Roles, model: str, horizons: list[int],
-                   n_folds: int) -> DataFrame:
-    """(segment, predict_horizon, fold, n, mse) of Mean or MeanTS.
-
-    These models do not read the lag, so every horizon gets the same scores.
-    """
-    test = (folded.filter(F.col("test_fold").isNotNull())
-            .select("segment", roles.id, roles.time, roles.target,
-                    F.col("test_fold").alias("fold")))
-    preds = mean_predictions(test, folded, roles, model, n_folds)
-    sc = mse(preds, ["segment", "fold"], truth=roles.target)
-    hs = F.array(*[F.lit(h).cast("bigint") for h in horizons])
-    return sc.select("segment", F.explode(hs).alias("predict_horizon"), "fold", "n", "mse")
-
-
 def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                     models: tuple[str, ...] = BASELINES, by_segment: bool = True) -> DataFrame:
-    """(segment, predict_horizon, model, candidate, fold, n, mse) per baseline."""
+    """(segment, predict_horizon, model, candidate, fold, n, mse) per baseline.
+
+    All baselines are scored in ONE aggregate over the test rows: the fold
+    means of Mean / MeanTS are joined onto the test rows (small relations,
+    pre-aggregated from the training rows), then a single ``groupBy(segment,
+    fold)`` computes every (model, horizon) score. Mean and MeanTS do not read
+    the lag, so their score is the same for every horizon.
+    """
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
     folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment)
-    parts = []
+    if any(m != "Last" for m in models):
+        # the tagged panel feeds both the test rows and the training means:
+        # write it once to the shared checkpoint folder instead of running
+        # its lineage (scan, lags, fold tags) once per consumer
+        folded = checkpoint(folded)
+    test = (folded.filter(F.col("test_fold").isNotNull())
+            .withColumnRenamed("test_fold", "fold"))
+    for model in models:
+        if model != "Last":
+            keys = mean_keys(model, roles)
+            means = fold_means(folded, roles, keys, n_folds).withColumnRenamed(
+                "prediction", f"_p_{model}")
+            test = test.join(means, keys + ["fold"], "left")
+    y = F.col(roles.target)
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(y.isNull()).alias("_ymiss")]
+    cells = []
     for model in models:
         if model == "Last":
-            sc = last_cv_scores(folded, roles, horizons)
+            for h in horizons:
+                aggs.append(F.avg(sq_err(last_prediction(h), y)).alias(f"_m_Last_{h}"))
+                cells.append((model, h, f"_m_Last_{h}", None))
         else:
-            sc = mean_cv_scores(folded, roles, model, horizons, n_folds)
-        parts.append(sc.select("segment", "predict_horizon", F.lit(model).alias("model"),
-                               F.lit(0).cast("bigint").alias("candidate"), "fold", "n", "mse"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            p = F.col(f"_p_{model}")
+            aggs.append(F.avg(sq_err(p, y)).alias(f"_m_{model}"))
+            aggs.append(F.count_if(p.isNull()).alias(f"_pmiss_{model}"))
+            cells += [(model, h, f"_m_{model}", f"_pmiss_{model}") for h in horizons]
+    a = test.groupBy("segment", "fold").agg(*aggs)
+    per_cell = F.array(*[F.struct(
+        F.lit(h).cast("bigint").alias("predict_horizon"), F.lit(m).alias("model"),
+        F.col(score).alias("_mse"),
+        (F.col("_ymiss") + (F.col(miss) if miss else F.lit(0))).alias("_missing"))
+        for m, h, score, miss in cells])
+    rows = a.select("segment", "fold", "n", F.inline(per_cell))
+    return rows.select("segment", "predict_horizon", "model",
+                       F.lit(0).cast("bigint").alias("candidate"), "fold", "n",
+                       guard_missing(F.col("_missing"), F.col("_mse")).alias("mse"))
 
 
 def cv_results(scores: DataFrame, n_folds: int) -> DataFrame:
