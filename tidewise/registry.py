@@ -193,7 +193,7 @@ def q_lead_target(spark, sf_dir):
 
 
 @register("horizons", f"""with {SERIES_CTE}
-select segment, h as predict_horizon, '{PROJECT}_' || segment || '_' || cast(h as varchar)
+select segment, cast(h as bigint) as predict_horizon, '{PROJECT}_' || segment || '_' || cast(h as varchar)
        as model_key
 from (select distinct segment from series), (values (7), (14), (21), (28)) as v(h)""")
 def q_horizons(spark, sf_dir):
@@ -201,7 +201,8 @@ def q_horizons(spark, sf_dir):
 
 
 @register("horizon_grid", f"""with {LAGS_CTE}
-select id, segment, date, y, 7 as predict_horizon, last_7 as last from lags union all
+select id, segment, date, y, cast(7 as bigint) as predict_horizon, last_7 as last from lags
+union all
 select id, segment, date, y, 14, last_14 from lags union all
 select id, segment, date, y, 21, last_21 from lags union all
 select id, segment, date, y, 28, last_28 from lags""")
@@ -219,7 +220,7 @@ def q_fold_bounds(spark, sf_dir):
 
 
 @register("time_group_bounds", f"""with {SERIES_CTE}, {GLOBAL_FOLDS_CTE}
-select cast(fold as bigint) as fold, h as predict_horizon,
+select cast(fold as bigint) as fold, cast(h as bigint) as predict_horizon,
        end_train + to_days(h - 6) as begin_test, end_train + to_days(h) as end_test
 from gfolds, (values (7), (14), (21), (28)) as v(h)""")
 def q_time_group_bounds(spark, sf_dir):
