@@ -204,7 +204,6 @@ def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
     from tidewise.operators import forest as fr
 
     candidates = candidates or fr.sample_candidates()
-    fit_partitions = fit_partitions or fr.FIT_PARTITIONS
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
     folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment).persist(
         StorageLevel.MEMORY_AND_DISK)
