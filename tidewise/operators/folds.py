@@ -23,8 +23,14 @@ def latest_times(df: DataFrame, roles: Roles, count: int, by_segment: bool = Fal
     """(fold_segment, times): the ``count`` latest distinct times, newest first."""
     dt = df.select(_fold_segment(roles, by_segment).alias("fold_segment"),
                    F.col(roles.time).alias("t")).distinct()
-    w = Window.partitionBy("fold_segment").orderBy(F.desc("t"))
-    top = dt.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= count)
+    if by_segment:
+        # per-segment top-k: Spark keeps k rows per segment in each task
+        # before the shuffle (partial WindowGroupLimit)
+        w = Window.partitionBy("fold_segment").orderBy(F.desc("t"))
+        top = dt.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= count)
+    else:
+        # one group: a global top-k (each task keeps its k newest times)
+        top = dt.orderBy(F.desc("t")).limit(count)
     return top.groupBy("fold_segment").agg(
         F.sort_array(F.collect_list("t"), asc=False).alias("times"))
 
