@@ -12,10 +12,18 @@ from tidewise.roles import Roles
 
 def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
               n_folds: int = 3, baselines: tuple[str, ...] = ("Last",),
-              with_forest: bool = True, project: str = "panel", threads: int = 4) -> str:
-    """Train, record candidates, winners and the run; return the run id."""
+              with_forest: bool = True, project: str = "panel", threads: int = 4,
+              validate: bool = True) -> str:
+    """Train, record candidates, winners and the run; return the run id.
+
+    With ``validate`` the panel's keys are checked first (one aggregate job):
+    a null id, a null time or a repeated (id, time) raises.
+    """
     from tidewise.operators.horizons import check_grouping
+    from tidewise.sources.panel import validate_panel
     group = check_grouping(n_pred, group)
+    if validate:
+        validate_panel(df, roles)
     out = tr.train(df, roles, n_pred, group, n_folds, baselines, with_forest,
                    project=project, by_segment=True, threads=threads)
     run_id = tk.new_run_id()
@@ -33,11 +41,15 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
 
 
 def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds: int = 3,
-                 unit: str = "day", threads: int = 4) -> dict[str, DataFrame]:
+                 unit: str = "day", threads: int = 4,
+                 validate: bool = True) -> dict[str, DataFrame]:
     """Backtest the winners of a stored run (the best run if none is given)."""
+    from tidewise.sources.panel import validate_panel
     spark = df.sparkSession
     run = tk.best_run(spark, store, run_id)
     roles = tk.roles_of(run)
+    if validate:
+        validate_panel(df, roles)
     winners = tk.read_best(spark, store, run["run_id"])
     return bt.backtest(df, roles, int(run["number_predictions"]),
                        int(run["n_predictions_groupby"]), n_folds, winners, unit, threads)

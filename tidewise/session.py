@@ -44,7 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tidewise-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder shared by the cluster; a "
+                "machine-local scratch folder would not survive losing an executor")
+        configured = tempfile.mkdtemp(prefix="tidewise-ckpt-")  # local test sessions only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
