@@ -33,3 +33,18 @@ def test_all_null_columns(frame):
     df = frame([(None, None), (None, None)], "x double, c string")
     assert pf.column_medians(df, ["x"]).collect()[0]["median"] is None
     assert pf.column_modes(df, ["c"]).collect()[0]["mode"] is None
+
+
+def test_median_narrowing_rounds_are_exact(frame):
+    import random
+    import statistics
+    rng = random.Random(11)
+    xs = [float(rng.randrange(0, 400)) for _ in range(1501)]
+    ys = [rng.gauss(0, 1) for _ in range(1500)]
+    rows = [(x, ys[i] if i < len(ys) else None) for i, x in enumerate(xs)]
+    df = frame(rows, "x double, z double")
+    # tiny limits force several narrowing rounds before the final pick
+    got = {r[0]: r[1] for r in pf.column_medians(df, ["x", "z"], task_values=5,
+                                                 buckets=4).collect()}
+    assert got["x"] == statistics.median(xs)
+    assert abs(got["z"] - statistics.median(ys)) < 1e-12

@@ -3,7 +3,7 @@ and modes for imputation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
@@ -61,17 +61,94 @@ def _long_values(df: DataFrame, cols: list[str], cast: str) -> DataFrame:
     return df.select(F.inline(pairs))
 
 
-def column_medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column_name, median): exact, interpolated median of non-null values.
+# Fixed parameters of the exact median: the most distinct values one task may
+# sort for the final pick, and how finely each narrowing round splits a range.
+MEDIAN_TASK_VALUES = 1_000_000
+MEDIAN_BUCKETS = 1000
+MEDIAN_SKETCH_ACCURACY = 100_000
 
-    Values are first counted per (column, value) with a map-side combine, so
-    the final aggregate holds distinct values with weights rather than rows.
+_STATE_SCHEMA = ("column_name string, which int, lo double, hi double, below long, k long")
+
+
+def _in_range(lo: str = "lo", hi: str = "hi"):
+    v = F.col("value")
+    return ((F.col(lo).isNull() | (v > F.col(lo))) & (F.col(hi).isNull() | (v <= F.col(hi))))
+
+
+def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TASK_VALUES,
+                   buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+    """(column_name, median): exact median of the non-null values, the mean of
+    the two middle values for an even count (null for an all-null column).
+
+    Values are counted per (column, value) with a map-side combine. The two
+    middle ranks are then found by exact rank selection: while a column has
+    more than ``task_values`` distinct values in its candidate range, an
+    approximate-quantile sketch cuts the range into ``buckets`` pieces, exact
+    bucket weights locate the piece holding the rank, and the range shrinks to
+    it. The last pick sorts at most ``task_values`` values per (column, rank),
+    so no task ever holds a whole column. Only per-bucket weights (bounded by
+    columns x buckets) reach the driver between rounds.
     """
+    from tidewise.session import checkpoint
+
+    spark = df.sparkSession
     counted = (_long_values(df, cols, "double")
                .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w")))
-    # percentile skips the null value, so an all-null column gets a null median
-    return counted.groupBy("column_name").agg(
-        F.percentile(F.col("value"), F.lit(0.5), F.col("w")).alias("median"))
+    nonnull = F.col("value").isNotNull()
+    totals = counted.groupBy("column_name").agg(
+        F.sum(F.when(nonnull, F.col("w"))).alias("n"), F.count("value").alias("distinct"))
+    stats = totals.collect()
+    state = {}
+    for r in stats:
+        if r["n"]:
+            n = int(r["n"])
+            for which, k in ((0, (n - 1) // 2), (1, n // 2)):
+                state[(r["column_name"], which)] = [None, None, 0, k]
+    values = counted.filter(nonnull)
+    widest = max([r["distinct"] for r in stats], default=0)
+    if widest > task_values:
+        values = checkpoint(values)  # read once per narrowing round
+    while widest > task_values:
+        st = spark.createDataFrame(
+            [(c, w, lo, hi, below, k) for (c, w), (lo, hi, below, k) in state.items()],
+            _STATE_SCHEMA)
+        cand = values.join(F.broadcast(st), "column_name").filter(_in_range())
+        fractions = [i / buckets for i in range(1, buckets)]
+        cuts = cand.groupBy("column_name", "which").agg(F.percentile_approx(
+            "value", fractions, MEDIAN_SKETCH_ACCURACY).alias("cuts"))
+        bucket = F.size(F.filter(F.col("cuts"), lambda c: c < F.col("value")))
+        per_bucket = (cand.join(F.broadcast(cuts), ["column_name", "which"])
+                      .groupBy("column_name", "which", bucket.alias("bucket"))
+                      .agg(F.sum("w").alias("bw"), F.max("value").alias("vmax"),
+                           F.count(F.lit(1)).alias("distinct"))
+                      .collect())
+        grouped: dict = {}
+        for r in per_bucket:
+            grouped.setdefault((r["column_name"], r["which"]), []).append(r)
+        new_widest = 0
+        for key, rows in grouped.items():
+            lo, hi, below, k = state[key]
+            cum, prev_max = below, lo
+            for r in sorted(rows, key=lambda r: r["bucket"]):
+                if cum + r["bw"] > k:
+                    state[key] = [prev_max, r["vmax"], cum, k]
+                    new_widest = max(new_widest, r["distinct"])
+                    break
+                cum += r["bw"]
+                prev_max = r["vmax"]
+        if new_widest >= widest:
+            break  # the sketch could not split further; pick from what is left
+        widest = new_widest
+    st = spark.createDataFrame(
+        [(c, w, lo, hi, below, k) for (c, w), (lo, hi, below, k) in state.items()],
+        _STATE_SCHEMA)
+    cand = values.join(F.broadcast(st), "column_name").filter(_in_range())
+    w = (Window.partitionBy("column_name", "which").orderBy("value")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = cand.withColumn("_cum", F.col("below") + F.sum("w").over(w))
+    picked = ranked.filter((F.col("_cum") - F.col("w") <= F.col("k")) & (F.col("k") < F.col("_cum")))
+    med = picked.groupBy("column_name").agg(F.avg("value").alias("median"))
+    return totals.select("column_name").join(med, "column_name", "left")
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
