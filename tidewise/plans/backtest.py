@@ -204,3 +204,68 @@ def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
     for p in parts[1:]:
         preds = preds.unionByName(p)
     return {"predictions": preds, "fold_scores": backtest_scores(preds, ["fold"], roles)}
+
+
+# --------------------------------------------------------------------------
+# Training-set errors of the backtest
+# --------------------------------------------------------------------------
+def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
+                          models: tuple[str, ...] = ("Last",)) -> DataFrame:
+    """(model, fold, n, mse) of each baseline on its own training rows
+    (t <= end_train of the fold), over every horizon, as the backtest reports
+    next to the test error. The truth is taken per fold.
+
+    One aggregate over the panel: rows are summed per (segment, id, first
+    fold holding them). Training sets are nested, so the sums accumulate over
+    folds instead of copying rows. For the mean models the squared error is
+    expanded, sum (m - y)^2 = sum y^2 - 2 m sum y + n m^2, so a fold's mean is
+    applied to sums taken before it is known; the segment mean comes from a
+    window over the per-series sums (one row per series and fold).
+    """
+    from pyspark.sql import Window
+
+    group = check_grouping(n_pred, group)
+    horizons = horizon_list(n_pred, group)
+    n_h = len(horizons)
+    frame = backtest_frame(df, roles, n_pred, group, n_folds).filter(
+        F.col("train_from").isNotNull())
+    y = F.col(roles.target)
+    last_sse = sum((sq_err(F.coalesce(F.col(lag_name(h)), F.lit(0.0)), y) for h in horizons),
+                   F.lit(0.0))
+    sums = ("_c", "_cy", "_sy", "_syy", "_sse_last", "_miss")
+    part = frame.groupBy("segment", roles.id, "train_from").agg(
+        F.count(F.lit(1)).alias("_c"), F.count(y).alias("_cy"), F.sum(y).alias("_sy"),
+        F.sum(y * y).alias("_syy"), F.sum(last_sse).alias("_sse_last"),
+        F.count_if(y.isNull()).alias("_miss"))
+    folds = F.sequence(F.col("train_from"), F.lit(n_folds - 1).cast("bigint"))
+    cum = (part.select("segment", roles.id, F.explode(folds).alias("fold"), *sums)
+           .groupBy("segment", roles.id, "fold").agg(*[F.sum(c).alias(c) for c in sums]))
+    seg = Window.partitionBy("segment", "fold")
+    cum = cum.withColumns({"_seg_sy": F.sum("_sy").over(seg),
+                           "_seg_cy": F.sum("_cy").over(seg)})
+
+    def expanded(m):
+        return F.col("_syy") - F.lit(2.0) * m * F.col("_sy") + m * m * F.col("_cy")
+
+    m_ts = F.try_divide(F.col("_sy"), F.col("_cy").cast("double"))
+    m_seg = F.try_divide(F.col("_seg_sy"), F.col("_seg_cy").cast("double"))
+    per_fold = cum.groupBy("fold").agg(
+        F.sum("_c").alias("_c"), F.sum("_miss").alias("_miss"),
+        F.sum("_sse_last").alias("_sse_Last"),
+        F.sum(expanded(m_seg)).alias("_sse_Mean"),
+        F.sum(expanded(m_ts)).alias("_sse_MeanTS"),
+        F.sum(F.when(m_seg.isNull(), F.col("_c")).otherwise(0)).alias("_nopred_Mean"),
+        F.sum(F.when(m_ts.isNull(), F.col("_c")).otherwise(0)).alias("_nopred_MeanTS"))
+    cells = []
+    for model in models:
+        if model == "Last":
+            mse_c = F.col("_sse_Last") / (F.col("_c") * n_h)
+            miss = F.col("_miss")
+        else:
+            mse_c = F.col(f"_sse_{model}") / F.col("_c")
+            miss = F.col("_miss") + F.col(f"_nopred_{model}")
+        cells.append(F.struct(F.lit(model).alias("model"), mse_c.alias("_mse"),
+                              miss.alias("_m")))
+    rows = per_fold.select("fold", (F.col("_c") * n_h).alias("n"), F.inline(F.array(*cells)))
+    return rows.select("model", "fold", "n",
+                       round_score(guard_missing(F.col("_m"), F.col("_mse"))).alias("mse"))

@@ -637,3 +637,24 @@ def q_backtest_forest(spark, sf_dir):
     chosen = {("all", h): FOREST_PARAMS for h in HORIZONS}
     preds = forest_backtest_predictions(s, UNSEGMENTED, N_PRED, GROUP, N_FOLDS, chosen)
     return backtest_scores(preds, ["fold"], UNSEGMENTED)
+
+
+@register("backtest_train_scores", f"""with {BT_CTE},
+trainrows as (select l.*, f.fold from lags l, gfolds f where l.date <= f.end_train),
+errs as (
+  select 'Last' as model, fold, y,
+         ((coalesce(last_7, 0) - y) * (coalesce(last_7, 0) - y)
+          + (coalesce(last_14, 0) - y) * (coalesce(last_14, 0) - y)
+          + (coalesce(last_21, 0) - y) * (coalesce(last_21, 0) - y)
+          + (coalesce(last_28, 0) - y) * (coalesce(last_28, 0) - y)) / 4 as e
+  from trainrows
+  union all
+  select 'Mean', fold, y, (bm1.m - y) * (bm1.m - y) from trainrows left join bm1 using (segment, fold)
+  union all
+  select 'MeanTS', fold, y, (bm2.m - y) * (bm2.m - y)
+  from trainrows left join bm2 using (segment, id, fold))
+select model, cast(fold as bigint) as fold, count(*) * 4 as n, round(avg(e), 6) as mse
+from errs group by model, fold""")
+def q_backtest_train_scores(spark, sf_dir):
+    return bt.baseline_train_scores(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
+                                    ("Last", "Mean", "MeanTS"))
