@@ -220,10 +220,8 @@ def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int,
     folds instead of copying rows. For the mean models the squared error is
     expanded, sum (m - y)^2 = sum y^2 - 2 m sum y + n m^2, so a fold's mean is
     applied to sums taken before it is known; the segment mean comes from a
-    window over the per-series sums (one row per series and fold).
+    small per-(segment, fold) aggregate of the per-series sums.
     """
-    from pyspark.sql import Window
-
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
     n_h = len(horizons)
@@ -240,9 +238,12 @@ def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int,
     folds = F.sequence(F.col("train_from"), F.lit(n_folds - 1).cast("bigint"))
     cum = (part.select("segment", roles.id, F.explode(folds).alias("fold"), *sums)
            .groupBy("segment", roles.id, "fold").agg(*[F.sum(c).alias(c) for c in sums]))
-    seg = Window.partitionBy("segment", "fold")
-    cum = cum.withColumns({"_seg_sy": F.sum("_sy").over(seg),
-                           "_seg_cy": F.sum("_cy").over(seg)})
+    # segment sums as a small (segments x folds) relation joined back: a
+    # window over (segment, fold) would put every series of a large segment
+    # in one task
+    seg = cum.groupBy("segment", "fold").agg(F.sum("_sy").alias("_seg_sy"),
+                                             F.sum("_cy").alias("_seg_cy"))
+    cum = cum.join(seg, ["segment", "fold"])
 
     def expanded(m):
         return F.col("_syy") - F.lit(2.0) * m * F.col("_sy") + m * m * F.col("_cy")
