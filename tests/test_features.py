@@ -79,3 +79,19 @@ def test_features_stay_in_codegen(frame):
     plan = add_time_features(df, "date", ALL_FEATURES)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_chunked_lags_equal_plain_window(frame):
+    from tidewise.operators.lags import add_lags_chunked
+    rng = random.Random(5)
+    rows = []
+    for i, n in (("hot", 400), ("small", 7), ("mid", 60)):
+        for t in daily("2020-01-01", n, {d for d in range(n) if rng.random() < 0.2}):
+            rows.append((i, t, float(rng.randrange(100))))
+    rows.append((None, dt.datetime(2020, 1, 1), 1.0))
+    df = frame(rows, SCHEMA)
+    plain = {(r["id"], r["date"]): tuple(r) for r in add_lags(df, ROLES, [1, 3, 7]).collect()}
+    chunked = add_lags_chunked(df, ROLES, [1, 3, 7], chunk_rows=9).collect()
+    assert len(chunked) == len(plain)
+    for r in chunked:
+        assert tuple(r) == plain[(r["id"], r["date"])]

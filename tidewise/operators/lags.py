@@ -16,12 +16,17 @@ def series_window(roles: Roles):
     return Window.partitionBy(*roles.series_partition()).orderBy(F.col(roles.time))
 
 
-def add_lags(df: DataFrame, roles: Roles, horizons: list[int]) -> DataFrame:
+def add_lags(df: DataFrame, roles: Roles, horizons: list[int],
+             chunk_rows: int | None = None) -> DataFrame:
     """Add ``last_h`` = target h rows earlier in the same series, for every h.
 
     All horizons share one window, so the plan has a single exchange on the
-    series key and a single sort, whatever the number of horizons.
+    series key and a single sort, whatever the number of horizons. A window
+    partition is one series; give ``chunk_rows`` when a single series may be
+    too large for one task (see ``add_lags_chunked``).
     """
+    if chunk_rows is not None and horizons:
+        return add_lags_chunked(df, roles, horizons, chunk_rows)
     w = series_window(roles)
     y = F.col(roles.target)
     return df.withColumns({lag_name(h): F.lag(y, h).over(w).cast("double") for h in horizons})
@@ -49,3 +54,69 @@ def horizon_grid(df: DataFrame, roles: Roles, horizons: list[int]) -> DataFrame:
                                F.col(lag_name(h)).alias("last")) for h in horizons])
     keep = [c for c in df.columns]
     return lagged.select(*keep, F.inline(pairs))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where a null key matches a null key (a null
+    series id is still a series of its own, as in the plain window)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c)
+                       for c in right.columns])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond).drop(*[f"_r_{k}" for k in keys])
+
+
+# Fixed value: how many time cut points the chunked lag asks of each series'
+# quantile sketch (first pass), i.e. at most this many time chunks per series.
+TIME_CUTS = 1000
+
+
+def add_lags_chunked(df: DataFrame, roles: Roles, horizons: list[int],
+                     chunk_rows: int) -> DataFrame:
+    """``add_lags`` for panels where one series may be too large for one task.
+
+    Same result as the plain window, computed in row chunks of one series:
+
+    1. a quantile sketch of each series' times cuts it into time chunks; row
+       numbers within (series, time chunk) plus the row counts of earlier
+       chunks give every row its position in the series;
+    2. positions are cut into chunks of ``chunk_rows`` rows; the last
+       max(h) rows of each chunk are copied into the next one, so every lag
+       is found inside one (series, chunk) window partition.
+
+    Costs two sorts of the panel instead of one; use it when a series can
+    hold a large share of all rows. ``chunk_rows`` must be at least max(h).
+    """
+    h_max = max(horizons)
+    if chunk_rows < h_max:
+        raise ValueError("chunk_rows must be at least the largest horizon")
+    keys = roles.series_partition()
+    key_names = [roles.segment, roles.id] if len(keys) == 2 else [roles.id]
+    t = F.col(roles.time)
+    t_us = F.unix_micros(t.cast("timestamp"))
+    # 1. positions: time chunks from a per-series sketch of the times
+    fractions = [i / TIME_CUTS for i in range(1, TIME_CUTS)]
+    cuts = df.groupBy(*key_names).agg(
+        F.percentile_approx(t_us, fractions, 10 * TIME_CUTS).alias("_cuts"))
+    tagged = _join_null_safe(df, cuts, key_names).withColumn(
+        "_tchunk", F.size(F.filter(F.col("_cuts"), lambda c: c < t_us))).drop("_cuts")
+    local = tagged.withColumn("_rn", F.row_number().over(
+        Window.partitionBy(*key_names, "_tchunk").orderBy(t)))
+    counts = tagged.groupBy(*key_names, "_tchunk").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_off", F.sum("_n").over(
+        Window.partitionBy(*key_names).orderBy("_tchunk")
+        .rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_off"]).drop("_n")
+    pos = _join_null_safe(local, offsets, key_names + ["_tchunk"]).withColumn(
+        "_pos", F.col("_off") + F.col("_rn") - 1).drop("_tchunk", "_rn", "_off")
+    # 2. row chunks with a halo of the previous chunk's last h_max rows
+    pchunk = F.floor(F.col("_pos") / F.lit(chunk_rows))
+    own = pos.withColumns({"_pchunk": pchunk, "_halo": F.lit(False)})
+    halo = (own.filter(F.col("_pos") % chunk_rows >= chunk_rows - h_max)
+            .withColumns({"_pchunk": F.col("_pchunk") + 1, "_halo": F.lit(True)}))
+    w = Window.partitionBy(*key_names, "_pchunk").orderBy("_pos")
+    y = F.col(roles.target)
+    lagged = own.unionByName(halo).withColumns(
+        {lag_name(h): F.lag(y, h).over(w).cast("double") for h in horizons})
+    return lagged.filter(~F.col("_halo")).drop("_pos", "_pchunk", "_halo")

@@ -29,7 +29,7 @@ def _bounds_scalar(df: DataFrame, roles: Roles, n_folds: int, n_pred: int) -> Co
 
 
 def backtest_frame(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                   unit: str = "day") -> DataFrame:
+                   unit: str = "day", chunk_rows: int | None = None) -> DataFrame:
     """Panel + ``segment`` + lags, with per-row fold tags:
 
     - ``train_from``: first fold whose training set (t <= end_train) holds the row;
@@ -42,7 +42,7 @@ def backtest_frame(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds
     s = roles.with_segment(df)
     # The K-element bounds arrive once per row as a column, so the subquery
     # runs once however many expressions read it.
-    lagged = add_lags(s, roles, horizons).withColumn(
+    lagged = add_lags(s, roles, horizons, chunk_rows).withColumn(
         "_bounds", _bounds_scalar(s, roles, n_folds, n_pred))
     b = F.col("_bounds")
     t = F.col(roles.time)
@@ -80,7 +80,8 @@ def last_backtest_prediction(horizons: list[int], group: int) -> Column:
 
 
 def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                         models: tuple[str, ...] = ("Last",), unit: str = "day") -> DataFrame:
+                         models: tuple[str, ...] = ("Last",), unit: str = "day",
+                         chunk_rows: int | None = None) -> DataFrame:
     """(model, fold, predict_horizon, segment, id, time, y, prediction, beyond).
 
     The fold means of Mean / MeanTS (pre-aggregated from the training rows)
@@ -89,7 +90,7 @@ def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n
     """
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
-    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit)
+    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, chunk_rows)
     if any(m != "Last" for m in models):
         # two consumers (test rows, training means): materialize once
         frame = checkpoint(frame)
@@ -121,9 +122,10 @@ def backtest_scores(preds: DataFrame, keys: list[str], roles: Roles) -> DataFram
 
 
 def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                  unit: str = "day") -> DataFrame:
+                  unit: str = "day", chunk_rows: int | None = None) -> DataFrame:
     """(fold, segment, n, mse) of the Last forecaster: one job, no loop."""
-    preds = backtest_predictions(df, roles, n_pred, group, n_folds, ("Last",), unit)
+    preds = backtest_predictions(df, roles, n_pred, group, n_folds, ("Last",), unit,
+                                 chunk_rows)
     return backtest_scores(preds, ["fold", "segment"], roles)
 
 

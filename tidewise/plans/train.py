@@ -23,14 +23,14 @@ SCORE_KEYS = ["segment", "predict_horizon", "model", "candidate"]
 
 
 def cv_frame(df: DataFrame, roles: Roles, horizons: list[int], n_folds: int, n_pred: int,
-             by_segment: bool = True) -> DataFrame:
+             by_segment: bool = True, chunk_rows: int | None = None) -> DataFrame:
     """Panel + ``segment`` + one lag per horizon + fold tags.
 
     Folds are computed per segment when ``by_segment`` (each segment's model
     sees its own distinct times), else over the whole panel.
     """
     s = roles.with_segment(df)
-    lagged = add_lags(s, roles, horizons)
+    lagged = add_lags(s, roles, horizons, chunk_rows)
     return with_folds(lagged, roles, n_folds, n_pred, by_segment)
 
 
@@ -54,7 +54,8 @@ def last_cv_scores(folded: DataFrame, roles: Roles, horizons: list[int]) -> Data
 
 
 def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                    models: tuple[str, ...] = BASELINES, by_segment: bool = True) -> DataFrame:
+                    models: tuple[str, ...] = BASELINES, by_segment: bool = True,
+                    chunk_rows: int | None = None) -> DataFrame:
     """(segment, predict_horizon, model, candidate, fold, n, mse) per baseline.
 
     All baselines are scored in ONE aggregate over the test rows: the fold
@@ -64,7 +65,7 @@ def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_fold
     the lag, so their score is the same for every horizon.
     """
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
-    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment)
+    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
     if any(m != "Last" for m in models):
         # the tagged panel feeds both the test rows and the training means:
         # write it once to the shared checkpoint folder instead of running
