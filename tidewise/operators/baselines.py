@@ -57,3 +57,36 @@ def mean_predictions(test: DataFrame, folded: DataFrame, roles: Roles, model: st
     keys = mean_keys(model, roles)
     means = fold_means(folded, roles, keys, n_folds)
     return test.join(means, keys + ["fold"], "left")
+
+
+def fold_mean_tables(folded: DataFrame, roles: Roles, models, n_folds: int) -> dict:
+    """Fold means of every requested mean model from ONE aggregate.
+
+    Per-series partial sums by (segment, id, first training fold) feed both
+    MeanTS (per series) and Mean (summed per segment), so the training rows
+    are read once however many mean models are scored.
+    """
+    wanted = [m for m in models if m in ("Mean", "MeanTS")]
+    if not wanted:
+        return {}
+    per_series = fold_means_parts(folded, roles, ["segment", roles.id], n_folds)
+    out = {}
+    if "MeanTS" in wanted:
+        out["MeanTS"] = per_series.select(
+            "segment", roles.id, "fold",
+            F.try_divide(F.col("_s"), F.col("_c").cast("double")).alias("prediction"))
+    if "Mean" in wanted:
+        out["Mean"] = per_series.groupBy("segment", "fold").agg(
+            F.try_divide(F.sum("_s"), F.sum("_c").cast("double")).alias("prediction"))
+    return out
+
+
+def fold_means_parts(folded: DataFrame, roles: Roles, keys: list[str], n_folds: int) -> DataFrame:
+    """(keys..., fold, _s, _c): target sum and count over each fold's training rows."""
+    y = F.col(roles.target)
+    part = (folded.filter(F.col("train_from").isNotNull())
+            .groupBy(*keys, "train_from")
+            .agg(F.sum(y).alias("_s"), F.count(y).alias("_c")))
+    per_fold = part.select(*keys, "_s", "_c", F.explode(
+        F.sequence(F.col("train_from"), F.lit(n_folds - 1).cast("bigint"))).alias("fold"))
+    return per_fold.groupBy(*keys, "fold").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))

@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.functions.offsets import unit_micros
-from tidewise.operators.baselines import fold_means, mean_keys
+from tidewise.operators.baselines import fold_mean_tables, mean_keys
 from tidewise.operators.folds import fold_arrays
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags, lag_name
 from tidewise.operators.metrics import guard_missing, round_score, sq_err
 from tidewise.roles import Roles
-from tidewise.session import checkpoint
 
 
 def _bounds_scalar(df: DataFrame, roles: Roles, n_folds: int, n_pred: int) -> Column:
@@ -91,16 +90,11 @@ def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
     frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, chunk_rows)
-    if any(m != "Last" for m in models):
-        # two consumers (test rows, training means): materialize once
-        frame = checkpoint(frame)
     tests = backtest_tests(frame)
-    for model in models:
-        if model != "Last":
-            keys = mean_keys(model, roles)
-            means = fold_means(frame, roles, keys, n_folds).withColumnRenamed(
-                "prediction", f"_p_{model}")
-            tests = tests.join(means, keys + ["fold"], "left")
+    for model, means in fold_mean_tables(frame, roles, models, n_folds).items():
+        keys = mean_keys(model, roles)
+        tests = tests.join(means.withColumnRenamed("prediction", f"_p_{model}"),
+                           keys + ["fold"], "left")
     per_model = F.array(*[F.struct(
         F.lit(m).alias("model"),
         (last_backtest_prediction(horizons, group) if m == "Last"

@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewise.operators.baselines import (BASELINES, fold_means, last_prediction, mean_keys,
+from tidewise.operators.baselines import (BASELINES, fold_mean_tables, last_prediction, mean_keys,
                                           mean_predictions)
 from tidewise.operators.folds import with_folds
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags
 from tidewise.operators.metrics import fold_summary, guard_missing, sq_err
 from tidewise.roles import Roles
-from tidewise.session import checkpoint
 
 SCORE_KEYS = ["segment", "predict_horizon", "model", "candidate"]
 
@@ -66,19 +65,14 @@ def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_fold
     """
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
     folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
-    if any(m != "Last" for m in models):
-        # the tagged panel feeds both the test rows and the training means:
-        # write it once to the shared checkpoint folder instead of running
-        # its lineage (scan, lags, fold tags) once per consumer
-        folded = checkpoint(folded)
     test = (folded.filter(F.col("test_fold").isNotNull())
             .withColumnRenamed("test_fold", "fold"))
-    for model in models:
-        if model != "Last":
-            keys = mean_keys(model, roles)
-            means = fold_means(folded, roles, keys, n_folds).withColumnRenamed(
-                "prediction", f"_p_{model}")
-            test = test.join(means, keys + ["fold"], "left")
+    # training means: one pre-aggregation of the training rows (no window, no
+    # lag: Catalyst prunes them from this branch), joined as small relations
+    for model, means in fold_mean_tables(folded, roles, models, n_folds).items():
+        keys = mean_keys(model, roles)
+        test = test.join(means.withColumnRenamed("prediction", f"_p_{model}"),
+                         keys + ["fold"], "left")
     y = F.col(roles.target)
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(y.isNull()).alias("_ymiss")]
     cells = []
