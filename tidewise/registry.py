@@ -185,6 +185,16 @@ def q_lag_feature(spark, sf_dir):
     return add_lags(_series(spark, sf_dir), ROLES, HORIZONS)
 
 
+# Fixed value: rows per chunk of the skew-safe lag query (each series here has
+# about 2,450 rows, so every series is cut into several chunks).
+LAG_CHUNK_ROWS = 500
+
+
+@register("lag_feature_chunked", f"with {LAGS_CTE} select * from lags")
+def q_lag_feature_chunked(spark, sf_dir):
+    return add_lags(_series(spark, sf_dir), ROLES, HORIZONS, chunk_rows=LAG_CHUNK_ROWS)
+
+
 @register("lead_target", f"""with {SERIES_CTE}
 select id, segment, date, y, lead(y, 7) over (partition by segment, id order by date) as target
 from series""")
