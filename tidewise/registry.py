@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 from tidewise.functions.calendar import ALL_FEATURES, add_time_features
 from tidewise.functions.frequency import infer_frequency
 from tidewise.operators import folds as fo
+from tidewise.operators import forest as fr
+from tidewise.operators import prepare as pp
+from tidewise.operators import profile as pf
 from tidewise.operators.horizons import horizon_list, segment_horizons
 from tidewise.operators.lags import add_lags, horizon_grid, lead_target
 from tidewise.operators.metrics import round_score
 from tidewise.operators.splits import group_split_role, split_role, with_role
 from tidewise.plans import backtest as bt
 from tidewise.plans import train as tr
+from tidewise.plans.backtest import backtest_scores, forest_backtest_predictions
+from tidewise.plans.base_table import base_table
 from tidewise.sources import fixtures as fx
 from tidewise.sources.panel import normalize_panel
 from tidewise.sources.tables import read_table
@@ -413,8 +418,6 @@ def q_backtest_scores(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Base table: reshape, joins, flag, sample
 # --------------------------------------------------------------------------
-from tidewise.operators import prepare as pp  # noqa: E402
-from tidewise.plans.base_table import base_table  # noqa: E402
 
 # Fixed values of the sample: one state, two stores, one department, two ship
 # years and ten items.
@@ -534,7 +537,6 @@ def q_sample_filter(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Column profiles and imputation values
 # --------------------------------------------------------------------------
-from tidewise.operators import profile as pf  # noqa: E402
 
 PROFILE_COLUMNS = ["id", "segment", "y", "year", "month", "day", "hour", "minute", "second",
                    "microsecond", "nanosecond"]
@@ -592,8 +594,6 @@ def q_impute_categorical(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Random forest (rows-only checks: Spark ML forests have no SQL form)
 # --------------------------------------------------------------------------
-from tidewise.operators import forest as fr  # noqa: E402
-from tidewise.plans.backtest import backtest_scores, forest_backtest_predictions  # noqa: E402
 
 # The parameters of the single-fit queries, and the setting of
 # the registered search (one 28-step horizon over the whole panel).
