@@ -108,11 +108,20 @@ def roles_by_time(df: DataFrame, roles: Roles, n_folds: int, n_pred: int,
     fa = fold_arrays(df, roles, n_folds, n_pred, by_segment)
     dt = df.select(_fold_segment(roles, by_segment).alias("fold_segment"),
                    F.col(roles.time).alias(roles.time)).distinct()
-    j = dt.join(fa, "fold_segment")
+    if by_segment:
+        j = dt.join(fa, "fold_segment")  # equi-join on the segment
+        bounds = {name: F.col(name) for name in ("end_train", "test_start", "end_test")}
+    else:
+        # one set of bounds for the whole panel: a scalar subquery (K-element
+        # arrays), no join
+        j = dt.withColumn("_b", fa.select(
+            F.struct("end_train", "test_start", "end_test")).scalar())
+        bounds = {name: F.col("_b").getField(name)
+                  for name in ("end_train", "test_start", "end_test")}
     t = F.col(roles.time)
 
     def at(name, f):
-        return F.element_at(F.col(name), f + 1)
+        return F.element_at(bounds[name], f + 1)
 
     test_fold = _first_true([(t >= at("test_start", f)) & (t <= at("end_test", f))
                              for f in range(n_folds)])

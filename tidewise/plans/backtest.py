@@ -68,8 +68,14 @@ def backtest_frame(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds
 
 
 def backtest_tests(frame: DataFrame) -> DataFrame:
-    """One row per (panel row, fold) in a fold's time group."""
-    return frame.select("*", F.inline("tests")).drop("tests", "train_from")
+    """One row per (panel row, fold) in a fold's time group.
+
+    ``inline_outer`` then a filter, rather than ``inline``: for an inner
+    generator Spark infers a size filter and pushes it below the projection
+    that reads the fold bounds, copying the bounds subquery into it.
+    """
+    return (frame.select("*", F.inline_outer("tests")).filter(F.col("fold").isNotNull())
+            .drop("tests", "train_from"))
 
 
 def last_backtest_prediction(horizons: list[int], group: int) -> Column:
