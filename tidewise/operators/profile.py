@@ -142,13 +142,19 @@ def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TAS
     st = spark.createDataFrame(
         [(c, w, lo, hi, below, k) for (c, w), (lo, hi, below, k) in state.items()],
         _STATE_SCHEMA)
-    cand = values.join(F.broadcast(st), "column_name").filter(_in_range())
+    # left join: an all-null column has no rank to pick and keeps one row
+    # (which = null) so that it still gets a (null) median
+    src = counted if widest <= task_values else values.unionByName(
+        counted.filter(~nonnull))
+    cand = (src.join(F.broadcast(st), "column_name", "left")
+            .filter(F.col("which").isNull() | (nonnull & _in_range())))
     w = (Window.partitionBy("column_name", "which").orderBy("value")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = cand.withColumn("_cum", F.col("below") + F.sum("w").over(w))
-    picked = ranked.filter((F.col("_cum") - F.col("w") <= F.col("k")) & (F.col("k") < F.col("_cum")))
-    med = picked.groupBy("column_name").agg(F.avg("value").alias("median"))
-    return totals.select("column_name").join(med, "column_name", "left")
+    hit = (F.col("_cum") - F.col("w") <= F.col("k")) & (F.col("k") < F.col("_cum"))
+    picked = ranked.filter(F.col("which").isNull() | hit)
+    return picked.groupBy("column_name").agg(
+        F.avg(F.when(F.col("which").isNotNull(), F.col("value"))).alias("median"))
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
