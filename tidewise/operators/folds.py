@@ -131,9 +131,13 @@ def roles_by_time(df: DataFrame, roles: Roles, n_folds: int, n_pred: int,
 
 
 def with_folds(df: DataFrame, roles: Roles, n_folds: int, n_pred: int,
-               by_segment: bool = False) -> DataFrame:
-    """Attach ``test_fold`` and ``train_from`` to every panel row."""
-    rt = roles_by_time(df, roles, n_folds, n_pred, by_segment)
+               by_segment: bool = False, tags: DataFrame | None = None) -> DataFrame:
+    """Attach ``test_fold`` and ``train_from`` to every panel row.
+
+    ``tags``: a precomputed ``roles_by_time`` relation (e.g. materialized once
+    when several plans read the same panel).
+    """
+    rt = tags if tags is not None else roles_by_time(df, roles, n_folds, n_pred, by_segment)
     keyed = df.withColumn("fold_segment", _fold_segment(roles, by_segment))
     return keyed.join(rt, ["fold_segment", roles.time]).drop("fold_segment")
 
