@@ -140,18 +140,19 @@ def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group:
 
     One distributed fit per (fold, segment, horizon), run from a small driver
     thread pool; predictions stay lazy and are unioned into one DataFrame.
+    The tagged grid is written once to the shared checkpoint folder,
+    partitioned by segment, so each fit reads only its segment's files.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark import StorageLevel
-
     from tidewise.operators import forest as fr
     from tidewise.plans.train import forest_features, horizon_frame
+    from tidewise.session import write_scratch
 
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
-    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    frame = write_scratch(backtest_frame(df, roles, n_pred, group, n_folds, unit),
+                          "backtest-grid", ["segment"])
     tests = backtest_tests(frame)
     tasks = [(k, seg, h) for k in range(n_folds) for (seg, h) in sorted(params_by_model)]
 

@@ -193,40 +193,39 @@ def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
     """(segment, predict_horizon, model, candidate, fold, n, mse, params) of a
     random search over forest parameters, scored on the expanding folds.
 
-    Each (segment, horizon, candidate, fold) is one distributed Spark ML fit
-    on a filter of one persisted frame; a small driver thread pool keeps
-    several fits in flight. Only per-fit scores come back to the driver.
+    Each (segment, horizon, candidate, fold) is one distributed Spark ML fit;
+    a small driver thread pool keeps several fits in flight. The tagged grid
+    is written once to the shared checkpoint folder, partitioned by segment,
+    so each fit reads only its own segment's files. Only per-fit scores come
+    back to the driver.
     """
     import json
     from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark import StorageLevel
-
     from tidewise.operators import forest as fr
+    from tidewise.session import write_scratch
 
     candidates = candidates or fr.sample_candidates()
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
-    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        segments = [r[0] for r in folded.select("segment").distinct().collect()]
-        tasks = [(s, h, ci, k) for s in sorted(segments) for h in horizons
-                 for ci in range(len(candidates)) for k in range(n_folds)]
-
-        def run(task):
-            seg, h, ci, k = task
-            grid = horizon_frame(folded.filter(F.col("segment") == seg), horizons, h)
-            feats = forest_features(grid, roles)
-            train = grid.filter(F.col("train_from") <= k)
-            test = grid.filter(F.col("test_fold") == k)
-            model = fr.fit_forest(train, roles, candidates[ci], feats, fit_partitions)
-            n, m = _score(fr.predict(model, test, roles), roles)
-            return (seg, h, FOREST, ci, k, n, m, json.dumps(candidates[ci], sort_keys=True))
-
-        with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
-            rows = list(ex.map(run, tasks))
-    finally:
-        folded.unpersist()
+    folded = write_scratch(cv_frame(df, roles, horizons, n_folds, n_pred, by_segment),
+                           "cv-grid", ["segment"])
+    # segment labels drive the fits; one per model, so bounded by the model count
+    segments = [r[0] for r in folded.select("segment").distinct().collect()]
+    tasks = [(s, h, ci, k) for s in sorted(segments) for h in horizons
+             for ci in range(len(candidates)) for k in range(n_folds)]
+
+    def run(task):
+        seg, h, ci, k = task
+        grid = horizon_frame(folded.filter(F.col("segment") == seg), horizons, h)
+        feats = forest_features(grid, roles)
+        train = grid.filter(F.col("train_from") <= k)
+        test = grid.filter(F.col("test_fold") == k)
+        model = fr.fit_forest(train, roles, candidates[ci], feats, fit_partitions)
+        n, m = _score(fr.predict(model, test, roles), roles)
+        return (seg, h, FOREST, ci, k, n, m, json.dumps(candidates[ci], sort_keys=True))
+
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
+        rows = list(ex.map(run, tasks))
     return df.sparkSession.createDataFrame(rows, FOREST_SCORE_SCHEMA)
 
 

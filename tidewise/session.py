@@ -67,3 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tidewise-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def write_scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and return a
+    scan of it. With ``partition_by``, later filters on those columns read
+    only the matching folders (e.g. one segment per model fit)."""
+    path = scratch_path(df.sparkSession, name)
+    w = df.write.mode("error")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
