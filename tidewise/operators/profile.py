@@ -92,8 +92,11 @@ def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TAS
     from tidewise.session import checkpoint
 
     spark = df.sparkSession
-    counted = (_long_values(df, cols, "double")
-               .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w")))
+    # the value counts are read by every round and the final pick: keep them
+    # once in the shared checkpoint folder (distinct values, not rows), so the
+    # input's lineage runs once
+    counted = checkpoint(_long_values(df, cols, "double")
+                         .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w")))
     nonnull = F.col("value").isNotNull()
     totals = counted.groupBy("column_name").agg(
         F.sum(F.when(nonnull, F.col("w"))).alias("n"), F.count("value").alias("distinct"))
@@ -106,8 +109,6 @@ def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TAS
                 state[(r["column_name"], which)] = [None, None, 0, k]
     values = counted.filter(nonnull)
     widest = max([r["distinct"] for r in stats], default=0)
-    if widest > task_values:
-        values = checkpoint(values)  # read once per narrowing round
     while widest > task_values:
         st = spark.createDataFrame(
             [(c, w, lo, hi, below, k) for (c, w), (lo, hi, below, k) in state.items()],
