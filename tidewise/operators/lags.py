@@ -95,7 +95,9 @@ def add_lags_chunked(df: DataFrame, roles: Roles, horizons: list[int],
     keys = roles.series_partition()
     key_names = [roles.segment, roles.id] if len(keys) == 2 else [roles.id]
     t = F.col(roles.time)
-    t_us = F.unix_micros(t.cast("timestamp"))
+    # microseconds since the epoch on the wall-clock value (no time zone)
+    t_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            t.cast("timestamp_ntz"))
     # 1. positions: time chunks from a per-series sketch of the times
     fractions = [i / TIME_CUTS for i in range(1, TIME_CUTS)]
     cuts = df.groupBy(*key_names).agg(
