@@ -108,3 +108,18 @@ def test_backtest_with_chunked_lags_is_the_same(frame):
     a = sorted(tuple(r) for r in bt.backtest_last(df, ROLES, 8, 4, 3).collect())
     b = sorted(tuple(r) for r in bt.backtest_last(df, ROLES, 8, 4, 3, chunk_rows=10).collect())
     assert a == b
+
+
+def test_backtest_does_not_depend_on_session_time_zone(spark, frame):
+    # daily series across a daylight-saving change of the session zone
+    rows = [("a", "s", t, float(i % 7)) for i, t in enumerate(daily("2021-01-20", 60))]
+    # the last fold trains up to 2021-03-12 and tests across the 2021-03-14 change
+    want = backtest_last_bruteforce(rows, 8, 4, 3)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {(r["fold"], r["segment"]): (r["n"], r["mse"])
+               for r in bt.backtest_last(frame(rows, SCHEMA), ROLES, 8, 4, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
