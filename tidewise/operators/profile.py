@@ -76,7 +76,7 @@ def _in_range(lo: str = "lo", hi: str = "hi"):
 
 
 def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TASK_VALUES,
-                   buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+                   buckets: int = MEDIAN_BUCKETS, materialize: bool = True) -> DataFrame:
     """(column_name, median): exact median of the non-null values, the mean of
     the two middle values for an even count (null for an all-null column).
 
@@ -95,8 +95,10 @@ def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TAS
     # the value counts are read by every round and the final pick: keep them
     # once in the shared checkpoint folder (distinct values, not rows), so the
     # input's lineage runs once
-    counted = checkpoint(_long_values(df, cols, "double")
-                         .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w")))
+    counted = (_long_values(df, cols, "double")
+               .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("w")))
+    if materialize:  # callers with a persisted input pass False
+        counted = checkpoint(counted)
     nonnull = F.col("value").isNotNull()
     totals = counted.groupBy("column_name").agg(
         F.sum(F.when(nonnull, F.col("w"))).alias("n"), F.count("value").alias("distinct"))
