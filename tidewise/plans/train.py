@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from tidewise.operators.baselines import (BASELINES, fold_mean_tables, last_prediction, mean_keys,
                                           mean_predictions)
-from tidewise.operators.folds import roles_by_time, with_folds
+from tidewise.operators.folds import with_folds
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags
 from tidewise.operators.metrics import fold_summary, guard_missing, sq_err
 from tidewise.roles import Roles
-from tidewise.session import checkpoint
 
 SCORE_KEYS = ["segment", "predict_horizon", "model", "candidate"]
 
@@ -31,12 +30,12 @@ def cv_frame(df: DataFrame, roles: Roles, horizons: list[int], n_folds: int, n_p
     """
     s = roles.with_segment(df)
     lagged = add_lags(s, roles, horizons, chunk_rows)
-    # The fold tags (one row per distinct (segment, time)) are read by every
-    # consumer of this frame; materialize that small relation once in the
-    # shared checkpoint folder so the panel's time column is scanned for it
-    # once, not once per consumer.
-    tags = checkpoint(roles_by_time(s, roles, n_folds, n_pred, by_segment))
-    return with_folds(lagged, roles, n_folds, n_pred, by_segment, tags)
+    # The fold tags are a small relation over the (segment, time) columns;
+    # each consumer of this frame (test rows, training sums) recomputes them
+    # from a column-pruned scan, which is cheaper than writing them out at
+    # small scale. Pass a materialized ``roles_by_time`` to ``with_folds``
+    # when the panel's lineage is expensive.
+    return with_folds(lagged, roles, n_folds, n_pred, by_segment)
 
 
 def last_cv_scores(folded: DataFrame, roles: Roles, horizons: list[int]) -> DataFrame:
