@@ -1,7 +1,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from helpers import daily, lag_bruteforce, moon_bruteforce
 from tidewise import Roles

@@ -3,7 +3,6 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from helpers import backtest_last_bruteforce, daily, folds_bruteforce
 from tidewise import Roles

@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from helpers import daily
 from tidewise import Roles
