@@ -192,8 +192,9 @@ def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
     """(segment, predict_horizon, model, candidate, fold, n, mse, params) of a
     random search over forest parameters, scored on the expanding folds.
 
-    Each (segment, horizon, candidate, fold) is one distributed Spark ML fit;
-    a small driver thread pool keeps several fits in flight. The tagged grid
+    Each (segment, horizon, fold) fits its preprocessing once and one
+    distributed Spark ML forest per candidate; a small driver thread pool
+    keeps several of them in flight. The tagged grid
     is written once to the shared checkpoint folder, partitioned by segment,
     so each fit reads only its own segment's files. Only per-fit scores come
     back to the driver.
@@ -210,21 +211,26 @@ def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
                            "cv-grid", ["segment"])
     # segment labels drive the fits; one per model, so bounded by the model count
     segments = [r[0] for r in folded.select("segment").distinct().collect()]
-    tasks = [(s, h, ci, k) for s in sorted(segments) for h in horizons
-             for ci in range(len(candidates)) for k in range(n_folds)]
+    tasks = [(s, h, k) for s in sorted(segments) for h in horizons for k in range(n_folds)]
 
     def run(task):
-        seg, h, ci, k = task
+        # one (segment, horizon, fold): preprocessing fitted once, one forest
+        # per candidate on the same feature vectors
+        seg, h, k = task
         grid = horizon_frame(folded.filter(F.col("segment") == seg), horizons, h)
         feats = forest_features(grid, roles)
         train = grid.filter(F.col("train_from") <= k)
         test = grid.filter(F.col("test_fold") == k)
-        model = fr.fit_forest(train, roles, candidates[ci], feats, fit_partitions)
-        n, m = _score(fr.predict(model, test, roles), roles)
-        return (seg, h, FOREST, ci, k, n, m, json.dumps(candidates[ci], sort_keys=True))
+        models = fr.fit_forest_candidates(train, roles, candidates, feats, fit_partitions)
+        out = []
+        for ci, model in enumerate(models):
+            n, m = _score(fr.predict(model, test, roles), roles)
+            out.append((seg, h, FOREST, ci, k, n, m,
+                        json.dumps(candidates[ci], sort_keys=True)))
+        return out
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
-        rows = list(ex.map(run, tasks))
+        rows = [r for part in ex.map(run, tasks) for r in part]
     return df.sparkSession.createDataFrame(rows, FOREST_SCORE_SCHEMA)
 
 
