@@ -94,3 +94,12 @@ def test_chunked_lags_equal_plain_window(frame):
     assert len(chunked) == len(plain)
     for r in chunked:
         assert tuple(r) == plain[(r["id"], r["date"])]
+
+
+def test_chunked_frequency_equals_plain(frame):
+    rows = [("a", t, 1.0) for t in daily("2020-01-01", 50, {3, 9, 10})]
+    rows += [("b", dt.datetime(2020, 1, 1) + dt.timedelta(hours=30 * i), 1.0) for i in range(40)]
+    df = frame(rows, SCHEMA)
+    plain = infer_frequency(df, ROLES).collect()[0]
+    chunked = infer_frequency(df, ROLES, chunk_rows=6).collect()[0]
+    assert tuple(plain) == tuple(chunked) == (86_400_000_000, "day")

@@ -47,8 +47,19 @@ def frequency_label(step: Column) -> Column:
     return expr.otherwise(F.lit(DEFAULT_FREQUENCY))
 
 
-def infer_frequency(df: DataFrame, roles: Roles) -> DataFrame:
-    """One row: the minimum step over all series and its frequency label."""
-    steps = df.select(step_micros(roles).alias("step"))
+def infer_frequency(df: DataFrame, roles: Roles, chunk_rows: int | None = None) -> DataFrame:
+    """One row: the minimum step over all series and its frequency label.
+
+    ``chunk_rows``: find each row's previous time with the chunked lag, for
+    panels where one series may be too large for one task.
+    """
+    if chunk_rows is not None:
+        from tidewise.operators.lags import add_lags_chunked
+        prev = add_lags_chunked(df, roles, [1], chunk_rows, value=roles.time,
+                                names={1: "_prev"})
+        steps = prev.select(F.timestamp_diff("MICROSECOND", F.col("_prev"),
+                                             F.col(roles.time)).alias("step"))
+    else:
+        steps = df.select(step_micros(roles).alias("step"))
     return steps.agg(F.min("step").alias("min_step_us")).select(
         "min_step_us", frequency_label(F.col("min_step_us")).alias("frequency"))

@@ -74,7 +74,8 @@ TIME_CUTS = 1000
 
 
 def add_lags_chunked(df: DataFrame, roles: Roles, horizons: list[int],
-                     chunk_rows: int) -> DataFrame:
+                     chunk_rows: int, value: str | None = None,
+                     names: dict[int, str] | None = None) -> DataFrame:
     """``add_lags`` for panels where one series may be too large for one task.
 
     Same result as the plain window, computed in row chunks of one series:
@@ -118,7 +119,10 @@ def add_lags_chunked(df: DataFrame, roles: Roles, horizons: list[int],
     halo = (own.filter(F.col("_pos") % chunk_rows >= chunk_rows - h_max)
             .withColumns({"_pchunk": F.col("_pchunk") + 1, "_halo": F.lit(True)}))
     w = Window.partitionBy(*key_names, "_pchunk").orderBy("_pos")
-    y = F.col(roles.target)
-    lagged = own.unionByName(halo).withColumns(
-        {lag_name(h): F.lag(y, h).over(w).cast("double") for h in horizons})
+    if value is None:  # the target, as double, in last_h columns
+        y = F.col(roles.target)
+        cols = {lag_name(h): F.lag(y, h).over(w).cast("double") for h in horizons}
+    else:  # any column, type kept, under the given names
+        cols = {names[h]: F.lag(F.col(value), h).over(w) for h in horizons}
+    lagged = own.unionByName(halo).withColumns(cols)
     return lagged.filter(~F.col("_halo")).drop("_pos", "_pchunk", "_halo")
