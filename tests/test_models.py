@@ -122,3 +122,17 @@ def test_backtest_does_not_depend_on_session_time_zone(spark, frame):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+
+
+def test_materialized_scoring_is_the_same(frame):
+    df = frame(_rows(seed=12, gaps=True), SCHEMA)
+    models = ("Last", "Mean", "MeanTS")
+    a = sorted(tuple(r) for r in tr.baseline_scores(df, ROLES, 4, 2, 2, models).collect())
+    b = sorted(tuple(r) for r in tr.baseline_scores(df, ROLES, 4, 2, 2, models,
+                                                    materialize=True).collect())
+    assert a == b
+    c = sorted(map(tuple, bt.backtest_predictions(df, ROLES, 8, 4, 3, models).collect()),
+               key=str)
+    d = sorted(map(tuple, bt.backtest_predictions(df, ROLES, 8, 4, 3, models,
+                                                  materialize=True).collect()), key=str)
+    assert c == d

@@ -86,7 +86,7 @@ def last_backtest_prediction(horizons: list[int], group: int) -> Column:
 
 def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                          models: tuple[str, ...] = ("Last",), unit: str = "day",
-                         chunk_rows: int | None = None) -> DataFrame:
+                         chunk_rows: int | None = None, materialize: bool = False) -> DataFrame:
     """(model, fold, predict_horizon, segment, id, time, y, prediction, beyond).
 
     The fold means of Mean / MeanTS (pre-aggregated from the training rows)
@@ -96,6 +96,9 @@ def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
     frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, chunk_rows)
+    if materialize:  # expensive panel lineage: write the tagged grid once
+        from tidewise.session import checkpoint
+        frame = checkpoint(frame)
     tests = backtest_tests(frame)
     for model, means in fold_mean_tables(frame, roles, models, n_folds).items():
         keys = mean_keys(model, roles)

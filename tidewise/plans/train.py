@@ -59,7 +59,7 @@ def last_cv_scores(folded: DataFrame, roles: Roles, horizons: list[int]) -> Data
 
 def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                     models: tuple[str, ...] = BASELINES, by_segment: bool = True,
-                    chunk_rows: int | None = None) -> DataFrame:
+                    chunk_rows: int | None = None, materialize: bool = False) -> DataFrame:
     """(segment, predict_horizon, model, candidate, fold, n, mse) per baseline.
 
     All baselines are scored in ONE aggregate over the test rows: the fold
@@ -70,6 +70,11 @@ def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_fold
     """
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
     folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
+    if materialize:
+        # for an expensive panel lineage: write the tagged grid once to the
+        # shared checkpoint folder; test rows and training sums then read it
+        from tidewise.session import checkpoint
+        folded = checkpoint(folded)
     test = (folded.filter(F.col("test_fold").isNotNull())
             .withColumnRenamed("test_fold", "fold"))
     # training means: one pre-aggregation of the training rows (no window, no
