@@ -150,7 +150,7 @@ def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group:
 
     from tidewise.operators import forest as fr
     from tidewise.plans.train import forest_features, horizon_frame
-    from tidewise.session import write_scratch
+    from tidewise.session import scratch_path, write_scratch
 
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
@@ -158,23 +158,26 @@ def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group:
                           "backtest-grid", ["segment"])
     tests = backtest_tests(frame)
     tasks = [(k, seg, h) for k in range(n_folds) for (seg, h) in sorted(params_by_model)]
+    # each fit writes its predictions to its own folder below one scratch
+    # path; one scan reads them all back, so the plan does not grow with the
+    # number of fits (a union of thousands of model outputs would)
+    out_path = scratch_path(df.sparkSession, "forest-predictions")
 
-    def run(task):
-        k, seg, h = task
+    def run(indexed):
+        i, (k, seg, h) = indexed
         grid = horizon_frame(frame.filter(F.col("segment") == seg), horizons, h)
         feats = forest_features(grid, roles)
         train = grid.filter(F.col("train_from") <= k)
         model = fr.fit_forest(train, roles, params_by_model[(seg, h)], feats)
         test = horizon_frame(tests.filter((F.col("segment") == seg) & (F.col("fold") == k)
                                           & (F.col("predict_horizon") == h)), horizons, h)
-        return fr.predict(model, test, roles, keep=["fold", "predict_horizon", "segment",
-                                                    "beyond"])
+        preds = fr.predict(model, test, roles, keep=["fold", "predict_horizon", "segment",
+                                                     "beyond"])
+        preds.write.mode("error").parquet(f"{out_path}/fit={i}")
 
     with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
-        preds = list(ex.map(run, tasks))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
+        list(ex.map(run, enumerate(tasks)))
+    out = df.sparkSession.read.parquet(out_path)
     return out.select(F.lit("RandomForest").alias("model"), "fold", "predict_horizon",
                       "segment", roles.id, roles.time, roles.target, "prediction", "beyond")
 
