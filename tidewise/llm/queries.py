@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewise.llm.bpe import encoded
 from tidewise.llm.ngram_join import jaccard_components
+from tidewise.llm import raking
+from tidewise.llm.quality import quality_scores
+from tidewise.llm.secrets import BASE_RULES, secret_spans
 from tidewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +31,83 @@ def register(name: str, sql: str | None = None):
 def op1(spark, sf_dir):
     return (jaccard_components(read_table(spark, sf_dir, "documents"))
             .withColumnRenamed("id", "doc_id"))
+
+
+@register("op8_quality_classifier")
+def op8(spark, sf_dir):
+    return (quality_scores(read_table(spark, sf_dir, "documents"),
+                           read_table(spark, sf_dir, "labels"))
+            .withColumnRenamed("id", "doc_id"))
+
+
+def _joined(spans):
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@register("op5_secret_scan")
+def op5(spark, sf_dir):
+    found = secret_spans(read_table(spark, sf_dir, "documents"))
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
+    return found.select(F.col("id").alias("doc_id"), of("assign"), of("access"), of("hex"),
+                        F.sha2(_joined(base), 256).alias("base_sha256"),
+                        _joined(F.col("spans")).alias("spans"))
+
+
+@register("op9_bpe_round_trip")
+def op9(spark, sf_dir):
+    import public_tokenizers
+    done = encoded(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _raking_sql() -> str:
+    """The same cells, targets, sweeps and draws in SQL: one step for each category
+    and sweep."""
+    names = ("source", "lang", "topic")
+    steps = []
+    before = "targets"
+    for i in range(raking.SWEEPS):
+        for c in names:
+            steps.append(f"""s{i}_{c} as (select source, lang, topic, tokens, t_source, t_lang, t_topic,
+                weight * t_{c} / sum(weight) over (partition by {c}) as weight from {before})""")
+            before = f"s{i}_{c}"
+    shares = ", ".join(f"""sh_{c} as (select {c}, pow(sum(tokens), {raking.POWER}) as part
+        from cells group by {c})""" for c in names)
+    targets = ", ".join(f"sh_{c}.part / (select sum(part) from sh_{c}) as t_{c}" for c in names)
+    joins = " ".join(f"join sh_{c} using ({c})" for c in names)
+    return f"""with docs as (
+      select doc_id, coalesce(source, '{raking.NULL_NAME}') as source, coalesce(lang, '{raking.NULL_NAME}') as lang,
+        case when contains(coalesce(text, ''), ' | ') then 'table' when contains(coalesce(text, ''), '@') then 'contact'
+             when contains(coalesce(text, ''), '!!') then 'loud'
+             when regexp_matches(coalesce(text, ''), '[0-9]{{3}}') then 'figures' else 'prose' end as topic,
+        cast(coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) as bigint) as n_tokens from documents),
+    cells as (select source, lang, topic, cast(sum(n_tokens) as double) as tokens from docs
+      group by 1, 2, 3 having sum(n_tokens) > 0),
+    {shares},
+    targets as (select cells.*, {targets}, tokens as weight from cells {joins}),
+    {", ".join(steps)},
+    chances as (select source, lang, topic,
+      (weight / tokens) / (select max(weight / tokens) from {before}) as probability from {before})
+    select doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(probability, 1.0), 6) as probability,
+      cast(concat('0x', substr(md5(concat('{raking.SEED}:', coalesce(cast(doc_id as varchar), 'null'))), 1, 8))
+        as bigint) / 4294967296.0 < coalesce(probability, 1.0) as kept
+    from docs d left join chances c on c.source = d.source and c.lang = d.lang and c.topic = d.topic"""
+
+
+@register("op3_source_mixing", _raking_sql())
+def op3(spark, sf_dir):
+    mixed = raking.mixture(read_table(spark, sf_dir, "documents"), {
+        "source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic("text")})
+    return mixed.select(
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"),
+        F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+        F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
