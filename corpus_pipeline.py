@@ -19,7 +19,7 @@ from tidewise.llm.ngram_join import jaccard_components
 from tidewise.llm.quality import CUT, fit_quality, with_quality
 from tidewise.llm.raking import mixture, topic
 from tidewise.llm.scratch import saved
-from tidewise.llm.secrets import redacted
+from tidewise.llm.secret_scan import redacted
 from tidewise.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")

@@ -218,10 +218,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of long lists whose nodes lie in different components and may link.
 
-    A list's main component is the one with most of its nodes. Every node
-    stays in one block of its list; nodes outside the main component ("left")
-    also go to each block, in blocks of their own. Pairs within the main
-    component need no look, all others meet in exactly such block pairs."""
+    A list's main component is the one with most of its nodes. The list's nodes
+    are bundled in blocks, those outside the main component ("left") in
+    blocks of their own as well, which meet all blocks of the list. Pairs within the
+    main component need no look; all others meet in exactly such block pairs."""
     members = (lists.join(comps.withColumnRenamed("node", "a"), "a", "left")
                .select("key", "a", F.coalesce("component", "a").alias("component"), "b"))
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -232,33 +232,27 @@ def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Ban
     members = (members.join(main, "key")
                .join(nodes.select(F.col("node").alias("a"), "n_shingles", "parity"), "a")
                .withColumn("block", block).withColumn("left", F.col("component") != F.col("main")))
-    blocks = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("b") / BLOCK)).cast("int") - 1)
-    out = members.filter("left").select("key", "a", "component", "n_shingles", "parity",
-                                        F.explode(blocks).alias("block"), F.col("block").alias("from"))
-    # each block meets the left nodes of each block that has any
-    heads = members.filter("left").select("key", F.col("block").alias("from")).distinct()
-    stay = members.select("key", "a", "component", "n_shingles", "parity", "block").join(heads, "key")
-    rows = out.withColumn("left", F.lit(True)).unionByName(stay.withColumn("left", F.lit(False)))
+    node = F.struct("a", "component", "n_shingles", "parity")
+    # a bundle is one block of a list: about BLOCK nodes in one row
+    bundles = members.groupBy("key", "block").agg(F.collect_list(node).alias("right"))
+    left = members.filter("left").groupBy("key", "block").agg(F.collect_list(node).alias("left"))
+    met = bundles.join(left.select("key", "left"), "key").select("left", "right")
 
     def run(batches):
         for batch in batches:
             yield from _block_pairs(batch, bands)
 
-    # one group is one block pair: at most about 2 * BLOCK nodes
-    grouped = rows.groupBy("key", "block", "from").agg(
-        F.collect_list(F.struct("left", "a", "component", "n_shingles", "parity")).alias("nodes"))
-    return grouped.select("nodes").mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def _block_pairs(batch: pa.RecordBatch, bands: Bands):
-    for nodes in batch.column("nodes").to_pylist():
-        size = min(len(x["parity"]) for x in nodes) // 8
+    for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+        size = min(len(x["parity"]) for x in left + right) // 8
         sides = []
-        for side in (True, False):
-            own = [x for x in nodes if x["left"] == side]
+        for own in (left, right):
             sides.append((own, np.array([x["n_shingles"] for x in own], np.int64),
                           np.array([x["component"] for x in own], np.int64),
-                          np.array([_folded(x["parity"], size) for x in own]).reshape(len(own), -1)))
+                          np.array([_folded(x["parity"], size) for x in own])))
         (left, n_l, c_l, p_l), (right, n_r, c_r, p_r) = sides
         n_l, c_l = n_l[:, None], c_l[:, None]
         may = (c_l != c_r) & (np.maximum(n_l, n_r) <= bands.largest_partner(np.minimum(n_l, n_r)))

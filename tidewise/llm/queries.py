@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.llm.bpe import encoded
+from tidewise.llm.fingerprint import edited_fingerprints
 from tidewise.llm.ngram_join import jaccard_components
 from tidewise.llm import raking
 from tidewise.llm.quality import quality_scores
-from tidewise.llm.secrets import BASE_RULES, secret_spans
+from tidewise.llm.secret_scan import BASE_RULES, secret_spans
 from tidewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,9 @@ def op3(spark, sf_dir):
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"),
         F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
         F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
+
+
+@register("op4_document_fingerprint")
+def op4(spark, sf_dir):
+    return (edited_fingerprints(read_table(spark, sf_dir, "documents"))
+            .withColumnRenamed("id", "doc_id"))
