@@ -59,17 +59,21 @@ def paragraph_ends(data: np.ndarray) -> np.ndarray:
     return at if len(at) and at[-1] == len(data) else np.append(at, len(data)) if len(data) else at
 
 
-def paragraph_vectors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ends, sign bits as rows of 64-bit words, weights) of a text's paragraphs."""
+def paragraph_vectors(data: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, sign bits as rows of 64-bit words, weights) of a text's paragraphs from
+    ``at`` on, the end of one of them."""
+    lead = min(at, REACH)  # the bytes before decide on the first ends
+    data = data[at - lead:]
     ends = paragraph_ends(data)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+    ends = ends[ends > lead]
+    starts = np.concatenate([[lead], ends[:-1]]).astype(np.int64) if len(ends) else ends
     full = np.flatnonzero(~H.SEPARATORS[data])
     first, last = np.searchsorted(full, starts), np.searchsorted(full, ends) - 1
     some = last >= first
     a, b = starts.copy(), starts.copy()
     a[some], b[some] = full[first[some]], full[last[some]] + 1
     hashes = H.span_hashes(data, a, b)
-    return ends, H.mix64(hashes[:, None] ^ _SEEDS), np.ceil(np.sqrt(b - a))
+    return ends + (at - lead), H.mix64(hashes[:, None] ^ _SEEDS), np.ceil(np.sqrt(b - a))
 
 
 def _sum(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -82,8 +86,9 @@ def _sum(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.mod(total, 2.0 ** 32).astype(np.uint32)
 
 
-def fingerprint(text: bytes) -> np.ndarray:
-    return _sum(*paragraph_vectors(np.frombuffer(text, np.uint8))[1:])
+def fingerprint(text: bytes, at: int = 0) -> np.ndarray:
+    """Of the paragraphs from ``at`` on."""
+    return _sum(*paragraph_vectors(np.frombuffer(text, np.uint8), at)[1:])
 
 
 def insert(own: np.ndarray, paragraphs: np.ndarray) -> np.ndarray:
@@ -124,7 +129,7 @@ def _edited(text: str, own: np.ndarray, vectors, following: str) -> tuple[str, n
     kept = int(np.searchsorted(ends, cut - 1, side="right"))
     at = int(ends[kept - 1]) if kept else 0
     gone = _sum(words[kept:], weights[kept:])
-    return new, insert(delete(own, gone), fingerprint(new.encode()[at:]))
+    return new, insert(delete(own, gone), fingerprint(new.encode(), at))
 
 
 def _paired(batches):
