@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.llm.bpe import encoded
+from tidewise.llm.embed_dedup import near_vectors
 from tidewise.llm.fingerprint import edited_fingerprints
 from tidewise.llm.ngram_join import jaccard_components
 from tidewise.llm import raking
 from tidewise.llm.quality import quality_scores
 from tidewise.llm.secret_scan import BASE_RULES, secret_spans
+from tidewise.llm.token_count import token_counts
 from tidewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +120,16 @@ def op3(spark, sf_dir):
 def op4(spark, sf_dir):
     return (edited_fingerprints(read_table(spark, sf_dir, "documents"))
             .withColumnRenamed("id", "doc_id"))
+
+
+@register("op6_token_count")
+def op6(spark, sf_dir):
+    import public_tokenizers
+    return (token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+            .withColumnRenamed("id", "doc_id"))
+
+
+@register("op7_embedding_near_dedup")
+def op7(spark, sf_dir):
+    return (near_vectors(read_table(spark, sf_dir, "embeddings"))
+            .withColumnRenamed("id", "vec_id"))
