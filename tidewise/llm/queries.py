@@ -15,6 +15,7 @@ from tidewise.llm import raking
 from tidewise.llm.quality import quality_scores
 from tidewise.llm.secret_scan import BASE_RULES, secret_spans
 from tidewise.llm.token_count import token_counts
+from tidewise.llm.warc import round_trip
 from tidewise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,8 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     return (near_vectors(read_table(spark, sf_dir, "embeddings"))
             .withColumnRenamed("id", "vec_id"))
+
+
+@register("op10_warc")
+def op10(spark, sf_dir):
+    return round_trip(read_table(spark, sf_dir, "pages"))
