@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewise.llm.bpe import encoded
 from tidewise.llm.embed_dedup import near_vectors
 from tidewise.llm.fingerprint import edited_fingerprints
+from tidewise.llm.lm_score import backoff_scores
 from tidewise.llm.ngram_join import jaccard_components
 from tidewise.llm import raking
 from tidewise.llm.quality import quality_scores
@@ -139,3 +140,9 @@ def op7(spark, sf_dir):
 @register("op10_warc")
 def op10(spark, sf_dir):
     return round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@register("op2_lm_scoring")
+def op2(spark, sf_dir):
+    return (backoff_scores(read_table(spark, sf_dir, "documents"))
+            .withColumnRenamed("id", "doc_id"))
