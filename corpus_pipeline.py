@@ -23,13 +23,20 @@ from tidewise.llm.secret_scan import redacted
 from tidewise.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-SCORE = "__quality_score"
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A beginning that no column of ``docs`` has."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     trees = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return with_quality(docs, trees, score_col=SCORE).filter(F.col(SCORE) >= CUT).drop(SCORE)
+    score = fresh(docs, "quality_score")
+    return with_quality(docs, trees, score_col=score).filter(F.col(score) >= CUT).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +59,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token weights meet the source, language and topic targets."""
-    mixed = mixture(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic("text")})
-    return mixed.filter("mix_kept").select(*docs.columns)
+    prefix = fresh(docs, "mix_")
+    mixed = mixture(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic("text")},
+                    prefix=prefix)
+    return mixed.filter(F.col(prefix + "kept")).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
