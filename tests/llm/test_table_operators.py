@@ -17,7 +17,7 @@ from . import brute
 
 # --- raking -------------------------------------------------------------------------
 
-def ipf(cells, power, sweeps):
+def ipf(cells, power, keep, sweeps):
     """Raked weight of each (category values) -> tokens."""
     total, weight = sum(cells.values()), dict(cells)
     for _ in range(sweeps):
@@ -30,30 +30,34 @@ def ipf(cells, power, sweeps):
             got = Counter()
             for c, w in weight.items():
                 got[c[k]] += w
-            weight = {c: w * target[c[k]] / scale / got[c[k]] for c, w in weight.items()}
-    assert total
+            weight = {c: w * target[c[k]] / scale * total / got[c[k]] for c, w in weight.items()}
+        weight = {c: min(w, cells[c] / keep) for c, w in weight.items()}
     return weight
 
 
-def test_mixture_against_brute_force(spark):
+@pytest.mark.parametrize("keep", [0.3, 0.9])
+def test_mixture_against_brute_force(spark, keep):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), ["s0", "s0", "s1", None][i % 4], "de" if i % 7 else "en", 1)
             for i in range(600)] + [(None, None, "s9", "en", 1), (3, "a b", "s1", "de", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
-    got = raking.mixture(df, {"source": F.col("source"), "lang": F.col("lang")}, power=0.5, sweeps=8).collect()
+    got = raking.mixture(df, {"source": F.col("source"), "lang": F.col("lang")}, power=0.5,
+                         keep=keep, sweeps=8).collect()
     cells = Counter()
     for _, t, s, lang, _ in rows:
         cells[s or raking.NULL_NAME, lang] += len((t or "").split())
     cells = {c: n for c, n in cells.items() if n}
-    weight = ipf(cells, 0.5, 8)
-    most = max(w / cells[c] for c, w in weight.items())
+    weight = ipf(cells, 0.5, keep, 8)
     assert len(got) == len(rows)
     for r in got:
         cell = (r.source or raking.NULL_NAME, r.lang)
-        p = weight[cell] / cells[cell] / most if cell in cells else 1.0
+        p = weight[cell] * keep / cells[cell] if cell in cells else 1.0
         u = int(hashlib.md5(f"{raking.SEED}:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:8], 16)
         assert math.isclose(r.mix_probability, p, rel_tol=1e-9)
         assert r.mix_kept == (u / 2 ** 32 < r.mix_probability)
+        assert r.mix_probability <= 1
+    if keep > 0.5:
+        return  # more than the scarce cells have
     # calibrated: expected tokens have the target shares of each category
     expected = Counter()
     for r in got:

@@ -85,9 +85,12 @@ def _raking_sql() -> str:
             steps.append(f"""s{i}_{c} as (select source, lang, topic, tokens, t_source, t_lang, t_topic,
                 weight * t_{c} / sum(weight) over (partition by {c}) as weight from {before})""")
             before = f"s{i}_{c}"
+        steps.append(f"""s{i} as (select source, lang, topic, tokens, t_source, t_lang, t_topic,
+            least(weight, tokens / {raking.KEEP}::double) as weight from {before})""")
+        before = f"s{i}"
     shares = ", ".join(f"""sh_{c} as (select {c}, pow(sum(tokens), {raking.POWER}) as part
         from cells group by {c})""" for c in names)
-    targets = ", ".join(f"sh_{c}.part / (select sum(part) from sh_{c}) as t_{c}" for c in names)
+    targets = ", ".join(f"sh_{c}.part / (select sum(part) from sh_{c}) * (select sum(tokens) from cells) as t_{c}" for c in names)
     joins = " ".join(f"join sh_{c} using ({c})" for c in names)
     return f"""with docs as (
       select doc_id, coalesce(source, '{raking.NULL_NAME}') as source, coalesce(lang, '{raking.NULL_NAME}') as lang,
@@ -100,8 +103,7 @@ def _raking_sql() -> str:
     {shares},
     targets as (select cells.*, {targets}, tokens as weight from cells {joins}),
     {", ".join(steps)},
-    chances as (select source, lang, topic,
-      (weight / tokens) / (select max(weight / tokens) from {before}) as probability from {before})
+    chances as (select source, lang, topic, weight * {raking.KEEP}::double / tokens as probability from {before})
     select doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(probability, 1.0), 6) as probability,
       cast(concat('0x', substr(md5(concat('{raking.SEED}:', coalesce(cast(doc_id as varchar), 'null'))), 1, 8))
         as bigint) / 4294967296.0 < coalesce(probability, 1.0) as kept

@@ -2,13 +2,15 @@
 
 Documents are summed into cells, one for each combination of the categories (a
 map-side aggregate, so a source with a third of all rows is no hot key). Token
-weights of the cells are raked to the target shares of each category in turn
-until all margins agree; a document is kept with its cell's raked weight per
-token, scaled so that no probability exceeds one. Only DataFrame functions.
+weights of the cells are raked to the target shares of each category in turn; a
+document is kept with its cell's raked weight per token, times the share of all
+tokens that the sample shall have. As no document is kept more than once, a cell's
+weight is bounded by what the cell has (a probability of 1); the bound is one more step of
+each sweep, so that the other cells make up for scarce ones as far as the targets
+allow. Only DataFrame functions.
 
 Targets are given as a power: a category's target share is proportional to its
-own share of tokens to that power (1 leaves it, 0 evens it out). The further the power
-is from 1, the smaller the sample, as the scarcest cell is the one kept whole.
+own share of tokens to that power (1 leaves it, 0 evens it out).
 
 The table of cells is as large as the number of combinations that occur, not as the
 documents. Its margins are sums by one category, joined back to the cells.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from tidewise.llm.scratch import saved
 
 SWEEPS = 6
-POWER = 0.9
+POWER = 0.7
+KEEP = 0.75  # share of all tokens in the sample, where the bounds allow it
 SEED = 20
 NULL_NAME = "(none)"
 
@@ -52,13 +55,16 @@ def uniform(id_col: str = "doc_id", seed: int = SEED) -> Column:
 
 
 def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
-          sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (categories, tokens) with ``weight``: the raked share of all tokens."""
+          keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
+    """``cells`` (categories, tokens) with ``weight``: the raked number of tokens, of as
+    many in all, and at most tokens / keep."""
     total = Window.partitionBy()
+    n = cells.agg(F.sum("tokens")).first()[0] or 0
     for c in categories:
         # the targets of one category: a small table, one row for each of its values
         share = cells.groupBy(c).agg((F.sum("tokens") ** power).alias("part"))
-        share = share.select(c, (F.col("part") / F.sum("part").over(total)).alias(f"target_{c}"))
+        target = F.col("part") / F.sum("part").over(total) * F.lit(float(n))
+        share = share.select(c, target.alias(f"target_{c}"))
         cells = cells.join(share, c)
     cells = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for i in range(sweeps):
@@ -66,13 +72,13 @@ def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
             factor = cells.groupBy(c).agg(F.sum("weight").alias("got"))
             cells = (cells.join(factor, c)
                      .withColumn("weight", F.col("weight") * F.col(f"target_{c}") / F.col("got")).drop("got"))
-        cells = saved(cells, "cells")
+        cells = saved(cells.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(keep))), "cells")
     return cells
 
 
 def mixture(docs: DataFrame, categories: dict[str, Column], id_col: str = "doc_id",
-            text_col: str = "text", power: float = POWER, sweeps: int = SWEEPS, seed: int = SEED,
-            prefix: str = "mix_") -> DataFrame:
+            text_col: str = "text", power: float = POWER, keep: float = KEEP, sweeps: int = SWEEPS,
+            seed: int = SEED, prefix: str = "mix_") -> DataFrame:
     """``docs`` with <prefix>tokens, the categories (<prefix>name), <prefix>probability
     and <prefix>kept."""
     if any(c.lower().startswith(prefix) for c in docs.columns):
@@ -82,11 +88,9 @@ def mixture(docs: DataFrame, categories: dict[str, Column], id_col: str = "doc_i
                              for c, e in categories.items()}
                             | {prefix + "tokens": tokens(F.col(text_col))})
     cells = docs.groupBy(*names).agg(F.sum(prefix + "tokens").alias("tokens"))
-    full = raked(cells.filter("tokens > 0"), names, power, sweeps)
-    full = full.withColumn("per_token", F.col("weight") / F.col("tokens"))
-    most = full.agg(F.max("per_token").alias("most"))
-    chances = saved(full.join(F.broadcast(most)).select(  # one row
-        *names, (F.col("per_token") / F.col("most")).alias(prefix + "probability")), "chances")
+    full = raked(saved(cells.filter("tokens > 0"), "cells"), names, power, keep, sweeps)
+    chances = saved(full.select(*names, (F.col("weight") * keep / F.col("tokens")).alias(prefix + "probability")),
+                    "chances")
     return (docs.join(chances, list(names), "left")
             .withColumn(prefix + "probability", F.coalesce(prefix + "probability", F.lit(1.0)))
             .withColumn(prefix + "kept", uniform(id_col, seed) < F.col(prefix + "probability"))
