@@ -34,9 +34,10 @@ from tidewise.llm import hashing as H
 
 WINDOW = 16
 CHUNK = 512            # bytes, about; a power of two
-KEPT_CHUNKS = 20_000   # in a task's store
-KEPT_WORDS = 300_000   # in each of two generations; the older one goes first
+KEPT_CHUNKS = 10_000   # in a task's store
+KEPT_WORDS = 150_000   # in each of two generations; the older one goes first
 LONGEST_KEPT = 64      # characters of a word that is kept
+EDGE = 8               # whole words at either end of a chunk that a window may take in
 CHECKED_TEXTS = 2      # of a task's first batch, compared with the library's result
 
 _ROLL = H.mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED))
@@ -74,7 +75,7 @@ class Encoder:
             self.pieces[i] = piece
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.chunks: dict[bytes, tuple[str, bytes, list[str], str] | str] = {}
+        self.chunks: dict[bytes, tuple[str, bytes, list[str], list[str], str] | str] = {}
         self.checked = False
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -105,7 +106,7 @@ class Encoder:
 
     def _read_chunks(self, blocks: list[bytes]) -> list:
         """Of each chunk: its text if it has no blank, else its first broken word, the
-        inner words' ids, the first and last inner words, and its last broken word."""
+        inner words' ids, the first and the last ``EDGE`` of them, and its last broken word."""
         if len(self.chunks) > KEPT_CHUNKS:
             self.chunks = {}
         new = {b: b.decode().replace("\n", " ").split(" ") for b in dict.fromkeys(blocks)
@@ -114,7 +115,7 @@ class Encoder:
         for block, parts in new.items():
             inner = [w for w in parts[1:-1] if w]
             self.chunks[block] = parts[0] if len(parts) == 1 else (
-                parts[0], b"".join(self._ids(inner, long)), inner, parts[-1])
+                parts[0], b"".join(self._ids(inner, long)), inner[:EDGE], inner[-EDGE:], parts[-1])
         return [self.chunks[b] for b in blocks]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -131,9 +132,9 @@ class Encoder:
                 if isinstance(chunk, str):
                     broken += chunk
                     continue
-                head, ids, inner, tail = chunk
-                parts += [(left, broken + head, inner), ids]
-                broken, left = tail, inner
+                head, ids, opening, closing, tail = chunk
+                parts += [(left, broken + head, opening), ids]
+                broken, left = tail, closing
             parts.append((left, broken, []))
             joins += parts[0::2]
             texts.append(parts)

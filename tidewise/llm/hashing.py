@@ -1,6 +1,6 @@
 """Vectorised word and shingle hashing over Arrow text columns.
 
-Everything works on the UTF-8 bytes of whole texts, a megabyte or so at a time,
+Everything works on the UTF-8 bytes of whole texts, a quarter megabyte or so at a time,
 without building Python strings.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _GOLDEN = U(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BUCKET_RECORDS = 1 << 16
-FLUSH_RECORDS = 1 << 21
+FLUSH_RECORDS = 1 << 19
 MAX_BITS = 30
 
 

@@ -28,6 +28,7 @@ from tidewise.llm import hashing as H
 from tidewise.llm.automaton import Automaton, compile_rules
 
 PIECE = 512
+SCAN_BYTES = 1 << 22  # scanned in step
 
 
 @dataclass(frozen=True)
@@ -155,7 +156,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] = RULES
 
 def _documents(batch: pa.RecordBatch, column: str, rules) -> Iterator[tuple[int, int, dict, np.ndarray, np.ndarray]]:
     data, offsets = H.utf8(batch.column(column))
-    for a, b in H.chunks(offsets, 4 * H.CHUNK_BYTES):
+    for a, b in H.chunks(offsets, SCAN_BYTES):
         part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         yield a, b, scan(part, at, rules), part, at
 

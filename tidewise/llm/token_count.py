@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 1024
-KEPT = 400_000      # pieces in each of two generations of the store
+KEPT = 250_000      # pieces in each of two generations of the store
 LONGEST_KEPT = 64   # characters of a piece that is kept
 
 # The byte-level pre-tokenizer's pattern.
