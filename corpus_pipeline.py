@@ -4,16 +4,19 @@ folder and reads it back as the next one's input. All stages but the last return
 the columns of ``documents``.
 
 Defined results: each stage treats null and empty texts, repeated rows, null
-ids and extra columns as its operator says; rows with a null id pass the
-near-duplicate stage unless a document with an id links to them.
+ids and extra columns as its operator says; rows with a null id
+always pass the near-duplicate stage, as no group can be named by them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from tidewise.llm.bitmap import bitmap
 from tidewise.llm.bpe import encoded
 from tidewise.llm.ngram_join import jaccard_components
 from tidewise.llm.quality import CUT, fit_quality, with_quality
@@ -41,15 +44,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id."""
-    kept = jaccard_components(docs).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = saved(kept.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("rows")), "kept")
-    once = docs.join(kept.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    groups = saved(jaccard_components(docs), "groups")
+    leaves = ~F.col("id").eqNullSafe(F.col("component_id"))
+    # texts whose id surely neither leaves nor repeats stay where they are read
+    rows = groups.groupBy("id").agg(F.count("*").alias("rows"), F.max(leaves).alias("leaves"))
+    looked = saved(rows.filter("id is not null and (rows > 1 or leaves)"), "looked")
+    some = bitmap(looked, "id")
+
+    @F.pandas_udf("boolean")
+    def in_doubt(ids: pd.Series) -> pd.Series:
+        return pd.Series(some.may_hold(ids.to_numpy(np.int64)))
+
+    named = docs.filter("doc_id is not null")
+    doubt = in_doubt(F.col("doc_id").cast("long"))
+    sure, unsure = named.filter(~doubt), named.filter(doubt)
+    stay = unsure.join(looked.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    # ids in several rows: equal texts count once
+    again = looked.filter("not leaves").select(F.col("id").alias("doc_id"))
+    once = unsure.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     nameless = docs.filter("doc_id is null")
-    out = once.unionByName(nameless)
-    again = kept.filter("rows > 1 and doc_id is not null").select("doc_id")
-    if not again.isEmpty():  # an id that stands in several rows: equal texts count once
-        out = out.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out.select(*docs.columns)
+    return sure.unionByName(stay).unionByName(once).unionByName(nameless).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewise.llm import hashing as H
 from tidewise.llm import packed as P
+from tidewise.llm.bitmap import bitmap
 from tidewise.llm.components import components
 from tidewise.llm.partenum import Bands, signatures
 from tidewise.llm.scratch import saved
@@ -173,29 +174,24 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
             .select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(run, "a long, b long"))
 
 
-def _sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, elements) of the wanted (id, node) rows, one document a node."""
+def _sets_of(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(node, elements) of the wanted nodes. The sets are made anew from the texts; a
+    bitmap of the wanted nodes keeps the others from being shuffled."""
+    some = bitmap(wanted, "node")
+
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in _texts(batch, "text"):
+            for _, _, data, offsets in _texts(batch, "text"):
                 sets, at = H.shingle_sets(data, offsets, width)
-                raw, bounds = sets.tobytes(), (at * 8).tolist()
+                names = H.set_fingerprints(sets, at)
+                hits = np.flatnonzero(some.may_hold(names) & (np.diff(at) > 0))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("node")[a:b], pa.array(H.set_fingerprints(sets, at)),
-                    pa.array([raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())],
-                    names=["node", "got", "elements"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = rows.filter("text is not null").join(wanted.filter("id is not null"), "id")
-    got = texts.select("node", "text").mapInArrow(run, "node long, got long, elements binary")
-    # ids may repeat with other texts: keep the text that has the wanted set
-    got = got.filter("node = got").select("node", "elements")
-    nameless = (rows.filter("id is null and text is not null")
-                .select(F.lit(None).cast("long").alias("node"), "text")
-                .mapInArrow(run, "node long, got long, elements binary")
-                .select(F.col("got").alias("node"), "elements")
-                .join(wanted.filter("id is null").select("node"), "node", "left_semi"))
-    return got.unionByName(nameless).dropDuplicates(["node"])
+                    pa.array(names[hits]),
+                    pa.array([sets[at[i]:at[i + 1]].tobytes() for i in hits], pa.binary())],
+                    names=["node", "elements"])
+
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, elements binary")
+    return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -277,7 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = (profiles.filter("node is not null").groupBy("node")
              .agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"),
                   F.max("parity").alias("parity")))
-    links = _links(docs, id_col, text_col, width, bands, profiles, nodes)
+    links = _links(docs, text_col, width, bands, profiles, nodes)
     named = (links.withColumnRenamed("component", "root")
              .join(nodes.select("node", "id"), "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -289,7 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce("component_id", "own_id", "id").alias("component_id"))
 
 
-def _links(docs, id_col, text_col, width, bands, profiles, nodes) -> DataFrame:
+def _links(docs, text_col, width, bands, profiles, nodes) -> DataFrame:
     """(node, component) of all linked nodes."""
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
     bits = P.bucket_bits(total // 2)
@@ -302,8 +298,7 @@ def _links(docs, id_col, text_col, width, bands, profiles, nodes) -> DataFrame:
     # the sets of all nodes that a comparison may need, fetched once
     needed = (pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
               .union(lists.select("a")).distinct())
-    wanted = nodes.join(needed, "node").select("id", "node")
-    sets = saved(_sets_of(docs, id_col, text_col, width, wanted), "sets")
+    sets = saved(_sets_of(docs, text_col, width, saved(needed, "needed")), "sets")
     links = saved(_verified(pairs, sets, bands), "links")
     comps = components(links)
     if lists.isEmpty():
