@@ -6,11 +6,13 @@ missing any pair at or above the threshold; exact Jaccard verification follows.
 Equal sets are one node of the link graph, named by a 64-bit hash of the set, so
 copies cost one entry each and are never paired. Signatures travel
 packed (``packed.py``). Texts that share a signature form a list; lists of up to
-``SMALL_LIST`` nodes give all their pairs, longer ones only links to their least
-node. After those links are verified and joined into components, only nodes of a
-long list that lie outside the list's main component are still compared, block
-by block, with the list's other components (``_open_pairs``), so no pair between
-different components goes unseen and no group is ever expanded into all pairs.
+``SMALL_LIST`` nodes give all their pairs, longer ones only pairs with one of their
+nodes, a hub. After those links are verified and joined into components, only nodes of
+a long list that lie outside the list's main component are still compared, block
+by block, with the list's other components (``_open_pairs``): first each such node
+with the likeliest node of a component, round by round as long as that joins
+components, then with all nodes that may link. So no pair between different
+components goes unseen, and no group is ever expanded into all pairs.
 Before sets are fetched, pairs pass an exact filter: the parity bitmaps of two
 sets differ in no more bits than the sets differ in elements.
 
@@ -38,7 +40,7 @@ from tidewise.llm.scratch import saved
 
 WIDTH = 5
 SMALL_LIST = 16   # longer lists are linked through their least node first
-BLOCK = 128       # nodes of a long list compared in one task's step
+BLOCK = 512       # nodes of a long list in one row
 PARITY_BITS = (64, 8192)
 U = np.uint64
 
@@ -127,8 +129,11 @@ def _bucket_lists(table: pa.Table) -> pa.Table:
         members = node[f:f + m]
         with np.errstate(over="ignore"):
             key = int(np.sum(H.mix64(members.view(U)), dtype=U).view(np.int64))
-        pairs_a.append(np.full(m - 1, members[0]))
-        pairs_b.append(members[1:])
+        # another hub for each list, so that a node is compared with many
+        hub = members[np.argmin(H.mix64(members.view(U) ^ U(f)))]
+        others = members[members != hub]
+        pairs_a.append(np.minimum(hub, others))
+        pairs_b.append(np.maximum(hub, others))
         if key not in seen:  # an equal list under another signature adds nothing
             seen.add(key)
             keys.append(np.full(m, key))
@@ -211,8 +216,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of long lists whose nodes lie in different components and may link.
+def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands,
+                best: bool) -> DataFrame:
+    """Pairs of long lists whose nodes lie in different components and may link; with
+    ``best``, of a node and a component in a block only the likeliest.
 
     A list's main component is the one with most of its nodes. The list's nodes
     are bundled in blocks, those outside the main component ("left") in
@@ -236,12 +243,12 @@ def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Ban
 
     def run(batches):
         for batch in batches:
-            yield from _block_pairs(batch, bands)
+            yield from _block_pairs(batch, bands, best)
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(batch: pa.RecordBatch, bands: Bands):
+def _block_pairs(batch: pa.RecordBatch, bands: Bands, best: bool):
     for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
         size = min(len(x["parity"]) for x in left + right) // 8
         sides = []
@@ -252,9 +259,20 @@ def _block_pairs(batch: pa.RecordBatch, bands: Bands):
         (left, n_l, c_l, p_l), (right, n_r, c_r, p_r) = sides
         n_l, c_l = n_l[:, None], c_l[:, None]
         may = (c_l != c_r) & (np.maximum(n_l, n_r) <= bands.largest_partner(np.minimum(n_l, n_r)))
-        may &= (np.bitwise_count(p_l[:, None] ^ p_r).sum(axis=2, dtype=np.int64)
-                <= bands.differing(n_l, n_r)) if may.any() else False
-        pairs = [(left[i], right[j]) for i, j in zip(*np.nonzero(may))]
+        if not may.any():
+            continue
+        differ = np.zeros(may.shape, np.int64)
+        for k in range(p_l.shape[1]):
+            differ += np.bitwise_count(p_l[:, k, None] ^ p_r[:, k])
+        may &= differ <= bands.differing(n_l, n_r)
+        i, j = np.nonzero(may)
+        if best:  # the least different of each (node, component)
+            order = np.lexsort((differ[i, j], c_r[j], i))
+            i, j = i[order], j[order]
+            first = np.ones(len(i), bool)
+            first[1:] = (i[1:] != i[:-1]) | (c_r[j][1:] != c_r[j][:-1])
+            i, j = i[first], j[first]
+        pairs = [(left[x], right[y]) for x, y in zip(i.tolist(), j.tolist())]
         pairs = {(min(x["a"], y["a"]), max(x["a"], y["a"])) for x, y in pairs
                  if _may_link(x["n_shingles"], x["parity"], y["n_shingles"], y["parity"], bands)}
         if pairs:
@@ -303,5 +321,13 @@ def _links(docs, text_col, width, bands, profiles, nodes) -> DataFrame:
     comps = components(links)
     if lists.isEmpty():
         return comps
-    more = _verified(_open_pairs(lists, nodes, comps, bands), sets, bands)
-    return components(links.unionByName(more))
+    lists, best = saved(lists, "lists"), True
+    while True:
+        more = saved(_verified(_open_pairs(lists, nodes, comps, bands, best), sets, bands), "links")
+        joined = not more.isEmpty()
+        if joined:
+            links = links.unionByName(more)
+            comps = components(links)
+        if not best:
+            return comps
+        best = joined
