@@ -4,9 +4,7 @@ small hand-made frames (plain Python over lists of rows)."""
 from __future__ import annotations
 
 import datetime as dt
-import math
 from collections import defaultdict
-from decimal import Decimal
 
 
 def daily(start: str, n: int, skip: set[int] = frozenset()) -> list[dt.datetime]:
@@ -40,19 +38,16 @@ def lag_bruteforce(rows, h):
     return out
 
 
-def moon_bruteforce(d: dt.datetime) -> int:
-    diff = d - dt.datetime(2001, 1, 1)
-    days = Decimal(diff.days) + Decimal(diff.seconds) / Decimal(86400)
-    lun = Decimal("0.20439731") + days * Decimal("0.03386319269")
-    return int(math.floor(lun % Decimal(1) * Decimal(8) + Decimal("0.5"))) & 7
+# Published dates (UTC) of new and full moons.
+NEW_MOONS = ("2000-01-06", "2005-10-03", "2010-07-11", "2015-03-20", "2017-08-21", "2020-06-21")
+FULL_MOONS = ("2000-01-21", "2005-10-17", "2010-07-26", "2015-09-28", "2018-01-31", "2020-11-30")
 
 
 def backtest_last_bruteforce(rows, n_pred, group, n_folds):
     """rows: (id, segment, t, y). Per (fold, segment): (n, mse) of the Last
     forecaster over each horizon's day group after the fold's end of training."""
     folds = folds_bruteforce([r[2] for r in rows], n_folds, n_pred)
-    horizons = [group * i for i in range(1, n_pred // group + 1)] if n_pred // group > 1 \
-        else [n_pred]
+    horizons = range(group, n_pred + 1, group)
     lags = {h: lag_bruteforce([(r[0], r[2], r[3]) for r in rows], h) for h in horizons}
     acc = defaultdict(list)
     for k, (train, _test) in enumerate(folds):

@@ -97,6 +97,7 @@ def test_segment_filter_reaches_scan(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.createDataFrame(rows, SCHEMA).write.parquet(path)
     from tidewise.operators.lags import add_lags
-    df = add_lags(spark.read.parquet(path), ROLES, [1]).filter(F.col("seg") == "s1")
+    # lags follow the id over segments, so the segment is filtered before them
+    df = add_lags(spark.read.parquet(path).filter(F.col("seg") == "s1"), ROLES, [1])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(seg), EqualTo(seg,s1)]" in plan

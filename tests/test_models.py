@@ -83,7 +83,8 @@ def test_last_fills_zero_and_scores(frame):
     for b in best:
         cands = [v for (s, h, _), v in table.items()
                  if s == b["segment"] and h == b["predict_horizon"]]
-        assert b["average_mse"] == min(cands)
+        # two runs add up in another order; scores are not rounded
+        assert b["average_mse"] == pytest.approx(min(cands), rel=1e-12)
 
 
 def test_backtest_uses_no_future_values(frame):

@@ -79,15 +79,6 @@ def fold_bounds(df: DataFrame, roles: Roles, n_folds: int, n_pred: int,
         "fold", F.col("fold").cast("bigint"))
 
 
-def global_end_train(df: DataFrame, roles: Roles, n_folds: int, n_pred: int) -> Column:
-    """Scalar subquery: the K end-of-train times over the whole panel.
-
-    Spark runs it once and hands the K-element array to every task, so rows
-    find their fold by expression, with no join.
-    """
-    return fold_arrays(df, roles, n_folds, n_pred, False).select("end_train").scalar()
-
-
 def _first_true(conds: list[Column]) -> Column:
     expr = None
     for i, c in enumerate(conds):

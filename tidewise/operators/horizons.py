@@ -23,10 +23,9 @@ def check_grouping(n_pred: int, group: int) -> int:
 
 
 def horizon_list(n_pred: int, group: int) -> list[int]:
-    """``[g, 2g, ..., N]`` when there is more than one group, else ``[N]``."""
+    """The last step of each group: ``[g, 2g, ..., N]``."""
     group = check_grouping(n_pred, group)
-    ratio = n_pred // group
-    return [i * group for i in range(1, ratio + 1)] if ratio > 1 else [n_pred]
+    return list(range(group, n_pred + 1, group))
 
 
 def segment_horizons(df: DataFrame, roles: Roles, n_pred: int, group: int,

@@ -32,24 +32,20 @@ def add_lags(df: DataFrame, roles: Roles, horizons: list[int],
     return df.withColumns({lag_name(h): F.lag(y, h).over(w).cast("double") for h in horizons})
 
 
-def add_last_value(df: DataFrame, roles: Roles, horizon: int) -> DataFrame:
-    """The ``last`` feature for one horizon (null for the first h rows)."""
-    return add_lags(df, roles, [horizon]).withColumnRenamed(lag_name(horizon), "last")
-
-
 def lead_target(df: DataFrame, roles: Roles, horizon: int, name: str = "target") -> DataFrame:
     """Target h rows later in the same series."""
     w = series_window(roles)
     return df.withColumn(name, F.lead(F.col(roles.target), horizon).over(w).cast("double"))
 
 
-def horizon_grid(df: DataFrame, roles: Roles, horizons: list[int]) -> DataFrame:
+def horizon_grid(df: DataFrame, roles: Roles, horizons: list[int],
+                 chunk_rows: int | None = None) -> DataFrame:
     """One row per (panel row, horizon) with that horizon's ``last``.
 
     The lags come from one window pass; ``inline`` then turns the lag columns
     into rows without any join.
     """
-    lagged = add_lags(df, roles, horizons)
+    lagged = add_lags(df, roles, horizons, chunk_rows)
     pairs = F.array(*[F.struct(F.lit(h).cast("bigint").alias("predict_horizon"),
                                F.col(lag_name(h)).alias("last")) for h in horizons])
     keep = [c for c in df.columns]
@@ -68,11 +64,6 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(r, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-# Fixed value: how many time cut points the chunked lag asks of each series'
-# quantile sketch (first pass), i.e. at most this many time chunks per series.
-TIME_CUTS = 1000
-
-
 def add_lags_chunked(df: DataFrame, roles: Roles, horizons: list[int],
                      chunk_rows: int, value: str | None = None,
                      names: dict[int, str] | None = None) -> DataFrame:
@@ -80,7 +71,8 @@ def add_lags_chunked(df: DataFrame, roles: Roles, horizons: list[int],
 
     Same result as the plain window, computed in row chunks of one series:
 
-    1. a quantile sketch of each series' times cuts it into time chunks; row
+    1. a quantile sketch of each series' times cuts it into time chunks (as many
+       as the longest series needs for chunks of about ``chunk_rows`` rows); row
        numbers within (series, time chunk) plus the row counts of earlier
        chunks give every row its position in the series;
     2. positions are cut into chunks of ``chunk_rows`` rows; the last
@@ -93,16 +85,17 @@ def add_lags_chunked(df: DataFrame, roles: Roles, horizons: list[int],
     h_max = max(horizons)
     if chunk_rows < h_max:
         raise ValueError("chunk_rows must be at least the largest horizon")
-    keys = roles.series_partition()
-    key_names = [roles.segment, roles.id] if len(keys) == 2 else [roles.id]
+    key_names = [roles.id]
     t = F.col(roles.time)
     # microseconds since the epoch on the wall-clock value (no time zone)
     t_us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                             t.cast("timestamp_ntz"))
     # 1. positions: time chunks from a per-series sketch of the times
-    fractions = [i / TIME_CUTS for i in range(1, TIME_CUTS)]
+    longest = df.groupBy(*key_names).count().agg(F.max("count")).first()[0] or 0
+    chunks = max(2, -(-longest // chunk_rows))
+    fractions = [i / chunks for i in range(1, chunks)]
     cuts = df.groupBy(*key_names).agg(
-        F.percentile_approx(t_us, fractions, 10 * TIME_CUTS).alias("_cuts"))
+        F.percentile_approx(t_us, fractions, 10 * chunks).alias("_cuts"))
     tagged = _join_null_safe(df, cuts, key_names).withColumn(
         "_tchunk", F.size(F.filter(F.col("_cuts"), lambda c: c < t_us))).drop("_cuts")
     local = tagged.withColumn("_rn", F.row_number().over(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Digits kept in reported scores.
+# Digits of the scores in the registered queries; the library itself never
+# rounds, as winners are picked on raw scores.
 SCORE_DIGITS = 6
 
 
@@ -44,8 +45,20 @@ def fold_summary(scores: DataFrame, keys: list[str], n_folds: int,
     s = F.col(score)
     splits = [F.max(F.when(F.col("fold") == k, s)).alias(f"split{k}_test_score")
               for k in range(n_folds)]
-    out = scores.groupBy(*keys).agg(
-        F.avg(s).alias("average_mse"), F.stddev_pop(s).alias("std_mse"), *splits)
-    return out.select(*keys, *[round_score(F.col(c)).alias(c) for c in
-                              ["average_mse", "std_mse"] +
-                              [f"split{k}_test_score" for k in range(n_folds)]])
+    more = [F.first("params").alias("params")] if "params" in scores.columns else []
+    return scores.groupBy(*keys).agg(
+        F.avg(s).alias("average_mse"), F.stddev_pop(s).alias("std_mse"), *splits, *more)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Score columns (``*mse``, ``*score``) rounded for a report."""
+    return df.withColumns({c: round_score(F.col(c)) for c in df.columns
+                           if c.endswith(("mse", "_score"))})
+
+
+def score_predictions(predictions: DataFrame, truth: DataFrame, keys: list[str],
+                      truth_col: str = "y", by: list[str] | tuple = ()) -> DataFrame:
+    """(by..., n, mse) of a prediction table against a truth table: a left join on
+    ``keys`` (id and time); a prediction without truth, or no prediction, is an error."""
+    t = truth.select(*keys, F.col(truth_col).alias("truth"))
+    return mse(predictions.drop("truth").join(t, list(keys), "left"), list(by), truth="truth")

@@ -14,15 +14,11 @@ CALENDAR_DROP = ("d", "weekday", "year", "wm_yr_wk", "event_name_1", "event_name
                  "event_type_1", "event_type_2")
 SALES_KEYS = ("id", "item_id", "dept_id", "cat_id", "store_id", "state_id")
 DAY_COLUMN = re.compile(r"d_\d+$")
-DAY_LABEL_WIDTH = 6
 
 
 def calendar_clean(cal: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Parse the date text and cut the day label to its fixed width."""
-    return cal.withColumns({
-        "date": F.to_timestamp_ntz(F.col("date"), F.lit(date_format)),
-        "d": F.substring(F.col("d"), 1, DAY_LABEL_WIDTH),
-    })
+    """Parse the date text; the day label stays whole."""
+    return cal.withColumn("date", F.to_timestamp_ntz(F.col("date"), F.lit(date_format)))
 
 
 def day_columns(df: DataFrame) -> list[str]:

@@ -40,24 +40,32 @@ def drop_constant_columns(df: DataFrame) -> DataFrame:
     return df.drop(*[r[0] for r in prof])
 
 
-def numeric_categorical(df: DataFrame, roles: Roles) -> tuple[list[str], list[str]]:
-    """Feature columns by type: numbers (and booleans) vs strings; the role
-    columns are never features, and other types are left out."""
+def numeric_categorical(df: DataFrame, roles: Roles,
+                        booleans: bool = True) -> tuple[list[str], list[str]]:
+    """Feature columns by type: numbers vs strings; the role columns are never
+    features, and other types are left out. Booleans count as numbers in the
+    column report, but a model's number selector (``booleans=False``) drops them."""
     skip = set(roles.role_columns())
     num, cat = [], []
     for f in df.schema.fields:
         if f.name in skip:
             continue
-        if isinstance(f.dataType, (NumericType, BooleanType)):
+        if isinstance(f.dataType, NumericType) or booleans and isinstance(f.dataType, BooleanType):
             num.append(f.name)
         elif isinstance(f.dataType, StringType):
             cat.append(f.name)
     return num, cat
 
 
+def number(column: str):
+    """A column as double; NaN is a missing value like null."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
 def _long_values(df: DataFrame, cols: list[str], cast: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               F.col(c).cast(cast).alias("value")) for c in cols])
+    pairs = F.array(*[F.struct(
+        F.lit(c).alias("column_name"),
+        (number(c) if cast == "double" else F.col(c).cast(cast)).alias("value")) for c in cols])
     return df.select(F.inline(pairs))
 
 
@@ -83,9 +91,9 @@ def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TAS
     Values are counted per (column, value) with a map-side combine. The two
     middle ranks are then found by exact rank selection: while a column has
     more than ``task_values`` distinct values in its candidate range, an
-    approximate-quantile sketch cuts the range into ``buckets`` pieces, exact
-    bucket weights locate the piece holding the rank, and the range shrinks to
-    it. The last pick sorts at most ``task_values`` values per (column, rank),
+    approximate-quantile sketch (and the middle of the range, so that it at least
+    halves) cuts the range into pieces, exact bucket weights locate the piece holding
+    the rank, and the range shrinks to it. The last pick sorts at most ``task_values`` values per (column, rank),
     so no task ever holds a whole column. Only per-bucket weights (bounded by
     columns x buckets) reach the driver between rounds.
     """
@@ -117,8 +125,9 @@ def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TAS
             _STATE_SCHEMA)
         cand = values.join(F.broadcast(st), "column_name").filter(_in_range())
         fractions = [i / buckets for i in range(1, buckets)]
-        cuts = cand.groupBy("column_name", "which").agg(F.percentile_approx(
-            "value", fractions, MEDIAN_SKETCH_ACCURACY).alias("cuts"))
+        middle = F.min("value") / 2 + F.max("value") / 2
+        cuts = cand.groupBy("column_name", "which").agg(F.array_sort(F.array_append(
+            F.percentile_approx("value", fractions, MEDIAN_SKETCH_ACCURACY), middle)).alias("cuts"))
         bucket = F.size(F.filter(F.col("cuts"), lambda c: c < F.col("value")))
         per_bucket = (cand.join(F.broadcast(cuts), ["column_name", "which"])
                       .groupBy("column_name", "which", bucket.alias("bucket"))
@@ -139,8 +148,6 @@ def column_medians(df: DataFrame, cols: list[str], task_values: int = MEDIAN_TAS
                     break
                 cum += r["bw"]
                 prev_max = r["vmax"]
-        if new_widest >= widest:
-            break  # the sketch could not split further; pick from what is left
         widest = new_widest
     st = spark.createDataFrame(
         [(c, w, lo, hi, below, k) for (c, w), (lo, hi, below, k) in state.items()],

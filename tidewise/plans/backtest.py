@@ -18,7 +18,7 @@ from tidewise.operators.baselines import fold_mean_tables, mean_keys
 from tidewise.operators.folds import fold_arrays
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags, lag_name
-from tidewise.operators.metrics import guard_missing, round_score, sq_err
+from tidewise.operators.metrics import guard_missing, sq_err
 from tidewise.roles import Roles
 
 
@@ -120,8 +120,7 @@ def backtest_scores(preds: DataFrame, keys: list[str], roles: Roles) -> DataFram
         F.count(F.lit(1)).alias("n"),
         F.avg(sq_err(p, y)).alias("_mse"),
         F.count_if(F.col("beyond") | y.isNull() | p.isNull()).alias("_missing"))
-    return a.select(*keys, "n", round_score(
-        guard_missing(F.col("_missing"), F.col("_mse"))).alias("mse"))
+    return a.select(*keys, "n", guard_missing(F.col("_missing"), F.col("_mse")).alias("mse"))
 
 
 def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
@@ -137,25 +136,27 @@ def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
 # --------------------------------------------------------------------------
 def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int,
                                 n_folds: int, params_by_model: dict[tuple[str, int], dict],
-                                unit: str = "day", threads: int = 4) -> DataFrame:
+                                unit: str = "day", threads: int = 4,
+                                chunk_rows: int | None = None,
+                                fit_partitions: int | None = None, grid_fn=None) -> DataFrame:
     """Refit the forest of each (segment, horizon) in ``params_by_model`` on
     the rows up to each fold's end of training and predict its time group.
 
     One distributed fit per (fold, segment, horizon), run from a small driver
-    thread pool; predictions stay lazy and are unioned into one DataFrame.
+    thread pool; each writes its predictions, and one scan reads them all.
     The tagged grid is written once to the shared checkpoint folder,
     partitioned by segment, so each fit reads only its segment's files.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from tidewise.operators import forest as fr
-    from tidewise.plans.train import forest_features, horizon_frame
-    from tidewise.session import scratch_path, write_scratch
+    from tidewise.plans.train import PART, forest_features, horizon_frame, segment_rows
+    from tidewise.session import folder_key, scratch_path, write_scratch
 
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
-    frame = write_scratch(backtest_frame(df, roles, n_pred, group, n_folds, unit),
-                          "backtest-grid", ["segment"])
+    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, chunk_rows)
+    frame = write_scratch(frame.withColumn(PART, folder_key("segment")), "backtest-grid", [PART])
     tests = backtest_tests(frame)
     tasks = [(k, seg, h) for k in range(n_folds) for (seg, h) in sorted(params_by_model)]
     # each fit writes its predictions to its own folder below one scratch
@@ -165,12 +166,14 @@ def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group:
 
     def run(indexed):
         i, (k, seg, h) = indexed
-        grid = horizon_frame(frame.filter(F.col("segment") == seg), horizons, h)
+        grid = horizon_frame(segment_rows(frame, seg), horizons, h)
+        grid = grid_fn(grid, h) if grid_fn else grid
         feats = forest_features(grid, roles)
         train = grid.filter(F.col("train_from") <= k)
-        model = fr.fit_forest(train, roles, params_by_model[(seg, h)], feats)
-        test = horizon_frame(tests.filter((F.col("segment") == seg) & (F.col("fold") == k)
-                                          & (F.col("predict_horizon") == h)), horizons, h)
+        model = fr.fit_forest(train, roles, params_by_model[(seg, h)], feats, fit_partitions)
+        test = horizon_frame(segment_rows(tests, seg).filter(
+            (F.col("fold") == k) & (F.col("predict_horizon") == h)), horizons, h)
+        test = grid_fn(test, h) if grid_fn else test
         preds = fr.predict(model, test, roles, keep=["fold", "predict_horizon", "segment",
                                                      "beyond"])
         preds.write.mode("error").parquet(f"{out_path}/fit={i}")
@@ -183,7 +186,9 @@ def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group:
 
 
 def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-             winners: DataFrame, unit: str = "day", threads: int = 4) -> dict[str, DataFrame]:
+             winners: DataFrame, unit: str = "day", threads: int = 4,
+             chunk_rows: int | None = None, fit_partitions: int | None = None,
+             grid_fn=None) -> dict[str, DataFrame]:
     """Backtest the chosen model of each (segment, horizon).
 
     ``winners``: ``best_models`` rows (segment, predict_horizon, model, params).
@@ -202,13 +207,14 @@ def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
     base_models = sorted(r[0] for r in w.filter(~is_forest).select("model").distinct().collect())
     parts = []
     if base_models:
-        p = backtest_predictions(df, roles, n_pred, group, n_folds, tuple(base_models), unit)
+        p = backtest_predictions(df, roles, n_pred, group, n_folds, tuple(base_models), unit,
+                                 chunk_rows)
         parts.append(p.join(w.filter(~is_forest).select(*keys), keys, "left_semi"))
     forest = {(r["segment"], int(r["predict_horizon"])): json.loads(r["params"] or "{}")
               for r in w.filter(is_forest).collect()}
     if forest:
         parts.append(forest_backtest_predictions(df, roles, n_pred, group, n_folds, forest,
-                                                 unit, threads))
+                                                 unit, threads, chunk_rows, fit_partitions, grid_fn))
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)
@@ -219,7 +225,8 @@ def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
 # Training-set errors of the backtest
 # --------------------------------------------------------------------------
 def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                          models: tuple[str, ...] = ("Last",)) -> DataFrame:
+                          models: tuple[str, ...] = ("Last",),
+                          chunk_rows: int | None = None) -> DataFrame:
     """(model, fold, n, mse) of each baseline on its own training rows
     (t <= end_train of the fold), over every horizon, as the backtest reports
     next to the test error. The truth is taken per fold.
@@ -234,7 +241,7 @@ def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int,
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
     n_h = len(horizons)
-    frame = backtest_frame(df, roles, n_pred, group, n_folds).filter(
+    frame = backtest_frame(df, roles, n_pred, group, n_folds, chunk_rows=chunk_rows).filter(
         F.col("train_from").isNotNull())
     y = F.col(roles.target)
     last_sse = sum((sq_err(F.coalesce(F.col(lag_name(h)), F.lit(0.0)), y) for h in horizons),
@@ -278,4 +285,16 @@ def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int,
                               miss.alias("_m")))
     rows = per_fold.select("fold", (F.col("_c") * n_h).alias("n"), F.inline(F.array(*cells)))
     return rows.select("model", "fold", "n",
-                       round_score(guard_missing(F.col("_m"), F.col("_mse"))).alias("mse"))
+                       guard_missing(F.col("_m"), F.col("_mse")).alias("mse"))
+
+
+def backtest_report(predictions: DataFrame, train_scores: DataFrame, roles: Roles) -> DataFrame:
+    """(model, fold, n, mse, train_mse) of each fold, and each model's mean over the folds
+    (fold and n null)."""
+    test = backtest_scores(predictions, ["model", "fold"], roles)
+    train = train_scores.select("model", "fold", F.col("mse").alias("train_mse"))
+    folds = test.join(train, ["model", "fold"], "left")
+    means = folds.groupBy("model").agg(F.avg("mse").alias("mse"), F.avg("train_mse").alias("train_mse"))
+    return folds.unionByName(means.select(
+        "model", F.lit(None).cast("bigint").alias("fold"), F.lit(None).cast("bigint").alias("n"),
+        "mse", "train_mse"))

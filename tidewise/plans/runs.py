@@ -13,7 +13,7 @@ from tidewise.roles import Roles
 def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
               n_folds: int = 3, baselines: tuple[str, ...] = ("Last",),
               with_forest: bool = True, project: str = "panel", threads: int = 4,
-              validate: bool = True) -> str:
+              validate: bool = True, chunk_rows: int | None = None, grid_fn=None) -> str:
     """Train, record candidates, winners and the run; return the run id.
 
     With ``validate`` the panel's keys are checked first (one aggregate job):
@@ -25,7 +25,8 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
     if validate:
         validate_panel(df, roles)
     out = tr.train(df, roles, n_pred, group, n_folds, baselines, with_forest,
-                   project=project, by_segment=True, threads=threads)
+                   project=project, by_segment=True, threads=threads, chunk_rows=chunk_rows,
+                   grid_fn=grid_fn)
     run_id = tk.new_run_id()
     spark = df.sparkSession
     # cv_results is reused three times: keep it once in the shared checkpoint
@@ -33,8 +34,7 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
     from tidewise.session import checkpoint
     results = checkpoint(out["cv_results"])
     tk.record_candidates(results, store, run_id, n_folds)
-    best = tr.best_models(results, project).join(
-        results.select(*tr.SCORE_KEYS, "params"), tr.SCORE_KEYS)
+    best = tr.best_models(results, project)
     tk.record_best(best, store, run_id)
     tk.record_run(spark, tr.train_summary(best), store, run_id, roles, n_pred, group, n_folds)
     return run_id
@@ -42,7 +42,8 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
 
 def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds: int = 3,
                  unit: str = "day", threads: int = 4,
-                 validate: bool = True) -> dict[str, DataFrame]:
+                 validate: bool = True, chunk_rows: int | None = None,
+                 grid_fn=None) -> dict[str, DataFrame]:
     """Backtest the winners of a stored run (the best run if none is given)."""
     from tidewise.sources.panel import validate_panel
     spark = df.sparkSession
@@ -52,4 +53,5 @@ def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds:
         validate_panel(df, roles)
     winners = tk.read_best(spark, store, run["run_id"])
     return bt.backtest(df, roles, int(run["number_predictions"]),
-                       int(run["n_predictions_groupby"]), n_folds, winners, unit, threads)
+                       int(run["n_predictions_groupby"]), n_folds, winners, unit, threads,
+                       chunk_rows, grid_fn=grid_fn)

@@ -16,7 +16,7 @@ from tidewise.operators.folds import with_folds
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags
 from tidewise.operators.metrics import fold_summary, guard_missing, sq_err
-from tidewise.roles import Roles
+from tidewise.roles import INTERNAL, Roles
 
 SCORE_KEYS = ["segment", "predict_horizon", "model", "candidate"]
 
@@ -124,25 +124,25 @@ def best_models(results: DataFrame, project: str = "panel") -> DataFrame:
     w = Window.partitionBy("segment", "predict_horizon").orderBy(s, "model", "candidate")
     ranked = (results.filter(s.isNotNull() & ~F.isnan(s))
               .withColumn("_rank", F.row_number().over(w)))
+    params = ["params"] if "params" in results.columns else []
     return ranked.filter(F.col("_rank") == 1).select(
         "segment", "predict_horizon", "model", "candidate", "average_mse",
         F.concat_ws("_", F.lit(project), "segment",
-                    F.col("predict_horizon").cast("string")).alias("model_key"))
+                    F.col("predict_horizon").cast("string")).alias("model_key"), *params)
 
 
 def train_summary(best: DataFrame) -> DataFrame:
     """The run's score: mean over the winners of their mean CV score."""
-    from tidewise.operators.metrics import round_score
     return best.agg(F.count(F.lit(1)).alias("n_models"),
-                    round_score(F.avg("average_mse")).alias("average_cv_mse"))
+                    F.avg("average_mse").alias("average_cv_mse"))
 
 
 def last_cv_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                        by_segment: bool = True) -> DataFrame:
+                        by_segment: bool = True, chunk_rows: int | None = None) -> DataFrame:
     """Test-row predictions of Last for every horizon:
     (segment, predict_horizon, fold, id, time, y, prediction)."""
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
-    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment)
+    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
     test = folded.filter(F.col("test_fold").isNotNull())
     pairs = F.array(*[F.struct(F.lit(h).cast("bigint").alias("predict_horizon"),
                                last_prediction(h).alias("prediction")) for h in horizons])
@@ -164,6 +164,7 @@ def mean_cv_predictions(df: DataFrame, roles: Roles, model: str, n_folds: int, n
 # Forest search
 # --------------------------------------------------------------------------
 FOREST = "RandomForest"
+PART = "_part"  # folder of a segment's rows in a written grid
 FOREST_SCORE_SCHEMA = ("segment string, predict_horizon bigint, model string, candidate bigint, "
                        "fold bigint, n bigint, mse double, params string")
 
@@ -175,11 +176,19 @@ def horizon_frame(folded: DataFrame, horizons: list[int], h: int) -> DataFrame:
 
 
 def forest_features(frame: DataFrame, roles: Roles) -> list[str]:
+    """All columns but the roles and those that the plans add. A user's columns never
+    have such a name: ``Roles.protected`` has renamed them."""
     from tidewise.operators.forest import feature_columns
-    exclude = ["test_fold", "train_from", "tests", "beyond", "fold", "predict_horizon"]
-    if roles.segment != "segment":
-        exclude.append("segment")  # the added label; the configured column stays
-    return feature_columns(frame, roles, exclude)
+    exclude = INTERNAL - {"last"} | {PART}
+    if roles.segment == "segment":
+        exclude -= {"segment"}  # the configured column is a feature
+    return feature_columns(frame, roles, sorted(exclude))
+
+
+def segment_rows(frame: DataFrame, segment: str) -> DataFrame:
+    """One segment's rows of a written grid: only its folder is read."""
+    from tidewise.session import folder_key
+    return frame.filter((F.col(PART) == folder_key(F.lit(segment))) & (F.col("segment") == segment))
 
 
 def _score(preds: DataFrame, roles: Roles) -> tuple[int, float | None]:
@@ -193,10 +202,14 @@ def _score(preds: DataFrame, roles: Roles) -> tuple[int, float | None]:
 
 def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                   candidates: list[dict] | None = None, by_segment: bool = True,
-                  threads: int = 4, fit_partitions: int | None = None) -> DataFrame:
+                  threads: int = 4, fit_partitions: int | None = None,
+                  chunk_rows: int | None = None, grid_fn=None) -> DataFrame:
     """(segment, predict_horizon, model, candidate, fold, n, mse, params) of a
     random search over forest parameters, scored on the expanding folds.
 
+    ``grid_fn(frame, horizon)``: a project's own features for one horizon, a
+    DataFrame in and out with the same rows.
+
     Each (segment, horizon, fold) fits its preprocessing once and one
     distributed Spark ML forest per candidate; a small driver thread pool
     keeps several of them in flight. The tagged grid
@@ -208,12 +221,12 @@ def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
     from concurrent.futures import ThreadPoolExecutor
 
     from tidewise.operators import forest as fr
-    from tidewise.session import write_scratch
+    from tidewise.session import folder_key, write_scratch
 
     candidates = candidates or fr.sample_candidates()
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
-    folded = write_scratch(cv_frame(df, roles, horizons, n_folds, n_pred, by_segment),
-                           "cv-grid", ["segment"])
+    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
+    folded = write_scratch(folded.withColumn(PART, folder_key("segment")), "cv-grid", [PART])
     # segment labels drive the fits; one per model, so bounded by the model count
     segments = [r[0] for r in folded.select("segment").distinct().collect()]
     tasks = [(s, h, k) for s in sorted(segments) for h in horizons for k in range(n_folds)]
@@ -222,7 +235,8 @@ def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
         # one (segment, horizon, fold): preprocessing fitted once, one forest
         # per candidate on the same feature vectors
         seg, h, k = task
-        grid = horizon_frame(folded.filter(F.col("segment") == seg), horizons, h)
+        grid = horizon_frame(segment_rows(folded, seg), horizons, h)
+        grid = grid_fn(grid, h) if grid_fn else grid
         feats = forest_features(grid, roles)
         train = grid.filter(F.col("train_from") <= k)
         test = grid.filter(F.col("test_fold") == k)
@@ -242,7 +256,8 @@ def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
 def train(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
           baselines: tuple[str, ...] = ("Last",), with_forest: bool = True,
           candidates: list[dict] | None = None, project: str = "panel",
-          by_segment: bool = True, threads: int = 4) -> dict[str, DataFrame]:
+          by_segment: bool = True, threads: int = 4, chunk_rows: int | None = None,
+          fit_partitions: int | None = None, grid_fn=None) -> dict[str, DataFrame]:
     """Score every model, keep the best per (segment, horizon), summarize.
 
     Returns ``scores`` (per fold), ``cv_results`` (per candidate, with the
@@ -251,16 +266,15 @@ def train(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
     group = check_grouping(n_pred, group)
     parts = []
     if baselines:
-        b = baseline_scores(df, roles, n_pred, group, n_folds, baselines, by_segment)
+        b = baseline_scores(df, roles, n_pred, group, n_folds, baselines, by_segment, chunk_rows)
         parts.append(b.withColumn("params", F.lit("{}")))
     if with_forest:
         parts.append(forest_scores(df, roles, n_pred, group, n_folds, candidates, by_segment,
-                                   threads))
+                                   threads, fit_partitions, chunk_rows, grid_fn))
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)
-    params = scores.groupBy(*SCORE_KEYS).agg(F.first("params").alias("params"))
-    results = cv_results(scores, n_folds).join(params, SCORE_KEYS)
-    best = best_models(results, project).join(params, SCORE_KEYS)
+    results = cv_results(scores, n_folds)
+    best = best_models(results, project)
     return {"scores": scores, "cv_results": results, "best_models": best,
             "summary": train_summary(best)}

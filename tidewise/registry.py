@@ -21,13 +21,14 @@ from tidewise.operators import prepare as pp
 from tidewise.operators import profile as pf
 from tidewise.operators.horizons import horizon_list, segment_horizons
 from tidewise.operators.lags import add_lags, horizon_grid, lead_target
-from tidewise.operators.metrics import round_score
+from tidewise.operators.metrics import round_score, rounded
 from tidewise.operators.splits import group_split_role, split_role, with_role
 from tidewise.plans import backtest as bt
 from tidewise.plans import train as tr
 from tidewise.plans.backtest import backtest_scores, forest_backtest_predictions
 from tidewise.plans.base_table import base_table
 from tidewise.sources import fixtures as fx
+from tidewise.session import write_scratch
 from tidewise.sources.panel import normalize_panel
 from tidewise.sources.tables import read_table
 
@@ -42,7 +43,7 @@ SPLIT_END_TRAIN = "1999-12-31 00:00:00"
 SPLIT_END_TEST = "2000-03-31 00:00:00"
 GROUP_BEGIN_TEST = "2000-01-08 00:00:00"
 GROUP_END_TEST = "2000-01-14 00:00:00"
-SEGMENT_VALUE = "N"
+SEGMENT_VALUE = "g1"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,21 +63,31 @@ def _series(spark, sf_dir):
     return normalize_panel(fx.series(spark, sf_dir), ROLES)
 
 
+def _flag_series(spark, sf_dir):
+    return normalize_panel(fx.flag_series(spark, sf_dir), ROLES)
+
+
+def _panel(spark, sf_dir):
+    """The panel, built from the raw table once for a query that reads it often."""
+    return write_scratch(_series(spark, sf_dir), "panel")
+
+
 # --------------------------------------------------------------------------
 # DuckDB building blocks
 # --------------------------------------------------------------------------
 SERIES_CTE = """series as (
-  select l_returnflag || '_' || l_linestatus as id, l_returnflag as segment,
+  select 's' || cast(case when l_suppkey % 5 = 0 then 0 else l_suppkey end as varchar) as id,
+         'g' || cast((case when l_suppkey % 5 = 0 then 0 else l_suppkey end) % 3 as varchar) as segment,
          l_shipdate as date, sum(l_quantity) as y
   from lineitem group by 1, 2, 3)"""
 
 LAGS_CTE = SERIES_CTE + """,
 lags as (
   select id, segment, date, y,
-         lag(y, 7)  over (partition by segment, id order by date) as last_7,
-         lag(y, 14) over (partition by segment, id order by date) as last_14,
-         lag(y, 21) over (partition by segment, id order by date) as last_21,
-         lag(y, 28) over (partition by segment, id order by date) as last_28
+         lag(y, 7)  over (partition by id order by date) as last_7,
+         lag(y, 14) over (partition by id order by date) as last_14,
+         lag(y, 21) over (partition by id order by date) as last_21,
+         lag(y, 28) over (partition by id order by date) as last_28
   from series)"""
 
 # Whole-panel folds (backtest): fold k ends training at the time ranked
@@ -167,7 +178,7 @@ def q_calendar_features(spark, sf_dir):
 
 
 @register("infer_frequency", f"""with {SERIES_CTE},
-steps as (select date_diff('microsecond', lag(date) over (partition by segment, id order by date),
+steps as (select date_diff('microsecond', lag(date) over (partition by id order by date),
                            date) as step from series),
 m as (select min(step) as min_step_us from steps)
 select min_step_us, case
@@ -197,11 +208,11 @@ LAG_CHUNK_ROWS = 500
 
 @register("lag_feature_chunked", f"with {LAGS_CTE} select * from lags")
 def q_lag_feature_chunked(spark, sf_dir):
-    return add_lags(_series(spark, sf_dir), ROLES, HORIZONS, chunk_rows=LAG_CHUNK_ROWS)
+    return add_lags(_panel(spark, sf_dir), ROLES, HORIZONS, chunk_rows=LAG_CHUNK_ROWS)
 
 
 @register("lead_target", f"""with {SERIES_CTE}
-select id, segment, date, y, lead(y, 7) over (partition by segment, id order by date) as target
+select id, segment, date, y, lead(y, 7) over (partition by id order by date) as target
 from series""")
 def q_lead_target(spark, sf_dir):
     return lead_target(_series(spark, sf_dir), ROLES, GROUP)
@@ -260,7 +271,7 @@ def q_time_folds(spark, sf_dir):
 select cast(f.fold as bigint) as fold, s.id, s.segment, s.date, s.y
 from series s join gfolds f on s.date between f.test_start and f.end_test""")
 def q_fold_rows(spark, sf_dir):
-    return fo.fold_rows(_series(spark, sf_dir), ROLES, N_FOLDS, N_PRED)
+    return fo.fold_rows(_panel(spark, sf_dir), ROLES, N_FOLDS, N_PRED)
 
 
 # --------------------------------------------------------------------------
@@ -277,7 +288,7 @@ cvtrain as (select s.*, r.fold from series s join sroles r using (segment, date)
 select segment, cast(predict_horizon as bigint) as predict_horizon, cast(fold as bigint) as fold,
        id, date, y, prediction from ({HORIZON_UNION})""")
 def q_last_forecast(spark, sf_dir):
-    return tr.last_cv_predictions(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS)
+    return tr.last_cv_predictions(_panel(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS)
 
 
 @register("mean_forecast", f"""with {CV_CTE},
@@ -285,7 +296,7 @@ means as (select segment, fold, avg(y) as m from cvtrain group by 1, 2)
 select t.segment, cast(t.fold as bigint) as fold, t.id, t.date, t.y, round(m.m, 6) as prediction
 from cvtest t left join means m using (segment, fold)""")
 def q_mean_forecast(spark, sf_dir):
-    p = tr.mean_cv_predictions(_series(spark, sf_dir), ROLES, "Mean", N_FOLDS, N_PRED)
+    p = tr.mean_cv_predictions(_panel(spark, sf_dir), ROLES, "Mean", N_FOLDS, N_PRED)
     return p.withColumn("prediction", round_score(F.col("prediction")))
 
 
@@ -294,7 +305,7 @@ means as (select segment, id, fold, avg(y) as m from cvtrain group by 1, 2, 3)
 select t.segment, cast(t.fold as bigint) as fold, t.id, t.date, t.y, round(m.m, 6) as prediction
 from cvtest t left join means m using (segment, id, fold)""")
 def q_mean_ts_forecast(spark, sf_dir):
-    p = tr.mean_cv_predictions(_series(spark, sf_dir), ROLES, "MeanTS", N_FOLDS, N_PRED)
+    p = tr.mean_cv_predictions(_panel(spark, sf_dir), ROLES, "MeanTS", N_FOLDS, N_PRED)
     return p.withColumn("prediction", round_score(F.col("prediction")))
 
 
@@ -319,10 +330,10 @@ scores as (
 results as (
   select segment, cast(predict_horizon as bigint) as predict_horizon, model,
          cast(0 as bigint) as candidate,
-         round(avg(mse), 6) as average_mse, round(stddev_pop(mse), 6) as std_mse,
-         round(max(case when fold = 0 then mse end), 6) as split0_test_score,
-         round(max(case when fold = 1 then mse end), 6) as split1_test_score,
-         round(max(case when fold = 2 then mse end), 6) as split2_test_score
+         avg(mse) as average_mse, stddev_pop(mse) as std_mse,
+         max(case when fold = 0 then mse end) as split0_test_score,
+         max(case when fold = 1 then mse end) as split1_test_score,
+         max(case when fold = 2 then mse end) as split2_test_score
   from scores group by all),
 best as (
   select * from (select *, row_number() over (partition by segment, predict_horizon
@@ -332,7 +343,7 @@ best as (
 
 
 def _baseline_scores(spark, sf_dir):
-    return tr.baseline_scores(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS)
+    return tr.baseline_scores(_panel(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS)
 
 
 @register("mse_by_fold", f"""with {SCORES_CTE}
@@ -340,28 +351,32 @@ select segment, cast(predict_horizon as bigint) as predict_horizon, cast(fold as
        n, round(mse, 6) as mse from scores where model = 'Last'""")
 def q_mse_by_fold(spark, sf_dir):
     s = tr.last_cv_scores(
-        tr.cv_frame(_series(spark, sf_dir).transform(ROLES.with_segment), ROLES, HORIZONS,
+        tr.cv_frame(_panel(spark, sf_dir).transform(ROLES.with_segment), ROLES, HORIZONS,
                     N_FOLDS, N_PRED), ROLES, HORIZONS)
     return s.withColumn("mse", round_score(F.col("mse")))
 
 
-@register("cv_results", f"with {SCORES_CTE} select * from results")
+@register("cv_results", f"""with {SCORES_CTE}
+select segment, predict_horizon, model, candidate, round(average_mse, 6) as average_mse,
+       round(std_mse, 6) as std_mse, round(split0_test_score, 6) as split0_test_score,
+       round(split1_test_score, 6) as split1_test_score,
+       round(split2_test_score, 6) as split2_test_score from results""")
 def q_cv_results(spark, sf_dir):
-    return tr.cv_results(_baseline_scores(spark, sf_dir), N_FOLDS)
+    return rounded(tr.cv_results(_baseline_scores(spark, sf_dir), N_FOLDS))
 
 
 @register("best_models", f"""with {SCORES_CTE}
-select segment, predict_horizon, model, candidate, average_mse,
+select segment, predict_horizon, model, candidate, round(average_mse, 6) as average_mse,
        '{PROJECT}_' || segment || '_' || cast(predict_horizon as varchar) as model_key from best""")
 def q_best_models(spark, sf_dir):
-    return tr.best_models(tr.cv_results(_baseline_scores(spark, sf_dir), N_FOLDS), PROJECT)
+    return rounded(tr.best_models(tr.cv_results(_baseline_scores(spark, sf_dir), N_FOLDS), PROJECT))
 
 
 @register("train_best", f"""with {SCORES_CTE}
 select count(*) as n_models, round(avg(average_mse), 6) as average_cv_mse from best""")
 def q_train_best(spark, sf_dir):
     best = tr.best_models(tr.cv_results(_baseline_scores(spark, sf_dir), N_FOLDS), PROJECT)
-    return tr.train_summary(best)
+    return rounded(tr.train_summary(best))
 
 
 # --------------------------------------------------------------------------
@@ -393,14 +408,14 @@ select cast(fold as bigint) as fold, segment, count(*) as n,
        round(avg((prediction - y) * (prediction - y)), 6) as mse
 from btpred where model = 'Last' group by fold, segment""")
 def q_backtest_last(spark, sf_dir):
-    return bt.backtest_last(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS)
+    return rounded(bt.backtest_last(_panel(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS))
 
 
 @register("union_predictions", f"""with {BT_CTE}
 select model, cast(fold as bigint) as fold, cast(predict_horizon as bigint) as predict_horizon,
        segment, id, date, y, round(prediction, 6) as prediction from btpred""")
 def q_union_predictions(spark, sf_dir):
-    p = bt.backtest_predictions(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
+    p = bt.backtest_predictions(_panel(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
                                 ("Last", "Mean", "MeanTS"))
     return p.drop("beyond").withColumn("prediction", round_score(F.col("prediction")))
 
@@ -410,9 +425,9 @@ select model, cast(fold as bigint) as fold, count(*) as n,
        round(avg((prediction - y) * (prediction - y)), 6) as mse
 from btpred group by model, fold""")
 def q_backtest_scores(spark, sf_dir):
-    p = bt.backtest_predictions(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
+    p = bt.backtest_predictions(_panel(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
                                 ("Last", "Mean", "MeanTS"))
-    return bt.backtest_scores(p, ["model", "fold"], ROLES)
+    return rounded(bt.backtest_scores(p, ["model", "fold"], ROLES))
 
 
 # --------------------------------------------------------------------------
@@ -438,28 +453,33 @@ RAW_CTE = """sales_wide as (
          sum(case when year(l_shipdate) = 1995 then l_quantity end) as d_1,
          sum(case when year(l_shipdate) = 1996 then l_quantity end) as d_2,
          sum(case when year(l_shipdate) = 1997 then l_quantity end) as d_3,
-         sum(case when year(l_shipdate) = 1998 then l_quantity end) as d_4
+         sum(case when year(l_shipdate) = 1998 then l_quantity end) as d_4,
+         sum(case when year(l_shipdate) = 1999 then l_quantity end) as d_5,
+         sum(case when year(l_shipdate) = 2000 then l_quantity end) as d_6,
+         sum(case when year(l_shipdate) = 2001 then l_quantity end) as d_7
   from lineitem join part on l_partkey = p_partkey group by all),
 raw_calendar as (
   select 'd_' || cast(y - 1994 as varchar) as d, cast(y as varchar) || '-01-01' as date,
          cast(y as bigint) as wm_yr_wk, cast(y as bigint) as year,
          cast(y = 1995 as integer) as snap_CA, cast(y = 1996 as integer) as snap_TX,
          cast(y = 1997 as integer) as snap_WI
-  from (select distinct year(l_shipdate) as y from lineitem
-        where year(l_shipdate) between 1995 and 1997)),
+  from (select distinct year(l_shipdate) as y from lineitem)),
 sell_prices as (
   select p_brand as item_id, cast(l_suppkey % 5 as varchar) as store_id,
          cast(year(l_shipdate) as bigint) as wm_yr_wk, max(l_extendedprice) as sell_price
   from lineitem join part on l_partkey = p_partkey group by all),
 calendar as (
-  select substr(d, 1, 6) as d, cast(strptime(date, '%Y-%m-%d') as timestamp) as date,
+  select d, cast(strptime(date, '%Y-%m-%d') as timestamp) as date,
          wm_yr_wk, year, snap_CA, snap_TX, snap_WI from raw_calendar),
 long as (
   select id, item_id, dept_id, cat_id, store_id, state_id, 'd_1' as d, d_1 as Quantity
   from sales_wide union all
   select id, item_id, dept_id, cat_id, store_id, state_id, 'd_2', d_2 from sales_wide union all
   select id, item_id, dept_id, cat_id, store_id, state_id, 'd_3', d_3 from sales_wide union all
-  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_4', d_4 from sales_wide),
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_4', d_4 from sales_wide union all
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_5', d_5 from sales_wide union all
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_6', d_6 from sales_wide union all
+  select id, item_id, dept_id, cat_id, store_id, state_id, 'd_7', d_7 from sales_wide),
 with_cal as (
   select l.*, c.date, c.wm_yr_wk, c.year, c.snap_CA, c.snap_TX, c.snap_WI
   from long l left join calendar c on l.d = c.d),
@@ -607,7 +627,7 @@ UNSEGMENTED = ROLES.__class__(id=ROLES.id, time=ROLES.time, target=ROLES.target)
 
 def _forest_grid(spark, sf_dir, horizon: int):
     """Whole-panel folds, calendar features and one horizon's lag."""
-    s = add_time_features(_series(spark, sf_dir), "date")
+    s = add_time_features(_flag_series(spark, sf_dir), "date")
     folded = tr.cv_frame(s, ROLES, HORIZONS, N_FOLDS, N_PRED, by_segment=False)
     return tr.horizon_frame(folded, HORIZONS, horizon)
 
@@ -635,18 +655,17 @@ def q_forest_forecast(spark, sf_dir):
 
 @register("forest_search")
 def q_forest_search(spark, sf_dir):
-    s = add_time_features(_series(spark, sf_dir), "date")
+    s = add_time_features(_flag_series(spark, sf_dir), "date")
     scores = tr.forest_scores(s, UNSEGMENTED, SEARCH_N_PRED, SEARCH_GROUP, N_FOLDS)
-    params = scores.groupBy(*tr.SCORE_KEYS).agg(F.first("params").alias("params"))
-    return tr.cv_results(scores, N_FOLDS).join(params, tr.SCORE_KEYS)
+    return rounded(tr.cv_results(scores, N_FOLDS))
 
 
 @register("backtest_forest")
 def q_backtest_forest(spark, sf_dir):
-    s = add_time_features(_series(spark, sf_dir), "date")
+    s = add_time_features(_flag_series(spark, sf_dir), "date")
     chosen = {("all", h): FOREST_PARAMS for h in HORIZONS}
     preds = forest_backtest_predictions(s, UNSEGMENTED, N_PRED, GROUP, N_FOLDS, chosen)
-    return backtest_scores(preds, ["fold"], UNSEGMENTED)
+    return rounded(backtest_scores(preds, ["fold"], UNSEGMENTED))
 
 
 @register("backtest_train_scores", f"""with {BT_CTE},
@@ -666,5 +685,32 @@ errs as (
 select model, cast(fold as bigint) as fold, count(*) * 4 as n, round(avg(e), 6) as mse
 from errs group by model, fold""")
 def q_backtest_train_scores(spark, sf_dir):
-    return bt.baseline_train_scores(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
-                                    ("Last", "Mean", "MeanTS"))
+    return rounded(bt.baseline_train_scores(_panel(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS,
+                                    ("Last", "Mean", "MeanTS")))
+
+
+@register("backtest_report", f"""with {BT_CTE},
+trainrows as (select l.*, f.fold from lags l, gfolds f where l.date <= f.end_train),
+trainerr as (
+  select 'Last' as model, fold,
+         ((coalesce(last_7, 0) - y) * (coalesce(last_7, 0) - y)
+          + (coalesce(last_14, 0) - y) * (coalesce(last_14, 0) - y)
+          + (coalesce(last_21, 0) - y) * (coalesce(last_21, 0) - y)
+          + (coalesce(last_28, 0) - y) * (coalesce(last_28, 0) - y)) / 4 as e
+  from trainrows
+  union all
+  select 'Mean', fold, (bm1.m - y) * (bm1.m - y) from trainrows left join bm1 using (segment, fold)
+  union all
+  select 'MeanTS', fold, (bm2.m - y) * (bm2.m - y)
+  from trainrows left join bm2 using (segment, id, fold)),
+tr as (select model, fold, avg(e) as train_mse from trainerr group by 1, 2),
+te as (select model, fold, count(*) as n, avg((prediction - y) * (prediction - y)) as mse
+       from btpred group by 1, 2),
+folds as (select model, cast(fold as bigint) as fold, n, mse, train_mse from te left join tr using (model, fold))
+select model, fold, n, round(mse, 6) as mse, round(train_mse, 6) as train_mse from folds
+union all select model, null, null, round(avg(mse), 6), round(avg(train_mse), 6) from folds group by 1""")
+def q_backtest_report(spark, sf_dir):
+    panel, models = _panel(spark, sf_dir), ("Last", "Mean", "MeanTS")
+    preds = bt.backtest_predictions(panel, ROLES, N_PRED, GROUP, N_FOLDS, models)
+    train = bt.baseline_train_scores(panel, ROLES, N_PRED, GROUP, N_FOLDS, models)
+    return rounded(bt.backtest_report(preds, train, ROLES))

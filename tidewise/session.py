@@ -6,7 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -72,10 +73,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def write_scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and return a
     scan of it. With ``partition_by``, later filters on those columns read
-    only the matching folders (e.g. one segment per model fit)."""
+    only the matching folders. The scan has the schema of ``df``, so folder names
+    are never taken for numbers; use ``folder_key`` for free text."""
     path = scratch_path(df.sparkSession, name)
     w = df.write.mode("error")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def folder_key(column: Column | str) -> Column:
+    """A text as a folder name that no two texts share, null and empty included."""
+    text = (F.col(column) if isinstance(column, str) else column).cast("string")
+    return F.concat(F.lit("k"), F.coalesce(F.hex(text), F.lit("none")))

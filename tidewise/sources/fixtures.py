@@ -17,18 +17,34 @@ from tidewise.sources.tables import read_table
 # Roles of the ``series`` panel.
 SERIES_ROLES = Roles(id="id", time="date", target="y", segment="segment")
 
-# Fixed values of the wide-sales fixture: one period column per ship year,
-# starting with 1995 as d_1. The calendar knows the first three periods only,
-# so the fourth shows the left join's null side.
+# Fixed values of the wide-sales fixture: one period column per ship year of
+# lineitem (1995 is d_1), so every row is in the wide table.
 FIRST_YEAR = 1995
-WIDE_PERIODS = 4
-CALENDAR_PERIODS = 3
+WIDE_PERIODS = 7
 N_STORES = 5
+# Fixed values of the panel: every fifth supplier is counted as one (a series
+# with a fifth of all rows); series are dealt to three segments.
+HOT_EVERY = 5
+N_SEGMENTS = 3
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily quantity per (return flag, line status): 6 series, 3 segments,
-    gaps on days without shipments."""
+    """Daily quantity per supplier, with gaps on days without shipments. The
+    number of series and rows grows with the scale factor; one series is hot."""
+    li = read_table(spark, sf_dir, "lineitem")
+    k = F.col("l_suppkey")
+    key = F.when(k % HOT_EVERY == 0, F.lit(0)).otherwise(k).cast("bigint")
+    return (
+        li.groupBy(F.concat(F.lit("s"), key.cast("string")).alias("id"),
+                   F.concat(F.lit("g"), (key % N_SEGMENTS).cast("string")).alias("segment"),
+                   F.col("l_shipdate").alias("date"))
+        .agg(F.sum("l_quantity").alias("y"))
+    )
+
+
+def flag_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily quantity per (return flag, line status): 6 series, 3 segments. The
+    forest queries fit on it: their cost is the fits, not the rows."""
     li = read_table(spark, sf_dir, "lineitem")
     return (
         li.groupBy(
@@ -81,14 +97,9 @@ def sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw calendar rows (date as text) for the first ship years present."""
+    """Raw calendar rows (date as text) for all ship years present."""
     li = read_table(spark, sf_dir, "lineitem")
-    year = F.year("l_shipdate")
-    years = (
-        li.select(year.alias("year"))
-        .filter(F.col("year").between(FIRST_YEAR, FIRST_YEAR + CALENDAR_PERIODS - 1))
-        .distinct()
-    )
+    years = li.select(F.year("l_shipdate").alias("year")).distinct()
     return years.select(
         F.concat(F.lit("d_"), (F.col("year") - FIRST_YEAR + 1).cast("string")).alias("d"),
         F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("date"),
