@@ -14,8 +14,7 @@ def test_every_query_is_registered_with_oracle_or_rows_only():
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
     rows_only = {q for q in set(qs) - set(sql) if q != "pipeline" and not re.match(r"op\d+_", q)}
-    assert rows_only == {"onehot_features", "forest_forecast", "forest_search",
-                         "backtest_forest"}
+    assert rows_only == {"forest_forecast", "forest_search", "backtest_forest"}
 
 
 def test_small_queries_run(spark):

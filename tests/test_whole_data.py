@@ -119,3 +119,20 @@ def test_grid_function_adds_features(frame):
     assert scores.count() == 4 and sorted(set(seen)) == [2, 4]
     preds = bt.forest_backtest_predictions(df, roles, 4, 2, 1, {("s", 2): SMALL[0]}, grid_fn=grid_fn)
     assert preds.count() == 2 * 2
+
+
+def test_offsets_by_months(frame):
+    import datetime as dt
+
+    from tidewise.functions.offsets import shift_time
+    df = frame([(dt.datetime(2020, 1, 31),)], "t timestamp_ntz")
+    got = df.select(shift_time(df["t"], 1, "month"), shift_time(df["t"], 1, "quarter"),
+                    shift_time(df["t"], -1, "year")).first()
+    assert list(got) == [dt.datetime(2020, 2, 29), dt.datetime(2020, 4, 30), dt.datetime(2019, 1, 31)]
+
+
+def test_calendar_gap_leaves_nulls(frame):
+    long = frame([("i", "d_1", 1.0), ("i", "d_2", 2.0)], "id string, d string, Quantity double")
+    cal = frame([("d_1", "2020-01-01")], "d string, date string")
+    got = {r.d: r.date for r in pp.join_calendar(long, pp.calendar_clean(cal)).collect()}
+    assert got["d_2"] is None and got["d_1"].year == 2020

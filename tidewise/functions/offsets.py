@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 _UNITS = {"week": ("days", 7), "day": ("days", 1), "hour": ("hours", 1),
           "minute": ("mins", 1), "second": ("secs", 1)}
+_MONTHS = {"year": 12, "quarter": 3, "month": 1}
 
 
 def offset(n, unit: str = "day") -> Column:
-    """``n`` steps of ``unit`` as a day-time interval; ``n`` may be a column."""
+    """``n`` steps of ``unit`` as an interval (of months for month, quarter and year, else
+    of days and time); ``n`` may be a column."""
+    n = n if isinstance(n, Column) else F.lit(int(n))
+    if unit in _MONTHS:
+        return F.make_ym_interval(F.lit(0), (n * F.lit(_MONTHS[unit])).cast("int"))
     if unit not in _UNITS:
         raise ValueError(f"unsupported offset unit {unit!r}")
     field, mult = _UNITS[unit]
-    n = n if isinstance(n, Column) else F.lit(int(n))
     return F.make_dt_interval(**{field: n * F.lit(mult)})
 
 

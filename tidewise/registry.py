@@ -28,8 +28,9 @@ from tidewise.plans import train as tr
 from tidewise.plans.backtest import backtest_scores, forest_backtest_predictions
 from tidewise.plans.base_table import base_table
 from tidewise.sources import fixtures as fx
-from tidewise.session import write_scratch
+from tidewise.session import scratch_path, write_scratch
 from tidewise.sources.panel import normalize_panel
+from tidewise.sources.raw import base_table_from_files
 from tidewise.sources.tables import read_table
 
 # Fixed parameters of the registered queries.
@@ -545,6 +546,16 @@ def q_base_table(spark, sf_dir):
 _SAMPLE_ITEMS_SQL = ", ".join(f"'{i}'" for i in SAMPLE["items"])
 
 
+@register("base_table_from_files", f"with {RAW_CTE} select *, {_BASE_FEATURES_SQL} from flagged")
+def q_base_table_from_files(spark, sf_dir):
+    """The raw tables written as CSV files and loaded with their declared schemas."""
+    paths = []
+    for name, df in zip(("sales", "calendar", "prices"), _raw(spark, sf_dir)):
+        paths.append(scratch_path(spark, name))
+        df.write.option("header", True).csv(paths[-1])
+    return base_table_from_files(spark, *paths)
+
+
 @register("sample_filter", f"""with {RAW_CTE}
 select *, {_BASE_FEATURES_SQL} from flagged
 where state_id = '{SAMPLE["state"]}' and store_id in ('2', '3') and dept_id = '{SAMPLE["dept"]}'
@@ -632,20 +643,49 @@ def _forest_grid(spark, sf_dir, horizon: int):
     return tr.horizon_frame(folded, HORIZONS, horizon)
 
 
-@register("onehot_features")
+FLAG_LAGS_CTE = LAGS_CTE.replace(
+    SERIES_CTE, """series as (
+  select l_returnflag || '_' || l_linestatus as id, l_returnflag as segment,
+         l_shipdate as date, sum(l_quantity) as y
+  from lineitem group by 1, 2, 3)""")
+# Numeric features of the one-hot query, in no special order (the vector's values
+# are reported by name).
+ONEHOT_NUMBERS = ["last", "year", "month", "day", "quarter", "week"]
+
+
+def _onehot_sql() -> str:
+    numbers = " union all ".join(
+        f"select id, date, '{c}' as feature, cast(coalesce({c}, (select median({c}) from fold_train)) as double) "
+        f"as value from fold_test" for c in ONEHOT_NUMBERS)
+    return f"""with {FLAG_LAGS_CTE}, {GLOBAL_FOLDS_CTE},
+featured as (select id, segment, date, last_7 as last, year(date) as year, month(date) as month,
+  day(date) as day, quarter(date) as quarter, weekofyear(date) as week from lags),
+fold_train as (select f.* from featured f, gfolds g where g.fold = 2 and f.date <= g.end_train),
+fold_test as (select f.* from featured f, gfolds g where g.fold = 2 and f.date between g.test_start and g.end_test),
+categories as (select distinct segment from fold_train)
+{numbers}
+union all select t.id, t.date, 'segment=' || c.segment, cast(t.segment = c.segment as double)
+from fold_test t, categories c"""
+
+
+@register("onehot_features", _onehot_sql())
 def q_onehot_features(spark, sf_dir):
+    """The vectors of the last fold's test rows, as one row for each named feature."""
     from pyspark.ml.functions import vector_to_array
-    grid = _forest_grid(spark, sf_dir, GROUP)
-    feats = tr.forest_features(grid, ROLES)
+    grid = write_scratch(_forest_grid(spark, sf_dir, GROUP), "forest-grid")
     train = grid.filter(F.col("train_from") <= LAST_FOLD)
-    pre = fr.fit_preprocessing(train, ROLES, feats)
-    test = grid.filter(F.col("test_fold") == LAST_FOLD)
-    return pre.transform(test).select("id", "date", vector_to_array("features").alias("features"))
+    pre = fr.fit_preprocessing(train, ROLES, ["segment", *ONEHOT_NUMBERS])
+    test = pre.transform(grid.filter(F.col("test_fold") == LAST_FOLD))
+    names = fr.feature_names(pre)
+    values = vector_to_array("features")
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), values[i].alias("value"))
+                      for i, n in enumerate(names)])
+    return test.select("id", "date", F.inline(pairs))
 
 
 @register("forest_forecast")
 def q_forest_forecast(spark, sf_dir):
-    grid = _forest_grid(spark, sf_dir, GROUP)
+    grid = write_scratch(_forest_grid(spark, sf_dir, GROUP), "forest-grid")
     feats = tr.forest_features(grid, ROLES)
     model = fr.fit_forest(grid.filter(F.col("train_from") <= LAST_FOLD), ROLES, FOREST_PARAMS,
                           feats)
