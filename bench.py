@@ -33,6 +33,9 @@ HEADLINE = [
     "impute_numeric",
     "impute_categorical",
     "constant_columns",
+    "backtest_report",     # test and training errors of three baselines
+    "lag_feature_chunked",
+    "base_table_from_files",
     "forest_forecast",     # one distributed forest fit and prediction
 ]
 
