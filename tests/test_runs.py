@@ -4,7 +4,11 @@ import random
 from helpers import daily
 from tidewise import Roles
 from tidewise.operators import forest as fr
+from pyspark.sql import functions as F
+
+from tidewise.plans import backtest as bt
 from tidewise.plans import runs, tracking as tk
+from tidewise.plans import train as tr
 
 ROLES = Roles(id="id", time="date", target="y", segment="seg")
 SCHEMA = "id string, seg string, date timestamp_ntz, y double, x double"
@@ -30,9 +34,42 @@ def test_train_then_backtest_through_store(frame, tmp_path, monkeypatch):
     assert all(c["params"]["max_depth"] == "3" for c in forest)  # own params, not the winner's
     best = tk.read_best(spark, store, run_id).collect()
     assert len(best) == 4
+    assert all(c["tags"]["n_grid_features"] == "6" for c in cands)  # five columns and the lag
+    for b in best:
+        if b["model"] == "RandomForest":
+            path = tk.model_path(store, run_id, b["segment"], int(b["predict_horizon"]))
+            assert tk.load_model(path).stages[-1].getNumTrees == 3
     out = runs.backtest_run(df, store)
     scores = out["fold_scores"].collect()
     assert sorted(r["fold"] for r in scores) == [0, 1, 2]  # backtest periods default to 3
     assert all(r["n"] > 0 and r["mse"] is not None for r in scores)
     n_pred_rows = out["predictions"].count()
     assert n_pred_rows == sum(r["n"] for r in scores)
+
+
+class Middle:
+    """Half of the segment's training mean: a project's own forecaster."""
+    name, params = "Middle", {"share": 1.0}
+
+    def fit_predict(self, train, test, roles):
+        means = train.groupBy("segment").agg(F.avg(roles.target).alias("prediction"))
+        return test.join(means, "segment", "left")
+
+
+def test_own_forecaster_through_train_and_backtest(frame):
+    rng = random.Random(4)
+    rows = [(f"id{i}", f"s{i % 2}", t, float(10 * (i % 2) + rng.randrange(3)), 0.0)
+            for i in range(4) for t in daily("2022-01-01", 40)]
+    df = frame(rows, SCHEMA)
+    out = tr.train(df, ROLES, 4, 2, 2, baselines=("Mean",), with_forest=False, models=[Middle()])
+    scores = {(r.segment, r.predict_horizon, r.fold, r.model): r.mse for r in out["scores"].collect()}
+    assert len(scores) == 2 * 2 * 2 * 2
+    for (s, h, k, m), mse in scores.items():  # the same forecast as the built-in mean
+        assert abs(mse - scores[s, h, k, "Mean"]) < 1e-9
+    winners = out["best_models"].filter("model = 'Mean'").withColumn("model", F.lit("Middle"))
+    mine = bt.backtest(df, ROLES, 4, 2, 2, winners, models=[Middle()])["predictions"].collect()
+    plain = bt.backtest_predictions(df, ROLES, 4, 2, 2, ("Mean",)).collect()
+    key = lambda r: (r.fold, r.predict_horizon, r.id, r.date, round(r.prediction, 9))
+    won = {(r.segment, r.predict_horizon) for r in winners.collect()}
+    assert sorted(map(key, mine)) == sorted(key(r) for r in plain if (r.segment, r.predict_horizon) in won)
+    assert len(mine) > 0

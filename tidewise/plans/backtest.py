@@ -188,7 +188,7 @@ def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group:
 def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
              winners: DataFrame, unit: str = "day", threads: int = 4,
              chunk_rows: int | None = None, fit_partitions: int | None = None,
-             grid_fn=None) -> dict[str, DataFrame]:
+             grid_fn=None, models: list = ()) -> dict[str, DataFrame]:
     """Backtest the chosen model of each (segment, horizon).
 
     ``winners``: ``best_models`` rows (segment, predict_horizon, model, params).
@@ -204,8 +204,14 @@ def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
     keys = ["segment", "predict_horizon", "model"]
     w = winners.select(*keys, "params")
     is_forest = F.col("model") == "RandomForest"
-    base_models = sorted(r[0] for r in w.filter(~is_forest).select("model").distinct().collect())
+    own = {m.name: m for m in models}
+    chosen = sorted(r[0] for r in w.filter(~is_forest).select("model").distinct().collect())
+    base_models = [m for m in chosen if m not in own]
     parts = []
+    if used := [own[m] for m in chosen if m in own]:
+        from tidewise.plans.custom import forecaster_predictions
+        parts += [forecaster_predictions(df, roles, n_pred, group, n_folds, m, winners, unit, chunk_rows,
+                                         grid_fn) for m in used]
     if base_models:
         p = backtest_predictions(df, roles, n_pred, group, n_folds, tuple(base_models), unit,
                                  chunk_rows)

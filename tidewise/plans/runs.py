@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewise.plans import backtest as bt
 from tidewise.plans import tracking as tk
@@ -13,11 +16,13 @@ from tidewise.roles import Roles
 def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
               n_folds: int = 3, baselines: tuple[str, ...] = ("Last",),
               with_forest: bool = True, project: str = "panel", threads: int = 4,
-              validate: bool = True, chunk_rows: int | None = None, grid_fn=None) -> str:
+              validate: bool = True, chunk_rows: int | None = None, grid_fn=None,
+              models: list = (), save_models: bool = True) -> str:
     """Train, record candidates, winners and the run; return the run id.
 
     With ``validate`` the panel's keys are checked first (one aggregate job):
-    a null id, a null time or a repeated (id, time) raises.
+    a null id, a null time or a repeated (id, time) raises. With ``save_models``, each
+    winning forest is fitted on its segment's whole data and stored with the run.
     """
     from tidewise.operators.horizons import check_grouping
     from tidewise.sources.panel import validate_panel
@@ -26,24 +31,47 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
         validate_panel(df, roles)
     out = tr.train(df, roles, n_pred, group, n_folds, baselines, with_forest,
                    project=project, by_segment=True, threads=threads, chunk_rows=chunk_rows,
-                   grid_fn=grid_fn)
+                   grid_fn=grid_fn, models=models)
     run_id = tk.new_run_id()
     spark = df.sparkSession
     # cv_results is reused three times: keep it once in the shared checkpoint
     # folder instead of re-running the forest fits' union each time.
     from tidewise.session import checkpoint
     results = checkpoint(out["cv_results"])
-    tk.record_candidates(results, store, run_id, n_folds)
+    tk.record_candidates(results, store, run_id, n_folds, len(df.columns) + 1)
     best = tr.best_models(results, project)
     tk.record_best(best, store, run_id)
     tk.record_run(spark, tr.train_summary(best), store, run_id, roles, n_pred, group, n_folds)
+    if save_models:
+        _save_winners(df, roles, store, run_id, n_pred, group, best, chunk_rows, grid_fn)
     return run_id
 
 
+def _save_winners(df, roles, store, run_id, n_pred, group, best, chunk_rows, grid_fn) -> None:
+    """One fit for each winning forest; they are as many as the run's models."""
+    from tidewise.operators import forest as fr
+    from tidewise.operators.horizons import horizon_list
+    from tidewise.operators.lags import add_lags
+    from tidewise.session import folder_key, write_scratch
+
+    winners = best.filter(F.col("model") == tr.FOREST).select("segment", "predict_horizon", "params").collect()
+    if not winners:
+        return
+    horizons = horizon_list(n_pred, group)
+    grid = add_lags(roles.with_segment(df), roles, horizons, chunk_rows)
+    grid = write_scratch(grid.withColumn(tr.PART, folder_key("segment")), "model-grid", [tr.PART])
+    for r in winners:
+        h = int(r["predict_horizon"])
+        rows = tr.horizon_frame(tr.segment_rows(grid, r["segment"]), horizons, h)
+        rows = grid_fn(rows, h) if grid_fn else rows
+        model = fr.fit_forest(rows, roles, json.loads(r["params"]), tr.forest_features(rows, roles))
+        tk.save_model(model, tk.model_path(store, run_id, r["segment"], h))
+
+
 def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds: int = 3,
                  unit: str = "day", threads: int = 4,
                  validate: bool = True, chunk_rows: int | None = None,
-                 grid_fn=None) -> dict[str, DataFrame]:
+                 grid_fn=None, models: list = ()) -> dict[str, DataFrame]:
     """Backtest the winners of a stored run (the best run if none is given)."""
     from tidewise.sources.panel import validate_panel
     spark = df.sparkSession
@@ -54,4 +82,4 @@ def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds:
     winners = tk.read_best(spark, store, run["run_id"])
     return bt.backtest(df, roles, int(run["number_predictions"]),
                        int(run["n_predictions_groupby"]), n_folds, winners, unit, threads,
-                       chunk_rows, grid_fn=grid_fn)
+                       chunk_rows, grid_fn=grid_fn, models=models)

@@ -23,16 +23,19 @@ def new_run_id() -> str:
     return uuid.uuid4().hex
 
 
-def record_candidates(cv_results: DataFrame, store: str, run_id: str, n_folds: int) -> None:
+def record_candidates(cv_results: DataFrame, store: str, run_id: str, n_folds: int,
+                      n_grid_features: int | None = None) -> None:
     """Append one record per candidate: params, metrics (average_mse,
-    std_mse, split{k}_test_score) and tags (segment, horizon, model)."""
+    std_mse, split{k}_test_score; not rounded) and tags (segment, horizon, model, and
+    the number of columns of a horizon's grid)."""
     metrics = F.create_map(
         F.lit("average_mse"), F.col("average_mse"), F.lit("std_mse"), F.col("std_mse"),
         *[x for k in range(n_folds) for x in (F.lit(f"split{k}_test_score"),
                                               F.col(f"split{k}_test_score"))])
     tags = F.create_map(F.lit("segment"), F.col("segment"),
                         F.lit("prediction_horizon"), F.col("predict_horizon").cast("string"),
-                        F.lit("model_name"), F.col("model"))
+                        F.lit("model_name"), F.col("model"),
+                        F.lit("n_grid_features"), F.lit(n_grid_features).cast("string"))
     params = F.from_json(F.coalesce(F.col("params"), F.lit("{}")), "map<string,string>")
     out = cv_results.select(
         F.lit(run_id).alias("run_id"), "segment", "predict_horizon", "model", "candidate",
@@ -90,6 +93,11 @@ def roles_of(run) -> Roles:
                  segment=run["column_segment_groupby"])
 
 
+def model_path(store: str, run_id: str, segment: str, horizon: int) -> str:
+    """Folder of a winner's fitted model; any text can be a segment."""
+    return _path(store, f"models/run_id={run_id}/k{segment.encode().hex()}/{horizon}")
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path

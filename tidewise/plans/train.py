@@ -257,8 +257,9 @@ def train(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
           baselines: tuple[str, ...] = ("Last",), with_forest: bool = True,
           candidates: list[dict] | None = None, project: str = "panel",
           by_segment: bool = True, threads: int = 4, chunk_rows: int | None = None,
-          fit_partitions: int | None = None, grid_fn=None) -> dict[str, DataFrame]:
-    """Score every model, keep the best per (segment, horizon), summarize.
+          fit_partitions: int | None = None, grid_fn=None, models: list = ()) -> dict[str, DataFrame]:
+    """Score every model, keep the best per (segment, horizon), summarize. ``models``:
+    a project's own forecasters (``plans.custom``).
 
     Returns ``scores`` (per fold), ``cv_results`` (per candidate, with the
     candidate's own parameters), ``best_models`` and ``summary``.
@@ -271,6 +272,10 @@ def train(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
     if with_forest:
         parts.append(forest_scores(df, roles, n_pred, group, n_folds, candidates, by_segment,
                                    threads, fit_partitions, chunk_rows, grid_fn))
+    if models:
+        from tidewise.plans.custom import forecaster_scores
+        parts.append(forecaster_scores(df, roles, n_pred, group, n_folds, list(models), by_segment,
+                                       chunk_rows, grid_fn))
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)
