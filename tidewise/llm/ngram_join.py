@@ -10,9 +10,9 @@ packed (``packed.py``). Texts that share a signature form a list; lists of up to
 nodes, a hub. After those links are verified and joined into components, only nodes of
 a long list that lie outside the list's main component are still compared, block
 by block, with the list's other components (``_open_pairs``): first each such node
-with the likeliest node of a component, round by round as long as that joins
-components, then with all nodes that may link. So no pair between different
-components goes unseen, and no group is ever expanded into all pairs.
+with the likeliest node of a component, then what is still apart with all nodes that
+may link. So no pair between different components goes unseen, and no group is ever
+expanded into all pairs.
 Before sets are fetched, pairs pass an exact filter: the parity bitmaps of two
 sets differ in no more bits than the sets differ in elements.
 
@@ -216,8 +216,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands,
-                best: bool) -> DataFrame:
+def _open_pairs(lists: DataFrame, comps: DataFrame, bands: Bands, best: bool) -> DataFrame:
     """Pairs of long lists whose nodes lie in different components and may link; with
     ``best``, of a node and a component in a block only the likeliest.
 
@@ -226,15 +225,15 @@ def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Ban
     blocks of their own as well, which meet all blocks of the list. Pairs within the
     main component need no look; all others meet in exactly such block pairs."""
     members = (lists.join(comps.withColumnRenamed("node", "a"), "a", "left")
-               .select("key", "a", F.coalesce("component", "a").alias("component"), "b"))
+               .select("key", "a", F.coalesce("component", "a").alias("component"), "b",
+                       "n_shingles", "parity"))
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"),
                                       F.count("*").alias("kinds"))
             .filter("kinds > 1").select("key", F.col("m.component").alias("main")))
     block = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("b") / BLOCK))).cast("int")
-    members = (members.join(main, "key")
-               .join(nodes.select(F.col("node").alias("a"), "n_shingles", "parity"), "a")
-               .withColumn("block", block).withColumn("left", F.col("component") != F.col("main")))
+    members = (members.join(main, "key").withColumn("block", block)
+               .withColumn("left", F.col("component") != F.col("main")))
     node = F.struct("a", "component", "n_shingles", "parity")
     # a bundle is one block of a list: about BLOCK nodes in one row
     bundles = members.groupBy("key", "block").agg(F.collect_list(node).alias("right"))
@@ -321,13 +320,10 @@ def _links(docs, text_col, width, bands, profiles, nodes) -> DataFrame:
     comps = components(links)
     if lists.isEmpty():
         return comps
-    lists, best = saved(lists, "lists"), True
-    while True:
-        more = saved(_verified(_open_pairs(lists, nodes, comps, bands, best), sets, bands), "links")
-        joined = not more.isEmpty()
-        if joined:
+    lists = saved(lists.join(nodes.select(F.col("node").alias("a"), "n_shingles", "parity"), "a"), "lists")
+    for best in (True, False):
+        more = saved(_verified(_open_pairs(lists, comps, bands, best), sets, bands), "links")
+        if not more.isEmpty():
             links = links.unionByName(more)
             comps = components(links)
-        if not best:
-            return comps
-        best = joined
+    return comps
