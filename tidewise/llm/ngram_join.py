@@ -216,7 +216,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, bands: Bands, best: bool) -> DataFrame:
+def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands,
+                best: bool) -> DataFrame:
     """Pairs of long lists whose nodes lie in different components and may link; with
     ``best``, of a node and a component in a block only the likeliest.
 
@@ -225,15 +226,15 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, bands: Bands, best: bool) ->
     blocks of their own as well, which meet all blocks of the list. Pairs within the
     main component need no look; all others meet in exactly such block pairs."""
     members = (lists.join(comps.withColumnRenamed("node", "a"), "a", "left")
-               .select("key", "a", F.coalesce("component", "a").alias("component"), "b",
-                       "n_shingles", "parity"))
+               .select("key", "a", F.coalesce("component", "a").alias("component"), "b"))
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"),
                                       F.count("*").alias("kinds"))
             .filter("kinds > 1").select("key", F.col("m.component").alias("main")))
     block = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("b") / BLOCK))).cast("int")
-    members = (members.join(main, "key").withColumn("block", block)
-               .withColumn("left", F.col("component") != F.col("main")))
+    members = (members.join(main, "key")
+               .join(nodes.select(F.col("node").alias("a"), "n_shingles", "parity"), "a")
+               .withColumn("block", block).withColumn("left", F.col("component") != F.col("main")))
     node = F.struct("a", "component", "n_shingles", "parity")
     # a bundle is one block of a list: about BLOCK nodes in one row
     bundles = members.groupBy("key", "block").agg(F.collect_list(node).alias("right"))
@@ -244,7 +245,11 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, bands: Bands, best: bool) ->
         for batch in batches:
             yield from _block_pairs(batch, bands, best)
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    # the same pairs meet in many lists: they are made distinct by left node, as arrays
+    found = met.mapInArrow(run, "x long, ys array<long>").groupBy("x").agg(
+        F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+    pairs = found.select("x", F.explode("ys").alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _block_pairs(batch: pa.RecordBatch, bands: Bands, best: bool):
@@ -271,13 +276,14 @@ def _block_pairs(batch: pa.RecordBatch, bands: Bands, best: bool):
             first = np.ones(len(i), bool)
             first[1:] = (i[1:] != i[:-1]) | (c_r[j][1:] != c_r[j][:-1])
             i, j = i[first], j[first]
-        pairs = [(left[x], right[y]) for x, y in zip(i.tolist(), j.tolist())]
-        pairs = {(min(x["a"], y["a"]), max(x["a"], y["a"])) for x, y in pairs
-                 if _may_link(x["n_shingles"], x["parity"], y["n_shingles"], y["parity"], bands)}
-        if pairs:
-            a, b = zip(*pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                                             names=["a", "b"])
+        found: dict[int, list[int]] = {}
+        for p, q in zip(i.tolist(), j.tolist()):
+            x, y = left[p], right[q]
+            if _may_link(x["n_shingles"], x["parity"], y["n_shingles"], y["parity"], bands):
+                found.setdefault(x["a"], []).append(y["a"])
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], names=["x", "ys"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -320,9 +326,9 @@ def _links(docs, text_col, width, bands, profiles, nodes) -> DataFrame:
     comps = components(links)
     if lists.isEmpty():
         return comps
-    lists = saved(lists.join(nodes.select(F.col("node").alias("a"), "n_shingles", "parity"), "a"), "lists")
+    lists = saved(lists, "lists")
     for best in (True, False):
-        more = saved(_verified(_open_pairs(lists, comps, bands, best), sets, bands), "links")
+        more = saved(_verified(_open_pairs(lists, nodes, comps, bands, best), sets, bands), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = components(links)
