@@ -23,6 +23,7 @@ treated as the library does by default; texts of any length are encoded whole.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from tidewise.llm import hashing as H
 
 WINDOW = 16
-CHUNK = 512            # bytes, about; a power of two
+CHUNK = 1024           # bytes, about; a power of two
 KEPT_CHUNKS = 10_000   # in a task's store
-KEPT_WORDS = 150_000   # in each of two generations; the older one goes first
+KEPT_WORDS = 220_000   # in each of two generations; the older one goes first
 LONGEST_KEPT = 64      # characters of a word that is kept
+JOINED = 200           # new words in one call of the library
 EDGE = 8               # whole words at either end of a chunk that a window may take in
 CHECKED_TEXTS = 2      # of a task's first batch, compared with the library's result
 
@@ -80,7 +82,21 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.int32).tobytes() for e in got]
+        return [array("i", e.ids).tobytes() for e in got]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without blanks: many are joined by blanks for one call of the
+        library, and told apart again by where their tokens begin."""
+        out: list[bytes] = []
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        got = self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, got):
+            starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+            begins = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            bounds = np.searchsorted(begins, starts).tolist()
+            raw = array("i", e.ids).tobytes()
+            out += [raw[4 * a:4 * b] for a, b in zip(bounds[:-1], bounds[1:])]
+        return out
 
     def _learn(self, words) -> dict[str, bytes]:
         """The ids of words, all of which are then kept (long ones: returned only)."""
@@ -96,7 +112,7 @@ class Encoder:
                 known[w] = older[w]
             else:
                 unknown.append(w)
-        for w, ids in zip(unknown, self._encode(unknown)):
+        for w, ids in zip(unknown, self._encode_words(unknown)):
             (known if len(w) <= LONGEST_KEPT else long)[w] = ids
         return long
 
