@@ -5,7 +5,8 @@ the columns of ``documents``.
 
 Defined results: each stage treats null and empty texts, repeated rows, null
 ids and extra columns as its operator says; rows with a null id
-always pass the near-duplicate stage, as no group can be named by them.
+always pass the near-duplicate stage, as no group can be named by them; an id that
+stands in several rows leaves if one of its texts does.
 """
 
 from __future__ import annotations
