@@ -37,7 +37,6 @@ def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     bucket = bucket[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) \
         if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(bucket))
     arrays = [pa.array(bucket[first], pa.int32())]
     for c in columns:
         c = np.ascontiguousarray(c[order])
@@ -47,7 +46,6 @@ def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
         arrays.append(pa.Array.from_buffers(
             pa.binary(), len(first),
             [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]))
-    assert len(ends) == len(first)
     return pa.RecordBatch.from_arrays(arrays, names=["bucket"] + [f"c{i}" for i in range(len(columns))])
 
 
