@@ -2,12 +2,15 @@
 
 Documents are summed into cells, one for each combination of the categories (a
 map-side aggregate, so a source with a third of all rows is no hot key). Token
-weights of the cells are raked to the target shares of each category in turn; a
-document is kept with its cell's raked weight per token, times the share of all
-tokens that the sample shall have. As no document is kept more than once, a cell's
-weight is bounded by what the cell has (a probability of 1); the bound is one more step of
-each sweep, so that the other cells make up for scarce ones as far as the targets
-allow. Only DataFrame functions.
+weights of the cells are raked to the target shares of each category in turn, until
+every margin is within ``TOLERANCE`` of its target; a document is kept with its cell's
+raked weight per token, times the largest factor for which no cell needs a probability
+above 1. So the expected tokens of the sample meet all targets, and the scarcest cell
+decides how large the sample is. Only DataFrame functions.
+
+A share of all tokens can be asked for instead (``keep``). Then a cell's weight is
+bounded by what the cell has, as one more step of each of ``sweeps`` sweeps, and the
+targets are missed where the bounds act: ``margins`` tells by how much.
 
 Targets are given as a power: a category's target share is proportional to its
 own share of tokens to that power (1 leaves it, 0 evens it out).
@@ -24,6 +27,9 @@ repeated rows share one fate, as it depends on the id; a null id counts as the t
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +37,9 @@ from tidewise.llm.scratch import saved
 
 SWEEPS = 6
 POWER = 0.7
-KEEP = 0.75  # share of all tokens in the sample, where the bounds allow it
+KEEP = 0.75  # share of all tokens in op3's sample, where the bounds allow it
+TOLERANCE = 1e-6  # of a margin, as a part of its target
+MOST_SWEEPS = 100
 SEED = 20
 NULL_NAME = "(none)"
 
@@ -55,9 +63,10 @@ def uniform(id_col: str = "doc_id", seed: int = SEED) -> Column:
 
 
 def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
-          keep: float = KEEP, sweeps: int = SWEEPS) -> DataFrame:
+          keep: float | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """``cells`` (categories, tokens) with ``weight``: the raked number of tokens, of as
-    many in all, and at most tokens / keep."""
+    many in all, and at most tokens / keep. Without ``keep`` nothing bounds it, and
+    sweeps go on until the margins are met."""
     total = Window.partitionBy()
     n = cells.agg(F.sum("tokens")).first()[0] or 0
     for c in categories:
@@ -67,20 +76,50 @@ def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
         share = share.select(c, target.alias(f"target_{c}"))
         cells = cells.join(share, c)
     cells = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for i in range(sweeps):
+    for i in range(sweeps if keep is not None else MOST_SWEEPS):
         for c in categories:
             factor = cells.groupBy(c).agg(F.sum("weight").alias("got"))
             cells = (cells.join(factor, c)
                      .withColumn("weight", F.col("weight") * F.col(f"target_{c}") / F.col("got")).drop("got"))
-        cells = saved(cells.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(keep))), "cells")
+        if keep is not None:
+            cells = cells.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(keep)))
+        cells = saved(cells, "cells")
+        if keep is None and (missed := _missed(cells, categories)) <= TOLERANCE:
+            break
+    else:
+        if keep is None:
+            warnings.warn(f"margins are missed by up to {missed:.2g} of their targets after {MOST_SWEEPS} sweeps")
     return cells
 
 
+def _missed(cells: DataFrame, categories: tuple[str, ...]) -> float:
+    """The largest difference of a margin from its target, as a part of the target."""
+    parts = [cells.groupBy(c).agg(F.sum("weight").alias("got"), F.first(f"target_{c}").alias("target"))
+             .select("got", "target") for c in categories]
+    return reduce(DataFrame.unionAll, parts).agg(F.max(F.abs(F.col("got") / F.col("target") - 1))).first()[0] or 0.0
+
+
+def margins(mixed: DataFrame, categories: tuple[str, ...], power: float = POWER,
+            prefix: str = "mix_") -> DataFrame:
+    """(category, value, target, share) of a ``mixture``: the share of all tokens that each
+    value shall have, and its share of the expected tokens of the sample."""
+    total = Window.partitionBy()
+    weigh = F.col(prefix + "tokens") * F.col(prefix + "probability")
+    cells = mixed.filter(F.col(prefix + "tokens") > 0).groupBy(*(prefix + c for c in categories)).agg(
+        F.sum(prefix + "tokens").alias("tokens"), F.sum(weigh).alias("expected"))
+    parts = [cells.groupBy(F.col(prefix + c).alias("value"))
+             .agg((F.sum("tokens") ** power).alias("part"), F.sum("expected").alias("expected"))
+             .select(F.lit(c).alias("category"), "value",
+                     (F.col("part") / F.sum("part").over(total)).alias("target"),
+                     (F.col("expected") / F.sum("expected").over(total)).alias("share")) for c in categories]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def mixture(docs: DataFrame, categories: dict[str, Column], id_col: str = "doc_id",
-            text_col: str = "text", power: float = POWER, keep: float = KEEP, sweeps: int = SWEEPS,
+            text_col: str = "text", power: float = POWER, keep: float | None = None, sweeps: int = SWEEPS,
             seed: int = SEED, prefix: str = "mix_") -> DataFrame:
     """``docs`` with <prefix>tokens, the categories (<prefix>name), <prefix>probability
-    and <prefix>kept."""
+    and <prefix>kept. Without ``keep`` the sample is as large as the targets allow."""
     if any(c.lower().startswith(prefix) for c in docs.columns):
         raise ValueError(f"columns must not begin with {prefix!r}")
     names = tuple(prefix + c for c in categories)
@@ -89,8 +128,12 @@ def mixture(docs: DataFrame, categories: dict[str, Column], id_col: str = "doc_i
                             | {prefix + "tokens": tokens(F.col(text_col))})
     cells = docs.groupBy(*names).agg(F.sum(prefix + "tokens").alias("tokens"))
     full = raked(saved(cells.filter("tokens > 0"), "cells"), names, power, keep, sweeps)
-    chances = saved(full.select(*names, (F.col("weight") * keep / F.col("tokens")).alias(prefix + "probability")),
-                    "chances")
+    if keep is None:  # the scarcest cell is kept whole
+        most = full.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0]
+        chance = F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.lit(most))
+    else:
+        chance = F.col("weight") * keep / F.col("tokens")
+    chances = saved(full.select(*names, chance.alias(prefix + "probability")), "chances")
     return (docs.join(chances, list(names), "left")
             .withColumn(prefix + "probability", F.coalesce(prefix + "probability", F.lit(1.0)))
             .withColumn(prefix + "kept", uniform(id_col, seed) < F.col(prefix + "probability"))
