@@ -147,5 +147,5 @@ def op10(spark, sf_dir):
 
 @register("op2_lm_scoring")
 def op2(spark, sf_dir):
-    return (backoff_scores(read_table(spark, sf_dir, "documents"), least=1)
+    return (backoff_scores(read_table(spark, sf_dir, "documents"), least=1, order=3)
             .withColumnRenamed("id", "doc_id"))
