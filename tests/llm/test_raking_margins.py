@@ -9,13 +9,17 @@ def test_margins_of_the_production_parameters(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     categories = {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic("text")}
 
+    # a value that is all but empty
+    docs = docs.unionByName(docs.limit(1).withColumn("source", F.lit("rare")).withColumn("text", F.lit("a b")))
+
     def worst(**how):
         mixed = raking.mixture(docs, categories, **how).cache()
         assert mixed.agg(F.max("mix_probability")).first()[0] <= 1
         rows = raking.margins(mixed, tuple(categories)).collect()
         assert {r.category for r in rows} == set(categories)
-        return max(abs(r.share / r.target - 1) for r in rows), mixed.agg(F.max("mix_probability")).first()[0]
+        part = F.sum(F.col("mix_tokens") * F.col("mix_probability")) / F.sum("mix_tokens")
+        return max(abs(r.share - r.target) for r in rows), mixed.agg(part).first()[0]
 
-    missed, most = worst()
-    assert missed < 1e-5 and most > 1 - 1e-9  # met, and no larger sample could meet them
-    assert worst(keep=raking.KEEP)[0] > 0.05
+    missed, part = worst()
+    assert missed <= raking.TOLERANCE + 1e-9 and part > 0.25
+    assert worst(keep=raking.KEEP)[0] > 20 * raking.TOLERANCE

@@ -2,15 +2,19 @@
 
 Documents are summed into cells, one for each combination of the categories (a
 map-side aggregate, so a source with a third of all rows is no hot key). Token
-weights of the cells are raked to the target shares of each category in turn, until
-every margin is within ``TOLERANCE`` of its target; a document is kept with its cell's
-raked weight per token, times the largest factor for which no cell needs a probability
-above 1. So the expected tokens of the sample meet all targets, and the scarcest cell
-decides how large the sample is. Only DataFrame functions.
-
-A share of all tokens can be asked for instead (``keep``). Then a cell's weight is
-bounded by what the cell has, as one more step of each of ``sweeps`` sweeps, and the
-targets are missed where the bounds act: ``margins`` tells by how much.
+weights of the cells are raked to the target shares of each category in turn; a
+document is kept with its cell's raked weight per token, times the share of all
+tokens that the sample shall have. As no document is kept more than once, a cell's
+weight is bounded by what the cell has (a probability of 1); the bound is one more step of
+each sweep, so that the other cells make up for scarce ones. Only DataFrame functions.
+
+The sample is as large as the targets allow: the share of all tokens is the largest for which
+no category value lacks more than half of ``TOLERANCE``, and sweeps go on until every
+margin is within ``TOLERANCE`` of its target, both as parts of all tokens (so a value that is
+all but empty does not make the sample all but empty). If the bounds of single cells
+stand against that, the share is lowered. A share can be asked for instead (``keep``); then
+``sweeps`` sweeps are made and the targets are missed where the bounds act. ``margins``
+tells what any mixture misses.
 
 Targets are given as a power: a category's target share is proportional to its
 own share of tokens to that power (1 leaves it, 0 evens it out).
@@ -38,8 +42,9 @@ from tidewise.llm.scratch import saved
 SWEEPS = 6
 POWER = 0.7
 KEEP = 0.75  # share of all tokens in op3's sample, where the bounds allow it
-TOLERANCE = 1e-6  # of a margin, as a part of its target
+TOLERANCE = 5e-4  # of a margin, as a part of all tokens
 MOST_SWEEPS = 100
+PATIENCE = 15  # sweeps before the share is lowered
 SEED = 20
 NULL_NAME = "(none)"
 
@@ -63,10 +68,10 @@ def uniform(id_col: str = "doc_id", seed: int = SEED) -> Column:
 
 
 def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
-          keep: float | None = None, sweeps: int = SWEEPS) -> DataFrame:
+          keep: float | None = None, sweeps: int = SWEEPS) -> tuple[DataFrame, float]:
     """``cells`` (categories, tokens) with ``weight``: the raked number of tokens, of as
-    many in all, and at most tokens / keep. Without ``keep`` nothing bounds it, and
-    sweeps go on until the margins are met."""
+    many in all, and at most tokens / keep; and ``keep``, the largest that meets the targets
+    unless given."""
     total = Window.partitionBy()
     n = cells.agg(F.sum("tokens")).first()[0] or 0
     for c in categories:
@@ -76,27 +81,36 @@ def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
         share = share.select(c, target.alias(f"target_{c}"))
         cells = cells.join(share, c)
     cells = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for i in range(sweeps if keep is not None else MOST_SWEEPS):
+    fixed = keep is not None
+    if not fixed:
+        least = F.col("target") - F.lit(TOLERANCE / 2)
+        keep = min(1.0, _margins(cells, categories, "tokens").filter(least > 0)
+                   .agg(F.min(F.col("got") / least)).first()[0] or 1.0)
+    for i in range(sweeps if fixed else MOST_SWEEPS):
         for c in categories:
             factor = cells.groupBy(c).agg(F.sum("weight").alias("got"))
             cells = (cells.join(factor, c)
                      .withColumn("weight", F.col("weight") * F.col(f"target_{c}") / F.col("got")).drop("got"))
-        if keep is not None:
-            cells = cells.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(keep)))
-        cells = saved(cells, "cells")
-        if keep is None and (missed := _missed(cells, categories)) <= TOLERANCE:
+        cells = saved(cells.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(keep))), "cells")
+        if fixed:
+            continue
+        missed = _margins(cells, categories, "weight").agg(F.max(F.abs(F.col("got") - F.col("target")))).first()[0]
+        if (missed or 0.0) <= TOLERANCE:
             break
+        if (i + 1) % PATIENCE == 0 and i + 1 < MOST_SWEEPS:
+            keep *= 0.8
     else:
-        if keep is None:
-            warnings.warn(f"margins are missed by up to {missed:.2g} of their targets after {MOST_SWEEPS} sweeps")
-    return cells
+        if not fixed:
+            warnings.warn(f"margins are missed by up to {missed:.2g} of all tokens after {MOST_SWEEPS} sweeps")
+    return cells, keep
 
 
-def _missed(cells: DataFrame, categories: tuple[str, ...]) -> float:
-    """The largest difference of a margin from its target, as a part of the target."""
-    parts = [cells.groupBy(c).agg(F.sum("weight").alias("got"), F.first(f"target_{c}").alias("target"))
-             .select("got", "target") for c in categories]
-    return reduce(DataFrame.unionAll, parts).agg(F.max(F.abs(F.col("got") / F.col("target") - 1))).first()[0] or 0.0
+def _margins(cells: DataFrame, categories: tuple[str, ...], column: str) -> DataFrame:
+    """(got, target) of each value of each category, as parts of their sums."""
+    total = Window.partitionBy()
+    return reduce(DataFrame.unionAll, [
+        cells.groupBy(c).agg(F.sum(column).alias("got"), F.first(f"target_{c}").alias("target"))
+        .select(*[(F.col(x) / F.sum(x).over(total)).alias(x) for x in ("got", "target")]) for c in categories])
 
 
 def margins(mixed: DataFrame, categories: tuple[str, ...], power: float = POWER,
@@ -127,12 +141,8 @@ def mixture(docs: DataFrame, categories: dict[str, Column], id_col: str = "doc_i
                              for c, e in categories.items()}
                             | {prefix + "tokens": tokens(F.col(text_col))})
     cells = docs.groupBy(*names).agg(F.sum(prefix + "tokens").alias("tokens"))
-    full = raked(saved(cells.filter("tokens > 0"), "cells"), names, power, keep, sweeps)
-    if keep is None:  # the scarcest cell is kept whole
-        most = full.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0]
-        chance = F.least(F.lit(1.0), F.col("weight") / F.col("tokens") / F.lit(most))
-    else:
-        chance = F.col("weight") * keep / F.col("tokens")
+    full, keep = raked(saved(cells.filter("tokens > 0"), "cells"), names, power, keep, sweeps)
+    chance = F.least(F.lit(1.0), F.col("weight") * keep / F.col("tokens"))  # rounding
     chances = saved(full.select(*names, chance.alias(prefix + "probability")), "chances")
     return (docs.join(chances, list(names), "left")
             .withColumn(prefix + "probability", F.coalesce(prefix + "probability", F.lit(1.0)))
