@@ -16,6 +16,7 @@ from tidewise.llm import raking
 from tidewise.llm.quality import quality_scores
 from tidewise.llm.secret_scan import BASE_RULES, secret_spans
 from tidewise.llm.token_count import token_counts
+from tidewise.llm.url_filter import Rule, judged, site_rules
 from tidewise.llm.warc import round_trip
 from tidewise.sources.tables import read_table
 
@@ -149,3 +150,40 @@ def op10(spark, sf_dir):
 def op2(spark, sf_dir):
     return (backoff_scores(read_table(spark, sf_dir, "documents"), least=1, order=3)
             .withColumnRenamed("id", "doc_id"))
+
+
+# The rules of the URL filter by site, and globs for all other URLs.
+SITE_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+              ("allow", "com/fr/"), ("block", "com/de/")]
+BLOCKED_GLOBS = ["*ads-track.*/*", "*casino*/*", "*cheap-pills*/*", "*-bets.*/*", "*spam-farm*/*", "adult-?.*/*",
+                 "*.adult-?.*/*", "*/*.exe", "*/*/login*", "*/*/cart/*"]
+URL_RULES = [r for verdict, site in SITE_RULES for r in site_rules(verdict, site)] + [
+    Rule(glob, "block") for glob in BLOCKED_GLOBS]
+
+
+def _url_sql() -> str:
+    """Sites by suffix and prefix tests, globs as regular expressions."""
+    fits = []
+    for verdict, site in sorted(SITE_RULES, key=lambda r: -len(r[1])):
+        host, path = site.split("/", 1)
+        fits.append((f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}')", site, verdict))
+
+    def regex(glob):
+        return glob.replace(".", "[.]").replace("*", ".*").replace("?", ".")
+    globs = " or ".join(f"regexp_full_match(host, '(?s){regex(h)}') and regexp_full_match(path, '(?s){regex('/' + p)}')"
+                        for h, p in (g.split("/", 1) for g in BLOCKED_GLOBS))
+    rule = " ".join(f"when {test} then '{site}'" for test, site, _ in fits)
+    verdict = " ".join(f"when {test} then '{v}'" for test, _, v in fits)
+    return f"""with rests as (select page_id,
+      case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    parts as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rests)
+    select page_id, host, path, case {rule} end as rule,
+      case {verdict} when {globs} then 'block' else 'allow' end as verdict from parts"""
+
+
+@register("op11_url_filter", _url_sql())
+def op11(spark, sf_dir):
+    return (judged(read_table(spark, sf_dir, "pages"), URL_RULES).drop("glob")
+            .withColumnRenamed("id", "page_id"))
