@@ -1,0 +1,119 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.brute import WORD
+from tidewise.llm import periodic as P
+from tidewise.llm.queries import QUERIES
+
+
+def brute_runs(w, shortest=24, repeats=3):
+    """Every stretch with period q, extended both ways, if q is its smallest period."""
+    found = []
+    for q in range(1, len(w) // repeats + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(shortest, repeats * q):
+                run = w[i:j + q]
+                if not any(all(run[k] == run[k + p] for k in range(len(run) - p)) for p in range(1, q)):
+                    found.append((i, j + q - i, q))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def brute_row(doc_id, text):
+    w = WORD.findall(text or "")
+    n, h = len(w), zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs = brute_runs(w)
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    best = min(runs, key=lambda r: (-r[1] * 10 ** 12 // r[2], r[0], r[2]), default=(None,) * 3)
+    sha = [hashlib.sha256(x.encode()).hexdigest() for x in (
+        "".join(f"{s},{m},{q}\n" for s, m, q in runs), " ".join(x for i, x in enumerate(w) if i not in gone))]
+    return (len(runs), *best, 1000 * best[1] // best[2] if runs else None, *sha)
+
+
+def text(rng, size=None):
+    """Words of a small vocabulary with repetitions, nested ones too, put in."""
+    vocabulary = [f"W{i}é" for i in range(rng.choice([2, 3, 30, 400]))]
+    out = []
+    for _ in range(rng.randrange(1, 6)):
+        out += rng.choices(vocabulary, k=rng.randrange(0, 40))
+        block = rng.choices(vocabulary, k=rng.randrange(1, 14))
+        if rng.random() < 0.3:
+            block = block * rng.randrange(2, 5) + rng.choices(vocabulary, k=1)
+        many = (block * rng.randrange(2, 9))[:rng.randrange(1, 90)]
+        out += many
+    return rng.choice(["", " ", "\n"]) + rng.choice([" ", "\t\n", "  "]).join(out[:size]) + rng.choice(["", " \r\n"])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_match_brute_force(seed):
+    rng = random.Random(seed)
+    lists = [WORD.findall(text(rng)) for _ in range(150)]
+    number = {}
+    words = np.array([number.setdefault(x, len(number)) for w in lists for x in w], np.int64)
+    at = np.cumsum([0, *map(len, lists)])
+    got = P.periodic_runs(words, at)
+    assert sum(map(len, got.values())) > 50
+    for i, w in enumerate(lists):
+        assert got.get(i, []) == brute_runs(w)
+
+
+def test_long_text_and_long_periods():
+    rng = np.random.default_rng(1)
+    block = rng.integers(0, 50, 40_000)  # no word is rare: the whole text survives the splitting
+    words = np.concatenate([rng.integers(0, 50, 70_000), np.tile(block, 4)[:150_000], np.tile([1, 2, 1], 9_000)])
+    got = P.periodic_runs(words, np.array([0, len(words)]))[0]
+    at_block = [r for r in got if r[2] == 40_000]
+    assert len(at_block) == 1 and at_block[0][0] <= 70_000 and at_block[0][1] >= 150_000
+    assert any(r[2] == 3 and r[1] >= 27_000 for r in got)
+
+
+def test_segments_have_no_rare_words():
+    w = np.array([*range(100), *[1, 2, 3] * 9, *range(200, 240), *[5] * 24])
+    segments = P.split_segments(w, np.array([0, len(w)]))
+    assert segments == [(100, 127), (167, 191)]
+
+
+def test_query_matches_brute_force(spark, frame, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, text(rng)) for i in range(150)]
+    planted = [i for i in range(3000, 4000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += [(i, " ".join(rng.choices([f"v{k}" for k in range(900)], k=rng.randrange(1, 300)))) for i in planted]
+    rows += [(planted[0], None), (planted[1], ""), (planted[2], " \n "), (planted[3], "one"), (7, None), (8, ""),
+             (9, "a " * 24), (10, "a " * 23), (None, "b c " * 20), (11, "A a " * 12 + "a"), (12, "x" * 70_000),
+             (13, "p q r s t u v w " * 3), (13, "p q r s t u v w " * 3), (14, ("lo ng " * 30_000) + "end")]
+    docs = frame(rows, "doc_id long, text string").withColumn("id", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in QUERIES["op13_periodic_runs"](spark, str(tmp_path)).collect()), key=str)
+    assert sum(r[1] > 0 for r in got) > 100
+    assert [r for r in got if r[0] != 14] == sorted(((i, *brute_row(i, t)) for i, t in rows if i != 14), key=str)
+    long = next(r for r in got if r[0] == 14)
+    assert long[1:6] == (1, 0, 60_000, 2, 30_000_000)
+    assert long[7] == hashlib.sha256(b"lo ng end").hexdigest()
+
+
+def test_equal_hashes_of_different_words_are_seen(spark, frame, monkeypatch):
+    words = [f"u{i}" for i in range(300)]
+    docs = frame([(1, " ".join(words)), (2, "a b c " * 9)], "doc_id long, text string")
+    monkeypatch.setattr(P.H, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    data, offsets = P.H.utf8(docs.select("text").toArrow().column("text").combine_chunks())
+    _, found, _, digests = P._searched(data, offsets, [], 24, 3)
+    assert found.get(0, []) == [] and found[1] == [(0, 27, 3)]
+    assert digests[0] == hashlib.sha256(" ".join(words).encode()).hexdigest()
+
+
+def test_empty_table(frame):
+    assert P.collapsed(frame([], "doc_id long, text string")).collect() == []

@@ -13,6 +13,7 @@ from tidewise.llm.fingerprint import edited_fingerprints
 from tidewise.llm.lm_score import backoff_scores
 from tidewise.llm.ngram_join import jaccard_components
 from tidewise.llm import raking
+from tidewise.llm.periodic import collapsed
 from tidewise.llm.quality import quality_scores
 from tidewise.llm.secret_scan import BASE_RULES, secret_spans
 from tidewise.llm.token_count import token_counts
@@ -187,3 +188,25 @@ def _url_sql() -> str:
 def op11(spark, sf_dir):
     return (judged(read_table(spark, sf_dir, "pages"), URL_RULES).drop("glob")
             .withColumnRenamed("id", "page_id"))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf_dir):
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = collapsed(read_table(spark, sf_dir, "documents"),
+                      plant=F.when(h % 10 == 0, F.floor(h / 10)))
+
+    def ahead(a, b):
+        """Greater length/period first, exactly; then the smaller start and period."""
+        x, y = a["length"] * b["period"], b["length"] * a["period"]
+        return F.when(x > y, -1).when(x < y, 1).when(a["start"] < b["start"], -1).when(
+            a["start"] > b["start"], 1).otherwise(F.sign(a["period"] - b["period"]).cast("int"))
+
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    best = F.get(F.array_sort("runs", ahead), 0)
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
