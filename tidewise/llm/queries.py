@@ -16,6 +16,7 @@ from tidewise.llm import raking
 from tidewise.llm.periodic import collapsed
 from tidewise.llm.quality import quality_scores
 from tidewise.llm.secret_scan import BASE_RULES, secret_spans
+from tidewise.llm.token_align import scored_alignments
 from tidewise.llm.token_count import token_counts
 from tidewise.llm.url_filter import Rule, judged, site_rules
 from tidewise.llm.warc import round_trip
@@ -210,3 +211,11 @@ def op13(spark, sf_dir):
         *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+@register("op12_cross_tokenizer")
+def op12(spark, sf_dir):
+    import public_tokenizers
+    return (scored_alignments(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("piece_bpe_32k.model"))
+            .withColumnRenamed("id", "doc_id"))
