@@ -1,12 +1,15 @@
 import datetime as dt
 import random
 
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from helpers import FULL_MOONS, NEW_MOONS, daily, lag_bruteforce
 from tidewise import Roles
 from tidewise.functions.calendar import ALL_FEATURES, add_time_features
 from tidewise.functions.frequency import infer_frequency
-from tidewise.operators.lags import add_lags, horizon_grid, lead_target
+from tidewise.operators.lags import add_lags, horizon_grid, lead_target, ranged_shift
 
 ROLES = Roles(id="id", time="date", target="y")
 SCHEMA = "id string, date timestamp_ntz, y double"
@@ -80,29 +83,51 @@ def test_features_stay_in_codegen(frame):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
-def test_chunked_lags_equal_plain_window(frame):
-    from tidewise.operators.lags import add_lags_chunked
+def ranged_rows():
     rng = random.Random(5)
     rows = []
-    for i, n in (("hot", 400), ("small", 7), ("mid", 60)):
+    for i, n in (("hot", 400), ("small", 7), ("mid", 60), (None, 30), ("tiny", 1)):
         for t in daily("2020-01-01", n, {d for d in range(n) if rng.random() < 0.2}):
-            rows.append((i, t, float(rng.randrange(100))))
-    rows.append((None, dt.datetime(2020, 1, 1), 1.0))
-    df = frame(rows, SCHEMA)
-    plain = {(r["id"], r["date"]): tuple(r) for r in add_lags(df, ROLES, [1, 3, 7]).collect()}
-    chunked = add_lags_chunked(df, ROLES, [1, 3, 7], chunk_rows=9).collect()
-    assert len(chunked) == len(plain)
-    for r in chunked:
-        assert tuple(r) == plain[(r["id"], r["date"])]
-
-
-def test_chunked_frequency_equals_plain(frame):
+            rows.append((i, t, float(rng.randrange(100)) if rng.random() < 0.9 else None))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 60])  # 60: hot rows in many partitions of fewer rows than the largest shift
+@pytest.mark.parametrize("ahead", [False, True])
+def test_shift_over_range_partitions_equals_plain_window(frame, partitions, ahead):
+    df = frame(ranged_rows(), SCHEMA).withColumn("_kind", F.lit("own"))
+    shifts = {"a": 1, "b": 3, "c": 17}
+    w = Window.partitionBy("id").orderBy("date")
+    plain = df.withColumns({c: (F.lead if ahead else F.lag)("y", h).over(w) for c, h in shifts.items()})
+    got = ranged_shift(df, ROLES, shifts, "y", ahead, partitions)
+    assert got.columns == plain.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_shift_in_small_batches(spark, frame):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = frame(ranged_rows(), SCHEMA)
+        plain = sorted(map(tuple, add_lags(df, ROLES, [1, 7]).collect()), key=str)
+        assert sorted(map(tuple, add_lags(df, ROLES, [1, 7], spread=True).collect()), key=str) == plain
+        lead = sorted(map(tuple, lead_target(df, ROLES, 2).collect()), key=str)
+        assert sorted(map(tuple, lead_target(df, ROLES, 2, spread=True).collect()), key=str) == lead
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_ranged_frequency_equals_plain(frame):
     rows = [("a", t, 1.0) for t in daily("2020-01-01", 50, {3, 9, 10})]
     rows += [("b", dt.datetime(2020, 1, 1) + dt.timedelta(hours=30 * i), 1.0) for i in range(40)]
     df = frame(rows, SCHEMA)
     plain = infer_frequency(df, ROLES).collect()[0]
-    chunked = infer_frequency(df, ROLES, chunk_rows=6).collect()[0]
-    assert tuple(plain) == tuple(chunked) == (86_400_000_000, "day")
+    assert tuple(plain) == tuple(infer_frequency(df, ROLES, spread=True).collect()[0]) == (86_400_000_000, "day")
+
+
+def test_shift_of_an_empty_panel(frame):
+    assert add_lags(frame([], SCHEMA), ROLES, [2], spread=True).collect() == []
 
 
 def test_moon_on_published_dates(frame):

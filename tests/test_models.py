@@ -102,11 +102,11 @@ def test_backtest_uses_no_future_values(frame):
             assert p["prediction"] == truth[(p["id"], lag_time)]
 
 
-def test_backtest_with_chunked_lags_is_the_same(frame):
+def test_backtest_with_spread_lags_is_the_same(frame):
     rows = _rows(seed=8, gaps=True)
     df = frame(rows, SCHEMA)
     a = sorted(tuple(r) for r in bt.backtest_last(df, ROLES, 8, 4, 3).collect())
-    b = sorted(tuple(r) for r in bt.backtest_last(df, ROLES, 8, 4, 3, chunk_rows=10).collect())
+    b = sorted(tuple(r) for r in bt.backtest_last(df, ROLES, 8, 4, 3, spread=True).collect())
     assert a == b
 
 

@@ -1,6 +1,6 @@
 import random
 
-
+import pytest
 from helpers import daily
 from tidewise import Roles
 from tidewise.operators import forest as fr
@@ -23,7 +23,7 @@ def test_train_then_backtest_through_store(frame, tmp_path, monkeypatch):
     monkeypatch.setattr(fr, "sample_candidates", lambda *a, **k: small)
     store = str(tmp_path / "store")
     run_id = runs.train_run(df, ROLES, store, 6, 3, n_folds=2, baselines=("Last",),
-                            with_forest=True, threads=2)
+                            with_forest=True)
     spark = df.sparkSession
     run = tk.best_run(spark, store)
     assert run["run_id"] == run_id and run["column_segment_groupby"] == "seg"
@@ -35,11 +35,19 @@ def test_train_then_backtest_through_store(frame, tmp_path, monkeypatch):
     best = tk.read_best(spark, store, run_id).collect()
     assert len(best) == 4
     assert all(c["tags"]["n_grid_features"] == "6" for c in cands)  # five columns and the lag
-    for b in best:
-        if b["model"] == "RandomForest":
-            path = tk.model_path(store, run_id, b["segment"], int(b["predict_horizon"]))
-            assert tk.load_model(path).stages[-1].getNumTrees == 3
+    forests = {(b["segment"], int(b["predict_horizon"])) for b in best if b["model"] == "RandomForest"}
+    assert forests
+    _, nodes = tk.load_forests(spark, store, run_id)
+    assert {(r.segment, r.predict_horizon) for r in nodes.select("segment", "predict_horizon").distinct().collect()} == forests
+    assert nodes.select("tree").distinct().count() == 3 and nodes.agg(F.max("level")).first()[0] <= 3
+    ahead = runs.forecast_run(df, store).collect()
+    assert len(ahead) == sum(100 for _ in forests)  # each segment has two series of 50 days
+    assert all(0 <= r.prediction < 20 for r in ahead)
+    with pytest.raises(ValueError, match="other features"):
+        runs.forecast_run(df.drop("x"), store)
     out = runs.backtest_run(df, store)
+    report = {r.fold: r for r in out["report"].collect()}
+    assert sorted(report, key=str) == [0, 1, 2, None] and all(r.train_mse > 0 for r in report.values())
     scores = out["fold_scores"].collect()
     assert sorted(r["fold"] for r in scores) == [0, 1, 2]  # backtest periods default to 3
     assert all(r["n"] > 0 and r["mse"] is not None for r in scores)

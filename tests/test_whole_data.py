@@ -55,7 +55,7 @@ def test_segment_labels_survive_a_run(frame, tmp_path, monkeypatch):
     roles = Roles(id="id", time="date", target="y", segment="seg")
     monkeypatch.setattr(fr, "sample_candidates", lambda *a, **k: SMALL)
     store = str(tmp_path / "store")
-    run_id = runs.train_run(df, roles, store, 4, 4, n_folds=2, baselines=(), threads=2)
+    run_id = runs.train_run(df, roles, store, 4, 4, n_folds=2, baselines=())
     best = tk.read_best(df.sparkSession, store, run_id).collect()
     assert sorted(r.segment for r in best) == sorted(["1", "01", "(none)", "a/b=c", ""])
     out = runs.backtest_run(df, store, run_id, n_folds=2)["predictions"].collect()
@@ -115,7 +115,7 @@ def test_grid_function_adds_features(frame):
         seen.append(horizon)
         return grid.withColumn("twice", grid["last"] * horizon)
 
-    scores = tr.forest_scores(df, roles, 4, 2, 1, SMALL, grid_fn=grid_fn, threads=1)
+    scores = tr.forest_scores(df, roles, 4, 2, 1, SMALL, grid_fn=grid_fn)
     assert scores.count() == 4 and sorted(set(seen)) == [2, 4]
     preds = bt.forest_backtest_predictions(df, roles, 4, 2, 1, {("s", 2): SMALL[0]}, grid_fn=grid_fn)
     assert preds.count() == 2 * 2

@@ -47,16 +47,15 @@ def frequency_label(step: Column) -> Column:
     return expr.otherwise(F.lit(DEFAULT_FREQUENCY))
 
 
-def infer_frequency(df: DataFrame, roles: Roles, chunk_rows: int | None = None) -> DataFrame:
+def infer_frequency(df: DataFrame, roles: Roles, spread: bool = False) -> DataFrame:
     """One row: the minimum step over all series and its frequency label.
 
-    ``chunk_rows``: find each row's previous time with the chunked lag, for
+    ``spread``: find each row's previous time over range partitions, for
     panels where one series may be too large for one task.
     """
-    if chunk_rows is not None:
-        from tidewise.operators.lags import add_lags_chunked
-        prev = add_lags_chunked(df, roles, [1], chunk_rows, value=roles.time,
-                                names={1: "_prev"})
+    if spread:
+        from tidewise.operators.lags import ranged_shift
+        prev = ranged_shift(df, roles, {"_prev": 1}, roles.time)
         steps = prev.select(F.timestamp_diff("MICROSECOND", F.col("_prev"),
                                              F.col(roles.time)).alias("step"))
     else:

@@ -10,11 +10,13 @@ once per horizon.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.functions.offsets import unit_micros
-from tidewise.operators.baselines import fold_mean_tables, mean_keys
+from tidewise.operators.baselines import BASELINES, fold_mean_tables, mean_keys
 from tidewise.operators.folds import fold_arrays
 from tidewise.operators.horizons import check_grouping, horizon_list
 from tidewise.operators.lags import add_lags, lag_name
@@ -28,7 +30,7 @@ def _bounds_scalar(df: DataFrame, roles: Roles, n_folds: int, n_pred: int) -> Co
 
 
 def backtest_frame(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                   unit: str = "day", chunk_rows: int | None = None) -> DataFrame:
+                   unit: str = "day", spread: bool = False) -> DataFrame:
     """Panel + ``segment`` + lags, with per-row fold tags:
 
     - ``train_from``: first fold whose training set (t <= end_train) holds the row;
@@ -41,7 +43,7 @@ def backtest_frame(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds
     s = roles.with_segment(df)
     # The K-element bounds arrive once per row as a column, so the subquery
     # runs once however many expressions read it.
-    lagged = add_lags(s, roles, horizons, chunk_rows).withColumn(
+    lagged = add_lags(s, roles, horizons, spread).withColumn(
         "_bounds", _bounds_scalar(s, roles, n_folds, n_pred))
     b = F.col("_bounds")
     t = F.col(roles.time)
@@ -86,7 +88,7 @@ def last_backtest_prediction(horizons: list[int], group: int) -> Column:
 
 def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                          models: tuple[str, ...] = ("Last",), unit: str = "day",
-                         chunk_rows: int | None = None, materialize: bool = False) -> DataFrame:
+                         spread: bool = False, materialize: bool = False) -> DataFrame:
     """(model, fold, predict_horizon, segment, id, time, y, prediction, beyond).
 
     The fold means of Mean / MeanTS (pre-aggregated from the training rows)
@@ -95,7 +97,7 @@ def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n
     """
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
-    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, chunk_rows)
+    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, spread)
     if materialize:  # expensive panel lineage: write the tagged grid once
         from tidewise.session import checkpoint
         frame = checkpoint(frame)
@@ -124,10 +126,10 @@ def backtest_scores(preds: DataFrame, keys: list[str], roles: Roles) -> DataFram
 
 
 def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                  unit: str = "day", chunk_rows: int | None = None) -> DataFrame:
+                  unit: str = "day", spread: bool = False) -> DataFrame:
     """(fold, segment, n, mse) of the Last forecaster: one job, no loop."""
     preds = backtest_predictions(df, roles, n_pred, group, n_folds, ("Last",), unit,
-                                 chunk_rows)
+                                 spread)
     return backtest_scores(preds, ["fold", "segment"], roles)
 
 
@@ -136,95 +138,66 @@ def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
 # --------------------------------------------------------------------------
 def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int,
                                 n_folds: int, params_by_model: dict[tuple[str, int], dict],
-                                unit: str = "day", threads: int = 4,
-                                chunk_rows: int | None = None,
-                                fit_partitions: int | None = None, grid_fn=None) -> DataFrame:
+                                unit: str = "day", spread: bool = False, grid_fn=None) -> DataFrame:
     """Refit the forest of each (segment, horizon) in ``params_by_model`` on
-    the rows up to each fold's end of training and predict its time group.
-
-    One distributed fit per (fold, segment, horizon), run from a small driver
-    thread pool; each writes its predictions, and one scan reads them all.
-    The tagged grid is written once to the shared checkpoint folder,
-    partitioned by segment, so each fit reads only its segment's files.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from tidewise.operators import forest as fr
-    from tidewise.plans.train import PART, forest_features, horizon_frame, segment_rows
-    from tidewise.session import folder_key, scratch_path, write_scratch
+    the rows up to each fold's end of training and predict its time group."""
+    import json
 
-    group = check_grouping(n_pred, group)
-    horizons = horizon_list(n_pred, group)
-    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, chunk_rows)
-    frame = write_scratch(frame.withColumn(PART, folder_key("segment")), "backtest-grid", [PART])
-    tests = backtest_tests(frame)
-    tasks = [(k, seg, h) for k in range(n_folds) for (seg, h) in sorted(params_by_model)]
-    # each fit writes its predictions to its own folder below one scratch
-    # path; one scan reads them all back, so the plan does not grow with the
-    # number of fits (a union of thousands of model outputs would)
-    out_path = scratch_path(df.sparkSession, "forest-predictions")
-
-    def run(indexed):
-        i, (k, seg, h) = indexed
-        grid = horizon_frame(segment_rows(frame, seg), horizons, h)
-        grid = grid_fn(grid, h) if grid_fn else grid
-        feats = forest_features(grid, roles)
-        train = grid.filter(F.col("train_from") <= k)
-        model = fr.fit_forest(train, roles, params_by_model[(seg, h)], feats, fit_partitions)
-        test = horizon_frame(segment_rows(tests, seg).filter(
-            (F.col("fold") == k) & (F.col("predict_horizon") == h)), horizons, h)
-        test = grid_fn(test, h) if grid_fn else test
-        preds = fr.predict(model, test, roles, keep=["fold", "predict_horizon", "segment",
-                                                     "beyond"])
-        preds.write.mode("error").parquet(f"{out_path}/fit={i}")
-
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
-        list(ex.map(run, enumerate(tasks)))
-    out = df.sparkSession.read.parquet(out_path)
-    return out.select(F.lit("RandomForest").alias("model"), "fold", "predict_horizon",
-                      "segment", roles.id, roles.time, roles.target, "prediction", "beyond")
+    from tidewise.plans.grove import grove_backtest
+    jobs = df.sparkSession.createDataFrame(
+        [(s, int(h), json.dumps(p, sort_keys=True)) for (s, h), p in params_by_model.items()],
+        "segment string, predict_horizon bigint, params string")
+    return grove_backtest(df, roles, n_pred, group, n_folds, jobs, unit, spread, grid_fn)[0]
 
 
 def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-             winners: DataFrame, unit: str = "day", threads: int = 4,
-             chunk_rows: int | None = None, fit_partitions: int | None = None,
-             grid_fn=None, models: list = ()) -> dict[str, DataFrame]:
+             winners: DataFrame, unit: str = "day", spread: bool = False, grid_fn=None,
+             models: list = ()) -> dict[str, DataFrame]:
     """Backtest the chosen model of each (segment, horizon).
 
     ``winners``: ``best_models`` rows (segment, predict_horizon, model, params).
     Baseline winners are predicted in one job and kept by a semi join on the
-    winners; forest winners are refitted (their rows drive the fits, one per
-    model, so only they reach the driver). Returns ``predictions`` and
+    winners; forest winners are refitted together (``plans.grove``). Returns ``predictions``,
     ``fold_scores`` (per fold over all segments and horizons, as the
-    reference reports them).
+    reference reports them), ``train_scores`` (the winners' errors on their own training
+    rows, per fold) and ``report`` (both, and their means over the folds). A project's
+    own forecasters have no training errors: they give no predictions of training rows.
     """
-    import json
-
     group = check_grouping(n_pred, group)
     keys = ["segment", "predict_horizon", "model"]
-    w = winners.select(*keys, "params")
-    is_forest = F.col("model") == "RandomForest"
+    w = winners.select("segment", F.col("predict_horizon").cast("bigint").alias("predict_horizon"), "model", "params")
     own = {m.name: m for m in models}
-    chosen = sorted(r[0] for r in w.filter(~is_forest).select("model").distinct().collect())
-    base_models = [m for m in chosen if m not in own]
-    parts = []
+    # model names, bounded by the models that exist
+    chosen = sorted(r[0] for r in w.select("model").distinct().collect())
+    base_models = [m for m in chosen if m in BASELINES and m not in own]
+    parts, sums = [], []
     if used := [own[m] for m in chosen if m in own]:
         from tidewise.plans.custom import forecaster_predictions
-        parts += [forecaster_predictions(df, roles, n_pred, group, n_folds, m, winners, unit, chunk_rows,
+        parts += [forecaster_predictions(df, roles, n_pred, group, n_folds, m, winners, unit, spread,
                                          grid_fn) for m in used]
     if base_models:
         p = backtest_predictions(df, roles, n_pred, group, n_folds, tuple(base_models), unit,
-                                 chunk_rows)
-        parts.append(p.join(w.filter(~is_forest).select(*keys), keys, "left_semi"))
-    forest = {(r["segment"], int(r["predict_horizon"])): json.loads(r["params"] or "{}")
-              for r in w.filter(is_forest).collect()}
-    if forest:
-        parts.append(forest_backtest_predictions(df, roles, n_pred, group, n_folds, forest,
-                                                 unit, threads, chunk_rows, fit_partitions, grid_fn))
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    return {"predictions": preds, "fold_scores": backtest_scores(preds, ["fold"], roles)}
+                                 spread)
+        t = baseline_train_sums(df, roles, n_pred, group, n_folds, tuple(base_models), unit, spread)
+        parts.append(p.join(w.select(*keys), keys, "left_semi"))
+        sums.append(t.join(w.select(*keys), keys, "left_semi"))
+    if "RandomForest" in chosen and "RandomForest" not in own:
+        from tidewise.plans.grove import grove_backtest
+        p, t = grove_backtest(df, roles, n_pred, group, n_folds, w.filter(F.col("model") == "RandomForest"), unit,
+                              spread, grid_fn)
+        parts.append(p)
+        sums.append(t.withColumn("model", F.lit("RandomForest")).withColumn("missing", F.lit(0).cast("bigint")))
+    preds = reduce(DataFrame.unionByName, parts)
+    scores = backtest_scores(preds, ["fold"], roles)
+    out = {"predictions": preds, "fold_scores": scores}
+    if sums:
+        train = reduce(DataFrame.unionByName, sums).groupBy("fold").agg(
+            F.sum("n").alias("n"), F.sum("sse").alias("_sse"), F.sum("missing").alias("_missing"))
+        out["train_scores"] = train.select("fold", "n", guard_missing(
+            F.col("_missing"), F.col("_sse") / F.col("n")).alias("mse"))
+        out["report"] = _with_means(scores.join(out["train_scores"].select(
+            "fold", F.col("mse").alias("train_mse")), "fold", "left"), [])
+    return out
 
 
 # --------------------------------------------------------------------------
@@ -232,10 +205,21 @@ def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
 # --------------------------------------------------------------------------
 def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                           models: tuple[str, ...] = ("Last",),
-                          chunk_rows: int | None = None) -> DataFrame:
+                          spread: bool = False) -> DataFrame:
     """(model, fold, n, mse) of each baseline on its own training rows
     (t <= end_train of the fold), over every horizon, as the backtest reports
-    next to the test error. The truth is taken per fold.
+    next to the test error. The truth is taken per fold."""
+    sums = baseline_train_sums(df, roles, n_pred, group, n_folds, models, spread=spread)
+    a = sums.groupBy("model", "fold").agg(F.sum("n").alias("n"), F.sum("sse").alias("_sse"),
+                                          F.sum("missing").alias("_missing"))
+    return a.select("model", "fold", "n", guard_missing(F.col("_missing"), F.col("_sse") / F.col("n")).alias("mse"))
+
+
+def baseline_train_sums(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
+                        models: tuple[str, ...] = ("Last",), unit: str = "day",
+                        spread: bool = False) -> DataFrame:
+    """(model, segment, predict_horizon, fold, n, sse, missing) of each baseline on its own
+    training rows.
 
     One aggregate over the panel: rows are summed per (segment, id, first
     fold holding them). Training sets are nested, so the sums accumulate over
@@ -246,17 +230,15 @@ def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int,
     """
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
-    n_h = len(horizons)
-    frame = backtest_frame(df, roles, n_pred, group, n_folds, chunk_rows=chunk_rows).filter(
+    frame = backtest_frame(df, roles, n_pred, group, n_folds, unit, spread=spread).filter(
         F.col("train_from").isNotNull())
     y = F.col(roles.target)
-    last_sse = sum((sq_err(F.coalesce(F.col(lag_name(h)), F.lit(0.0)), y) for h in horizons),
-                   F.lit(0.0))
-    sums = ("_c", "_cy", "_sy", "_syy", "_sse_last", "_miss")
+    lasts = [f"_sse_{h}" for h in horizons]
+    sums = ("_c", "_cy", "_sy", "_syy", "_miss", *lasts)
     part = frame.groupBy("segment", roles.id, "train_from").agg(
         F.count(F.lit(1)).alias("_c"), F.count(y).alias("_cy"), F.sum(y).alias("_sy"),
-        F.sum(y * y).alias("_syy"), F.sum(last_sse).alias("_sse_last"),
-        F.count_if(y.isNull()).alias("_miss"))
+        F.sum(y * y).alias("_syy"), F.count_if(y.isNull()).alias("_miss"),
+        *[F.sum(sq_err(F.coalesce(F.col(lag_name(h)), F.lit(0.0)), y)).alias(c) for h, c in zip(horizons, lasts)])
     folds = F.sequence(F.col("train_from"), F.lit(n_folds - 1).cast("bigint"))
     cum = (part.select("segment", roles.id, F.explode(folds).alias("fold"), *sums)
            .groupBy("segment", roles.id, "fold").agg(*[F.sum(c).alias(c) for c in sums]))
@@ -270,28 +252,28 @@ def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int,
     def expanded(m):
         return F.col("_syy") - F.lit(2.0) * m * F.col("_sy") + m * m * F.col("_cy")
 
-    m_ts = F.try_divide(F.col("_sy"), F.col("_cy").cast("double"))
-    m_seg = F.try_divide(F.col("_seg_sy"), F.col("_seg_cy").cast("double"))
-    per_fold = cum.groupBy("fold").agg(
-        F.sum("_c").alias("_c"), F.sum("_miss").alias("_miss"),
-        F.sum("_sse_last").alias("_sse_Last"),
-        F.sum(expanded(m_seg)).alias("_sse_Mean"),
-        F.sum(expanded(m_ts)).alias("_sse_MeanTS"),
-        F.sum(F.when(m_seg.isNull(), F.col("_c")).otherwise(0)).alias("_nopred_Mean"),
-        F.sum(F.when(m_ts.isNull(), F.col("_c")).otherwise(0)).alias("_nopred_MeanTS"))
+    means = {"MeanTS": F.try_divide(F.col("_sy"), F.col("_cy").cast("double")),
+             "Mean": F.try_divide(F.col("_seg_sy"), F.col("_seg_cy").cast("double"))}
+    per_fold = cum.groupBy("segment", "fold").agg(
+        *[F.sum(c).alias(c) for c in ("_c", "_miss", *lasts)],
+        *[F.sum(expanded(m)).alias(f"_sse_{name}") for name, m in means.items()],
+        *[F.sum(F.when(m.isNull(), F.col("_c")).otherwise(0)).alias(f"_nopred_{name}") for name, m in means.items()])
     cells = []
     for model in models:
-        if model == "Last":
-            mse_c = F.col("_sse_Last") / (F.col("_c") * n_h)
-            miss = F.col("_miss")
-        else:
-            mse_c = F.col(f"_sse_{model}") / F.col("_c")
-            miss = F.col("_miss") + F.col(f"_nopred_{model}")
-        cells.append(F.struct(F.lit(model).alias("model"), mse_c.alias("_mse"),
-                              miss.alias("_m")))
-    rows = per_fold.select("fold", (F.col("_c") * n_h).alias("n"), F.inline(F.array(*cells)))
-    return rows.select("model", "fold", "n",
-                       guard_missing(F.col("_m"), F.col("_mse")).alias("mse"))
+        for h, last in zip(horizons, lasts):
+            sse, miss = (F.col(last), F.col("_miss")) if model == "Last" else (
+                F.col(f"_sse_{model}"), F.col("_miss") + F.col(f"_nopred_{model}"))
+            cells.append(F.struct(F.lit(model).alias("model"), F.lit(h).cast("bigint").alias("predict_horizon"),
+                                  sse.alias("sse"), miss.alias("missing")))
+    rows = per_fold.select("segment", "fold", F.col("_c").alias("n"), F.inline(F.array(*cells)))
+    return rows.select("model", "segment", "predict_horizon", "fold", "n", "sse", "missing")
+
+
+def _with_means(folds: DataFrame, keys: list[str]) -> DataFrame:
+    """The fold rows, and for each key their means (fold and n null)."""
+    means = folds.groupBy(*keys).agg(F.avg("mse").alias("mse"), F.avg("train_mse").alias("train_mse"))
+    none = F.lit(None).cast("bigint")
+    return folds.unionByName(means.select(*keys, none.alias("fold"), none.alias("n"), "mse", "train_mse"))
 
 
 def backtest_report(predictions: DataFrame, train_scores: DataFrame, roles: Roles) -> DataFrame:
@@ -299,8 +281,4 @@ def backtest_report(predictions: DataFrame, train_scores: DataFrame, roles: Role
     (fold and n null)."""
     test = backtest_scores(predictions, ["model", "fold"], roles)
     train = train_scores.select("model", "fold", F.col("mse").alias("train_mse"))
-    folds = test.join(train, ["model", "fold"], "left")
-    means = folds.groupBy("model").agg(F.avg("mse").alias("mse"), F.avg("train_mse").alias("train_mse"))
-    return folds.unionByName(means.select(
-        "model", F.lit(None).cast("bigint").alias("fold"), F.lit(None).cast("bigint").alias("n"),
-        "mse", "train_mse"))
+    return _with_means(test.join(train, ["model", "fold"], "left"), ["model"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +13,8 @@ from tidewise.roles import Roles
 
 def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
               n_folds: int = 3, baselines: tuple[str, ...] = ("Last",),
-              with_forest: bool = True, project: str = "panel", threads: int = 4,
-              validate: bool = True, chunk_rows: int | None = None, grid_fn=None,
-              models: list = (), save_models: bool = True) -> str:
+              with_forest: bool = True, project: str = "panel", validate: bool = True, spread: bool = False,
+              grid_fn=None, models: list = (), save_models: bool = True) -> str:
     """Train, record candidates, winners and the run; return the run id.
 
     With ``validate`` the panel's keys are checked first (one aggregate job):
@@ -30,8 +27,7 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
     if validate:
         validate_panel(df, roles)
     out = tr.train(df, roles, n_pred, group, n_folds, baselines, with_forest,
-                   project=project, by_segment=True, threads=threads, chunk_rows=chunk_rows,
-                   grid_fn=grid_fn, models=models)
+                   project=project, by_segment=True, spread=spread, grid_fn=grid_fn, models=models)
     run_id = tk.new_run_id()
     spark = df.sparkSession
     # cv_results is reused three times: keep it once in the shared checkpoint
@@ -43,34 +39,32 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
     tk.record_best(best, store, run_id)
     tk.record_run(spark, tr.train_summary(best), store, run_id, roles, n_pred, group, n_folds)
     if save_models:
-        _save_winners(df, roles, store, run_id, n_pred, group, best, chunk_rows, grid_fn)
+        _save_winners(df, roles, store, run_id, n_pred, group, best, spread, grid_fn)
     return run_id
 
 
-def _save_winners(df, roles, store, run_id, n_pred, group, best, chunk_rows, grid_fn) -> None:
-    """One fit for each winning forest; they are as many as the run's models."""
-    from tidewise.operators import forest as fr
-    from tidewise.operators.horizons import horizon_list
-    from tidewise.operators.lags import add_lags
-    from tidewise.session import folder_key, write_scratch
+def _save_winners(df, roles, store, run_id, n_pred, group, best, spread, grid_fn) -> None:
+    """The winning forests, grown together on the whole panel."""
+    from tidewise.plans import grove as gv
+    winners = best.filter(F.col("model") == tr.FOREST).select("segment", "predict_horizon", "params")
+    if not winners.isEmpty():
+        tk.save_forests(*gv.fitted(df, roles, n_pred, group, winners, spread, grid_fn), store, run_id)
+
 
-    winners = best.filter(F.col("model") == tr.FOREST).select("segment", "predict_horizon", "params").collect()
-    if not winners:
-        return
-    horizons = horizon_list(n_pred, group)
-    grid = add_lags(roles.with_segment(df), roles, horizons, chunk_rows)
-    grid = write_scratch(grid.withColumn(tr.PART, folder_key("segment")), "model-grid", [tr.PART])
-    for r in winners:
-        h = int(r["predict_horizon"])
-        rows = tr.horizon_frame(tr.segment_rows(grid, r["segment"]), horizons, h)
-        rows = grid_fn(rows, h) if grid_fn else rows
-        model = fr.fit_forest(rows, roles, json.loads(r["params"]), tr.forest_features(rows, roles))
-        tk.save_model(model, tk.model_path(store, run_id, r["segment"], h))
+def forecast_run(df: DataFrame, store: str, run_id: str | None = None, spread: bool = False,
+                 grid_fn=None) -> DataFrame:
+    """(segment, predict_horizon, id, time, prediction): the stored winning forests of a run (the best run
+    if none is given) applied to the rows of a panel."""
+    from tidewise.plans import grove as gv
+    spark = df.sparkSession
+    run = tk.best_run(spark, store, run_id)
+    plans, nodes = tk.load_forests(spark, store, run["run_id"])
+    return gv.predicted(df, tk.roles_of(run), int(run["number_predictions"]), int(run["n_predictions_groupby"]),
+                        plans, nodes, spread, grid_fn)
 
 
 def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds: int = 3,
-                 unit: str = "day", threads: int = 4,
-                 validate: bool = True, chunk_rows: int | None = None,
+                 unit: str = "day", validate: bool = True, spread: bool = False,
                  grid_fn=None, models: list = ()) -> dict[str, DataFrame]:
     """Backtest the winners of a stored run (the best run if none is given)."""
     from tidewise.sources.panel import validate_panel
@@ -81,5 +75,5 @@ def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds:
         validate_panel(df, roles)
     winners = tk.read_best(spark, store, run["run_id"])
     return bt.backtest(df, roles, int(run["number_predictions"]),
-                       int(run["n_predictions_groupby"]), n_folds, winners, unit, threads,
-                       chunk_rows, grid_fn=grid_fn, models=models)
+                       int(run["n_predictions_groupby"]), n_folds, winners, unit,
+                       spread, grid_fn=grid_fn, models=models)

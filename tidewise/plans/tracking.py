@@ -93,9 +93,15 @@ def roles_of(run) -> Roles:
                  segment=run["column_segment_groupby"])
 
 
-def model_path(store: str, run_id: str, segment: str, horizon: int) -> str:
-    """Folder of a winner's fitted model; any text can be a segment."""
-    return _path(store, f"models/run_id={run_id}/k{segment.encode().hex()}/{horizon}")
+def save_forests(plans: DataFrame, nodes: DataFrame, store: str, run_id: str) -> None:
+    """A run's grown forests: what their features are filled and cut with, and their nodes."""
+    for name, df in (("plans", plans), ("nodes", nodes)):
+        df.write.mode("error").parquet(_path(store, f"models/run_id={run_id}/{name}"))
+
+
+def load_forests(spark: SparkSession, store: str, run_id: str) -> tuple[DataFrame, DataFrame]:
+    plans, nodes = (spark.read.parquet(_path(store, f"models/run_id={run_id}/{name}")) for name in ("plans", "nodes"))
+    return plans, nodes
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -2,7 +2,7 @@
 folds, keep the best, and summarize.
 
 Baselines for all segments, horizons and folds are scored in one Spark job
-with no driver loop; forest candidates are fitted by ``tidewise.operators.forest``.
+with no driver loop; the forests of all candidates are grown by ``tidewise.plans.grove``.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ SCORE_KEYS = ["segment", "predict_horizon", "model", "candidate"]
 
 
 def cv_frame(df: DataFrame, roles: Roles, horizons: list[int], n_folds: int, n_pred: int,
-             by_segment: bool = True, chunk_rows: int | None = None) -> DataFrame:
+             by_segment: bool = True, spread: bool = False) -> DataFrame:
     """Panel + ``segment`` + one lag per horizon + fold tags.
 
     Folds are computed per segment when ``by_segment`` (each segment's model
     sees its own distinct times), else over the whole panel.
     """
     s = roles.with_segment(df)
-    lagged = add_lags(s, roles, horizons, chunk_rows)
+    lagged = add_lags(s, roles, horizons, spread)
     # The fold tags are a small relation over the (segment, time) columns;
     # each consumer of this frame (test rows, training sums) recomputes them
     # from a column-pruned scan, which is cheaper than writing them out at
@@ -59,7 +59,7 @@ def last_cv_scores(folded: DataFrame, roles: Roles, horizons: list[int]) -> Data
 
 def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                     models: tuple[str, ...] = BASELINES, by_segment: bool = True,
-                    chunk_rows: int | None = None, materialize: bool = False) -> DataFrame:
+                    spread: bool = False, materialize: bool = False) -> DataFrame:
     """(segment, predict_horizon, model, candidate, fold, n, mse) per baseline.
 
     All baselines are scored in ONE aggregate over the test rows: the fold
@@ -69,7 +69,7 @@ def baseline_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_fold
     the lag, so their score is the same for every horizon.
     """
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
-    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
+    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, spread)
     if materialize:
         # for an expensive panel lineage: write the tagged grid once to the
         # shared checkpoint folder; test rows and training sums then read it
@@ -138,11 +138,11 @@ def train_summary(best: DataFrame) -> DataFrame:
 
 
 def last_cv_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                        by_segment: bool = True, chunk_rows: int | None = None) -> DataFrame:
+                        by_segment: bool = True, spread: bool = False) -> DataFrame:
     """Test-row predictions of Last for every horizon:
     (segment, predict_horizon, fold, id, time, y, prediction)."""
     horizons = horizon_list(n_pred, check_grouping(n_pred, group))
-    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
+    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, spread)
     test = folded.filter(F.col("test_fold").isNotNull())
     pairs = F.array(*[F.struct(F.lit(h).cast("bigint").alias("predict_horizon"),
                                last_prediction(h).alias("prediction")) for h in horizons])
@@ -164,9 +164,6 @@ def mean_cv_predictions(df: DataFrame, roles: Roles, model: str, n_folds: int, n
 # Forest search
 # --------------------------------------------------------------------------
 FOREST = "RandomForest"
-PART = "_part"  # folder of a segment's rows in a written grid
-FOREST_SCORE_SCHEMA = ("segment string, predict_horizon bigint, model string, candidate bigint, "
-                       "fold bigint, n bigint, mse double, params string")
 
 
 def horizon_frame(folded: DataFrame, horizons: list[int], h: int) -> DataFrame:
@@ -179,85 +176,33 @@ def forest_features(frame: DataFrame, roles: Roles) -> list[str]:
     """All columns but the roles and those that the plans add. A user's columns never
     have such a name: ``Roles.protected`` has renamed them."""
     from tidewise.operators.forest import feature_columns
-    exclude = INTERNAL - {"last"} | {PART}
+    exclude = INTERNAL - {"last"}
     if roles.segment == "segment":
         exclude -= {"segment"}  # the configured column is a feature
     return feature_columns(frame, roles, sorted(exclude))
 
 
-def segment_rows(frame: DataFrame, segment: str) -> DataFrame:
-    """One segment's rows of a written grid: only its folder is read."""
-    from tidewise.session import folder_key
-    return frame.filter((F.col(PART) == folder_key(F.lit(segment))) & (F.col("segment") == segment))
-
-
-def _score(preds: DataFrame, roles: Roles) -> tuple[int, float | None]:
-    y, p = F.col(roles.target), F.col("prediction")
-    r = preds.agg(F.count(F.lit(1)).alias("n"), F.avg(sq_err(p, y)).alias("mse"),
-                  F.count_if(y.isNull() | p.isNull()).alias("bad")).collect()[0]
-    if r["bad"]:
-        raise ValueError(f"mean squared error over {r['bad']} rows without prediction or truth")
-    return int(r["n"]), r["mse"]
-
-
 def forest_scores(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
                   candidates: list[dict] | None = None, by_segment: bool = True,
-                  threads: int = 4, fit_partitions: int | None = None,
-                  chunk_rows: int | None = None, grid_fn=None) -> DataFrame:
+                  spread: bool = False, grid_fn=None) -> DataFrame:
     """(segment, predict_horizon, model, candidate, fold, n, mse, params) of a
     random search over forest parameters, scored on the expanding folds.
 
     ``grid_fn(frame, horizon)``: a project's own features for one horizon, a
-    DataFrame in and out with the same rows.
-
-    Each (segment, horizon, fold) fits its preprocessing once and one
-    distributed Spark ML forest per candidate; a small driver thread pool
-    keeps several of them in flight. The tagged grid
-    is written once to the shared checkpoint folder, partitioned by segment,
-    so each fit reads only its own segment's files. Only per-fit scores come
-    back to the driver.
+    DataFrame in and out with the same rows. The forests of all segments, horizons,
+    folds and candidates grow together (``plans.grove``).
     """
-    import json
-    from concurrent.futures import ThreadPoolExecutor
-
     from tidewise.operators import forest as fr
-    from tidewise.session import folder_key, write_scratch
-
-    candidates = candidates or fr.sample_candidates()
-    horizons = horizon_list(n_pred, check_grouping(n_pred, group))
-    folded = cv_frame(df, roles, horizons, n_folds, n_pred, by_segment, chunk_rows)
-    folded = write_scratch(folded.withColumn(PART, folder_key("segment")), "cv-grid", [PART])
-    # segment labels drive the fits; one per model, so bounded by the model count
-    segments = [r[0] for r in folded.select("segment").distinct().collect()]
-    tasks = [(s, h, k) for s in sorted(segments) for h in horizons for k in range(n_folds)]
-
-    def run(task):
-        # one (segment, horizon, fold): preprocessing fitted once, one forest
-        # per candidate on the same feature vectors
-        seg, h, k = task
-        grid = horizon_frame(segment_rows(folded, seg), horizons, h)
-        grid = grid_fn(grid, h) if grid_fn else grid
-        feats = forest_features(grid, roles)
-        train = grid.filter(F.col("train_from") <= k)
-        test = grid.filter(F.col("test_fold") == k)
-        models = fr.fit_forest_candidates(train, roles, candidates, feats, fit_partitions)
-        out = []
-        for ci, model in enumerate(models):
-            n, m = _score(fr.predict(model, test, roles), roles)
-            out.append((seg, h, FOREST, ci, k, n, m,
-                        json.dumps(candidates[ci], sort_keys=True)))
-        return out
-
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as ex:
-        rows = [r for part in ex.map(run, tasks) for r in part]
-    return df.sparkSession.createDataFrame(rows, FOREST_SCORE_SCHEMA)
+    from tidewise.plans.grove import grove_scores
+    return grove_scores(df, roles, n_pred, group, n_folds, candidates or fr.sample_candidates(), by_segment,
+                        spread, grid_fn)
 
 
 def train(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
           baselines: tuple[str, ...] = ("Last",), with_forest: bool = True,
           candidates: list[dict] | None = None, project: str = "panel",
-          by_segment: bool = True, threads: int = 4, chunk_rows: int | None = None,
-          fit_partitions: int | None = None, grid_fn=None, models: list = ()) -> dict[str, DataFrame]:
+          by_segment: bool = True, spread: bool = False, grid_fn=None,
+          models: list = ()) -> dict[str, DataFrame]:
     """Score every model, keep the best per (segment, horizon), summarize. ``models``:
     a project's own forecasters (``plans.custom``).
 
@@ -267,15 +212,14 @@ def train(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
     group = check_grouping(n_pred, group)
     parts = []
     if baselines:
-        b = baseline_scores(df, roles, n_pred, group, n_folds, baselines, by_segment, chunk_rows)
+        b = baseline_scores(df, roles, n_pred, group, n_folds, baselines, by_segment, spread)
         parts.append(b.withColumn("params", F.lit("{}")))
     if with_forest:
-        parts.append(forest_scores(df, roles, n_pred, group, n_folds, candidates, by_segment,
-                                   threads, fit_partitions, chunk_rows, grid_fn))
+        parts.append(forest_scores(df, roles, n_pred, group, n_folds, candidates, by_segment, spread, grid_fn))
     if models:
         from tidewise.plans.custom import forecaster_scores
         parts.append(forecaster_scores(df, roles, n_pred, group, n_folds, list(models), by_segment,
-                                       chunk_rows, grid_fn))
+                                       spread, grid_fn))
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)

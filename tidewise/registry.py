@@ -202,19 +202,23 @@ def q_lag_feature(spark, sf_dir):
     return add_lags(_series(spark, sf_dir), ROLES, HORIZONS)
 
 
-# Fixed value: rows per chunk of the skew-safe lag query (each series here has
-# about 2,450 rows, so every series is cut into several chunks).
-LAG_CHUNK_ROWS = 500
-
-
 @register("lag_feature_chunked", f"with {LAGS_CTE} select * from lags")
 def q_lag_feature_chunked(spark, sf_dir):
-    return add_lags(_panel(spark, sf_dir), ROLES, HORIZONS, chunk_rows=LAG_CHUNK_ROWS)
+    """The lags over range partitions, which a series may span."""
+    return add_lags(_panel(spark, sf_dir), ROLES, HORIZONS, spread=True)
 
 
-@register("lead_target", f"""with {SERIES_CTE}
+LEAD_SQL = f"""with {SERIES_CTE}
 select id, segment, date, y, lead(y, 7) over (partition by id order by date) as target
-from series""")
+from series"""
+
+
+@register("lead_target_ranged", LEAD_SQL)
+def q_lead_target_ranged(spark, sf_dir):
+    return lead_target(_panel(spark, sf_dir), ROLES, GROUP, spread=True)
+
+
+@register("lead_target", LEAD_SQL)
 def q_lead_target(spark, sf_dir):
     return lead_target(_series(spark, sf_dir), ROLES, GROUP)
 
