@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewise.functions.calendar import ALL_FEATURES, add_time_features
 from tidewise.functions.frequency import infer_frequency
 from tidewise.operators import folds as fo
+from tidewise.operators import foldstats as fs
 from tidewise.operators import forest as fr
 from tidewise.operators import prepare as pp
 from tidewise.operators import profile as pf
@@ -25,7 +26,8 @@ from tidewise.operators.metrics import round_score, rounded
 from tidewise.operators.splits import group_split_role, split_role, with_role
 from tidewise.plans import backtest as bt
 from tidewise.plans import train as tr
-from tidewise.plans.backtest import backtest_scores, forest_backtest_predictions
+from tidewise.plans import grove as gv
+from tidewise.plans.backtest import backtest_scores
 from tidewise.plans.base_table import base_table
 from tidewise.sources import fixtures as fx
 from tidewise.session import scratch_path, write_scratch
@@ -627,17 +629,13 @@ def q_impute_categorical(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# Random forest (rows-only checks: Spark ML forests have no SQL form)
+# Random forest (forests have no SQL form: reports of them do)
 # --------------------------------------------------------------------------
 
-# The parameters of the single-fit queries, and the setting of
-# the registered search (one 28-step horizon over the whole panel).
+# The parameters of the queries without a search.
 FOREST_PARAMS = {"n_trees": fr.N_TREES, "feature_subset": "all", "min_samples_split": 2,
                  "max_depth": 10}
-SEARCH_N_PRED = 28
-SEARCH_GROUP = 28
 LAST_FOLD = N_FOLDS - 1
-UNSEGMENTED = ROLES.__class__(id=ROLES.id, time=ROLES.time, target=ROLES.target)
 
 
 def _forest_grid(spark, sf_dir, horizon: int):
@@ -687,29 +685,171 @@ def q_onehot_features(spark, sf_dir):
     return test.select("id", "date", F.inline(pairs))
 
 
+def _featured_panel(spark, sf_dir):
+    """The growing panel with its calendar features: all segments, all series."""
+    return add_time_features(_panel(spark, sf_dir), "date")
+
+
+def _model_rows(spark, sf_dir):
+    """The training and test rows of every segment, horizon and fold."""
+    frame = tr.cv_frame(_featured_panel(spark, sf_dir), ROLES, HORIZONS, N_FOLDS, N_PRED)
+    rows, names = gv.model_rows(frame, ROLES, HORIZONS)
+    return write_scratch(rows, "model-rows"), names[GROUP]
+
+
+def _named(df, names):
+    return df.withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("column") + 1)).drop("column")
+
+
+_FOLD_NUMBERS = ["day", "weekend", "moon", "dayofweek", "week", "weekmonth", "month", "quarter", "year"]
+FOLD_VALUES_CTE = f"""{CV_CTE}, cvlags as (select l.*, r.fold, {_BASE_FEATURES_SQL}
+  from lags l join sroles r using (segment, date) where r.role = 'train'),
+fold_values as ({" union all ".join(
+    f"select segment, {h} as predict_horizon, fold, '{c}' as feature, cast({c if c != 'last' else f'last_{h}'} as double) "
+    f"as value from cvlags" for h in HORIZONS for c in [*_FOLD_NUMBERS, "last"])})"""
+
+
+@register("fold_medians", f"""with {FOLD_VALUES_CTE}
+select segment, cast(predict_horizon as bigint) as predict_horizon, cast(fold as bigint) as fold, feature,
+       median(value) as median from fold_values where value is not null group by all""")
+def q_fold_medians(spark, sf_dir):
+    """The imputation values of all models, from one count of distinct values."""
+    rows, (nums, _) = _model_rows(spark, sf_dir)
+    stats = fs.numeric_stats(rows.filter("train_from is not null and y is not null"), N_FOLDS)
+    return _named(stats.drop("edges"), nums)
+
+
+@register("fold_bin_edges", f"""with {FOLD_VALUES_CTE},
+counted as (select segment, predict_horizon, fold, feature, value, count(*) as n from fold_values
+            where value is not null group by all),
+ranked as (select *, sum(n) over (partition by segment, predict_horizon, fold, feature order by value) as upto,
+                  sum(n) over (partition by segment, predict_horizon, fold, feature) as total,
+                  count(*) over (partition by segment, predict_horizon, fold, feature) as kinds from counted)
+select segment, cast(predict_horizon as bigint) as predict_horizon, cast(fold as bigint) as fold, feature, value as edge
+from ranked where upto < total and (kinds <= 32 or upto * 32 // total > (upto - n) * 32 // total)""")
+def q_fold_bin_edges(spark, sf_dir):
+    """The values at which the forests of all models may cut their features."""
+    rows, (nums, _) = _model_rows(spark, sf_dir)
+    stats = fs.numeric_stats(rows.filter("train_from is not null and y is not null"), N_FOLDS)
+    return _named(stats.drop("median"), nums).select(
+        "segment", "predict_horizon", "fold", "feature", F.explode("edges").alias("edge"))
+
+
+@register("fold_modes", f"""with {CV_CTE},
+counted as (select segment, fold, monthname(date) as value, count(*) as n from cvtrain group by all),
+ranked as (select *, row_number() over (partition by segment, fold order by n desc, value) as rk,
+                  count(*) over (partition by segment, fold) as kinds from counted)
+select segment, cast(h as bigint) as predict_horizon, cast(fold as bigint) as fold, value as mode, kinds as n_categories
+from ranked, (values (7), (14), (21), (28)) as v(h) where rk = 1""")
+def q_fold_modes(spark, sf_dir):
+    """The most frequent category (month name) of every model's training rows."""
+    named = _panel(spark, sf_dir).withColumn("named", F.date_format("date", "MMMM"))
+    frame = tr.cv_frame(named, ROLES, HORIZONS, N_FOLDS, N_PRED)
+    rows, names = gv.model_rows(frame, ROLES, HORIZONS)
+    stats = fs.category_stats(rows.filter("train_from is not null and y is not null"), N_FOLDS)
+    return (_named(stats, names[GROUP][1]).filter("feature = 'named'")
+            .select("segment", "predict_horizon", "fold", "mode", F.size("categories").cast("long").alias("n_categories")))
+
+
+def _forest_predictions(spark, sf_dir):
+    rows, _ = _model_rows(spark, sf_dir)
+    jobs = write_scratch(gv._all_jobs(rows, [FOREST_PARAMS]), "jobs")
+    return rows, gv.grove(rows, jobs, N_FOLDS).filter("tested")
+
+
 @register("forest_forecast")
 def q_forest_forecast(spark, sf_dir):
-    grid = write_scratch(_forest_grid(spark, sf_dir, GROUP), "forest-grid")
-    feats = tr.forest_features(grid, ROLES)
-    model = fr.fit_forest(grid.filter(F.col("train_from") <= LAST_FOLD), ROLES, FOREST_PARAMS,
-                          feats)
-    return fr.predict(model, grid.filter(F.col("test_fold") == LAST_FOLD), ROLES,
-                      keep=["segment"])
+    """The forecasts of every segment, horizon and fold by one forest each."""
+    _, out = _forest_predictions(spark, sf_dir)
+    return out.select("segment", "predict_horizon", "fold", "id", F.col("time").alias("date"), "y", "prediction")
+
+
+@register("forest_forecast_report", f"""with {CV_CTE},
+bounds as (select segment, fold, count(*) as n_train from cvtrain group by all)
+select segment, cast(h as bigint) as predict_horizon, cast(fold as bigint) as fold, count(*) as n, count(*) as n_in_range,
+       true as varies
+from cvtest join bounds using (segment, fold), (values (7), (14), (21), (28)) as v(h) group by all""")
+def q_forest_forecast_report(spark, sf_dir):
+    """Of each forest: its test rows, those forecast within the range of its training targets, and
+    whether its forecasts differ from row to row."""
+    rows, out = _forest_predictions(spark, sf_dir)
+    trained = rows.filter("train_from is not null and y is not null")
+    bounds = trained.select("segment", "predict_horizon", "y", F.explode(
+        F.sequence("train_from", F.lit(N_FOLDS - 1).cast("bigint"))).alias("fold")).groupBy(
+        "segment", "predict_horizon", "fold").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    return out.join(bounds, ["segment", "predict_horizon", "fold"]).groupBy("segment", "predict_horizon", "fold").agg(
+        F.count("*").alias("n"), F.count_if(F.col("prediction").between(F.col("low"), F.col("high"))).alias("n_in_range"),
+        (F.count_distinct("prediction") > 1).alias("varies"))
+
+
+def _search(spark, sf_dir):
+    """The panel, and the scores of the reference's two models: every forest candidate and Last."""
+    panel = _featured_panel(spark, sf_dir)
+    return panel, tr.train(panel, ROLES, N_PRED, GROUP, N_FOLDS, baselines=("Last",), project=PROJECT)
 
 
 @register("forest_search")
 def q_forest_search(spark, sf_dir):
-    s = add_time_features(_flag_series(spark, sf_dir), "date")
-    scores = tr.forest_scores(s, UNSEGMENTED, SEARCH_N_PRED, SEARCH_GROUP, N_FOLDS)
-    return rounded(tr.cv_results(scores, N_FOLDS))
+    """Search of all segments, horizons, folds and candidates."""
+    panel = _featured_panel(spark, sf_dir)
+    return rounded(tr.cv_results(tr.forest_scores(panel, ROLES, N_PRED, GROUP, N_FOLDS), N_FOLDS))
+
+
+_CANDIDATES_SQL = ", ".join(f"({i}, '{c['feature_subset']}', {c['min_samples_split']}, {c['max_depth'] or 'null'})"
+                            for i, c in enumerate(fr.sample_candidates()))
+
+
+@register("forest_search_report", f"""with {CV_CTE}, sizes as (select segment, count(*) as n from cvtest group by 1)
+select segment, cast(h as bigint) as predict_horizon, cast(candidate as bigint) as candidate, feature_subset,
+       cast(min_samples_split as bigint) as min_samples_split, cast(max_depth as bigint) as max_depth,
+       cast(n as bigint) as n, true as better_than_last
+from sizes, (values (7), (14), (21), (28)) as v(h),
+     (values {_CANDIDATES_SQL}) as c(candidate, feature_subset, min_samples_split, max_depth)""")
+def q_forest_search_report(spark, sf_dir):
+    """Parameters and test rows of every candidate, and whether it beats the Last forecaster."""
+    scores = write_scratch(_search(spark, sf_dir)[1]["scores"], "scores")
+    means = tr.cv_results(scores, N_FOLDS)
+    last = means.filter("model = 'Last'").select("segment", "predict_horizon", F.col("average_mse").alias("last_mse"))
+    sizes = scores.groupBy("segment", "predict_horizon", "model", "candidate").agg(F.sum("n").alias("n"))
+    p = F.from_json("params", "feature_subset string, min_samples_split bigint, max_depth bigint")
+    return (means.filter("model = 'RandomForest'").join(sizes, ["segment", "predict_horizon", "model", "candidate"])
+            .join(last, ["segment", "predict_horizon"]).withColumn("p", p)
+            .select("segment", "predict_horizon", "candidate", "p.feature_subset", "p.min_samples_split", "p.max_depth",
+                    "n", (F.col("average_mse") < F.col("last_mse")).alias("better_than_last")))
+
+
+def _searched_backtest(spark, sf_dir):
+    panel, out = _search(spark, sf_dir)
+    winners = write_scratch(out["best_models"], "winners")
+    return panel, winners, bt.backtest(panel, ROLES, N_PRED, GROUP, N_FOLDS, winners)
 
 
 @register("backtest_forest")
 def q_backtest_forest(spark, sf_dir):
-    s = add_time_features(_flag_series(spark, sf_dir), "date")
-    chosen = {("all", h): FOREST_PARAMS for h in HORIZONS}
-    preds = forest_backtest_predictions(s, UNSEGMENTED, N_PRED, GROUP, N_FOLDS, chosen)
-    return rounded(backtest_scores(preds, ["fold"], UNSEGMENTED))
+    """Train, then backtest its winners: test and training errors of each fold and their means."""
+    return rounded(_searched_backtest(spark, sf_dir)[2]["report"])
+
+
+@register("backtest_forest_report", f"""with {BT_CTE},
+tests as (select fold, count(*) as n from bt group by 1),
+trains as (select fold, 4 * count(*) as n_train from bttrain group by 1)
+select cast(fold as bigint) as fold, n, n_train, cast(12 as bigint) as n_models, cast(12 as bigint) as n_forests,
+       true as better_than_last, true as fits_training_rows
+from tests join trains using (fold)""")
+def q_backtest_forest_report(spark, sf_dir):
+    """Of train and backtest as one chain: rows, winners, and how their errors compare with those of Last."""
+    panel, winners, out = _searched_backtest(spark, sf_dir)
+    last = bt.backtest_scores(bt.backtest_predictions(panel, ROLES, N_PRED, GROUP, N_FOLDS, ("Last",)), ["fold"], ROLES)
+    trained = bt.baseline_train_scores(panel, ROLES, N_PRED, GROUP, N_FOLDS, ("Last",))
+    won = winners.agg(F.count("*").alias("n_models"), F.count_if(F.col("model") == "RandomForest").alias("n_forests"))
+    report = out["report"].filter("fold is not null")
+    sizes = out["train_scores"].select("fold", F.col("n").alias("n_train"))
+    return (report.join(sizes, "fold").join(last.select("fold", F.col("mse").alias("last_mse")), "fold")
+            .join(trained.select("fold", F.col("mse").alias("last_train")), "fold")
+            .withColumn("w", won.select(F.struct("*")).scalar())
+            .select("fold", "n", "n_train", "w.n_models", "w.n_forests",
+                    (F.col("mse") < F.col("last_mse")).alias("better_than_last"),
+                    (F.col("train_mse") < F.col("last_train")).alias("fits_training_rows")))
 
 
 @register("backtest_train_scores", f"""with {BT_CTE},
