@@ -94,7 +94,7 @@ class ByteSide:
             for t, ids in list(zip(texts, out))[:CHECKED_TEXTS]:
                 if self._plain(" " + t) != ids:
                     raise ValueError(f"the ids of {self.path} do not follow its merges")
-            self.checked = True
+            self.checked, self._library = True, None  # its memory is freed
         return out
 
 
@@ -236,6 +236,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     def run(batches):
         own = aligner(a_path, b_path)
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for first, last, full, texts in _texts(batch):
                 rows = last - first
                 a, b, i, j, in_a, in_b = own.aligned(texts)
