@@ -130,6 +130,27 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert all(r[1] <= most[r[0]] for r in got)
 
 
+def test_vectors_of_extreme_size(spark):
+    """Components from 1e-300 to 1e300: the angles of the same vectors at a plain size."""
+    rng = np.random.default_rng(3)
+    plain = rng.standard_normal((20, 8))
+    plain = np.concatenate([plain, plain + 0.05 * rng.standard_normal((20, 8))])
+    rows, want = [], []
+    for k in range(3):
+        for i, v in enumerate(plain):
+            rows.append((len(rows), (v * 10.0 ** rng.integers(-300, 300)).tolist()))
+            want.append(v)
+    unit = np.array(want) / np.linalg.norm(want, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(unit), dtype=bool)
+    assert near.sum() > 100
+    rows += [(900, [1e-200, 0.0]), (901, [0.5, 0.866]), (902, [1e200, 0.0]), (903, [2e200, 0.0]), (904, [5e-324, 0.0]),
+             (905, [1.7e308] * 3), (906, [-1.7e308] * 3)]
+    got = {r.id: r.n_links for r in embed_dedup.near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(len(want))] == near.sum(axis=1).tolist()
+    assert [got[i] for i in range(900, 907)] == [3, 0, 3, 3, 3, 0, 0]
+
+
 def test_vectors_recall_and_empty(spark):
     rng = np.random.default_rng(8)
     a = rng.standard_normal((3000, 32))

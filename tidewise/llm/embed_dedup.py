@@ -50,6 +50,12 @@ def _matrix(column, length: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, length)
 
 
+def _balanced(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component between 1/2 and 1:
+    cosines stay the same to the last bit, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _with_codes(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
     """(node, copies, vector as bytes, codes as bytes of 32-bit integers)."""
     def run(batches):
@@ -61,7 +67,7 @@ def _with_codes(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
             codes: list = [None] * len(vectors)
             for length in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == length)
-                x = np.stack([flat[at[i]:at[i] + length] for i in rows])
+                x = _balanced(np.stack([flat[at[i]:at[i] + length] for i in rows]))
                 planes = np.random.default_rng(SEED).standard_normal((length, bits * tables))
                 signs = (x @ planes > 0).reshape(len(rows), tables, bits)
                 own = (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
@@ -91,7 +97,7 @@ def _linked(table: pa.Table, threshold: float):
         if b - a < 2:
             continue
         length, number, _, i, j = keys[a].tolist()
-        x = _matrix(vectors[a:b], length)
+        x = _balanced(_matrix(vectors[a:b], length))
         norms = np.sqrt((x * x).sum(axis=1))
         near = (x @ x.T) / np.outer(norms, norms) >= threshold
         if i != j:
