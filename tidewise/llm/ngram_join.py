@@ -192,28 +192,22 @@ def _sets_of(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> D
                 hits = np.flatnonzero(some.may_hold(names) & (np.diff(at) > 0))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(names[hits]),
-                    pa.array([sets[at[i]:at[i + 1]].tobytes() for i in hits], pa.binary())],
+                    pa.array([sets[at[i]:at[i + 1]].view(np.int64) for i in hits], pa.list_(pa.int64()))],
                     names=["node", "elements"])
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, elements binary")
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, elements array<long>")
     return got.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("e_a").to_pylist(), batch.column("e_b").to_pylist()):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(bands.den * common >= bands.num * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask),
-                                              batch.column("b").filter(mask)], names=["a", "b"])
-
+    """The pairs whose sets are similar indeed. Sets are compared row by row in the JVM, so no
+    batch of them is ever held."""
     def side(x):
         return sets.select(F.col("node").alias(x), F.col("elements").alias("e_" + x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("e_a", "e_b"))
+    union = F.size("e_a") + F.size("e_b") - common
+    return both.filter(common * bands.den >= union * bands.num).select("a", "b")
 
 
 def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands,
@@ -252,21 +246,40 @@ def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Ban
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+class _Bundles:
+    """A column of arrays of nodes, read in place."""
+
+    def __init__(self, column: pa.ListArray):
+        self.at = column.offsets.to_numpy()
+        fields = column.values
+        self.node, self.component, self.size = (fields.field(c).to_numpy() for c in ("a", "component", "n_shingles"))
+        parity = fields.field("parity").cast(pa.large_binary())
+        self.offsets = np.frombuffer(parity.buffers()[1], np.int64)[parity.offset:][:len(parity) + 1]
+        self.data = memoryview(parity.buffers()[2] or b"")
+
+    def parity(self, i: int) -> memoryview:
+        return self.data[self.offsets[i]:self.offsets[i + 1]]
+
+    def least_width(self, row: int) -> int:
+        return int(np.diff(self.offsets)[self.at[row]:self.at[row + 1]].min())
+
+    def folded(self, row: int, size: int) -> np.ndarray:
+        return np.array([_folded(self.parity(i), size) for i in range(self.at[row], self.at[row + 1])])
+
+
 def _block_pairs(batch: pa.RecordBatch, bands: Bands, best: bool):
-    for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-        size = min(len(x["parity"]) for x in left + right) // 8
-        sides = []
-        for own in (left, right):
-            sides.append((own, np.array([x["n_shingles"] for x in own], np.int64),
-                          np.array([x["component"] for x in own], np.int64),
-                          np.array([_folded(x["parity"], size) for x in own])))
-        (left, n_l, c_l, p_l), (right, n_r, c_r, p_r) = sides
-        n_l, c_l = n_l[:, None], c_l[:, None]
+    lefts, rights = _Bundles(batch.column("left")), _Bundles(batch.column("right"))
+    for row in range(batch.num_rows):
+        l0, l1, r0, r1 = lefts.at[row], lefts.at[row + 1], rights.at[row], rights.at[row + 1]
+        n_l, c_l = lefts.size[l0:l1, None], lefts.component[l0:l1, None]
+        n_r, c_r = rights.size[r0:r1], rights.component[r0:r1]
         may = (c_l != c_r) & (np.maximum(n_l, n_r) <= bands.largest_partner(np.minimum(n_l, n_r)))
         if not may.any():
             continue
+        size = min(lefts.least_width(row), rights.least_width(row)) // 8
+        p_l, p_r = lefts.folded(row, size), rights.folded(row, size)
         differ = np.zeros(may.shape, np.int64)
-        for k in range(p_l.shape[1]):
+        for k in range(size):
             differ += np.bitwise_count(p_l[:, k, None] ^ p_r[:, k])
         may &= differ <= bands.differing(n_l, n_r)
         i, j = np.nonzero(may)
@@ -276,14 +289,18 @@ def _block_pairs(batch: pa.RecordBatch, bands: Bands, best: bool):
             first = np.ones(len(i), bool)
             first[1:] = (i[1:] != i[:-1]) | (c_r[j][1:] != c_r[j][:-1])
             i, j = i[first], j[first]
-        found: dict[int, list[int]] = {}
-        for p, q in zip(i.tolist(), j.tolist()):
-            x, y = left[p], right[q]
-            if _may_link(x["n_shingles"], x["parity"], y["n_shingles"], y["parity"], bands):
-                found.setdefault(x["a"], []).append(y["a"])
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], names=["x", "ys"])
+        keep = np.array([_may_link(int(lefts.size[p]), lefts.parity(p), int(rights.size[q]), rights.parity(q), bands)
+                         for p, q in zip((i + l0).tolist(), (j + r0).tolist())], bool)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lefts.node[l0 + i[first]]),
+             pa.ListArray.from_arrays(pa.array(np.append(first, len(i)), pa.int32()), pa.array(rights.node[r0 + j]))],
+            names=["x", "ys"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
