@@ -60,8 +60,8 @@ class Middle:
     name, params = "Middle", {"share": 1.0}
 
     def fit_predict(self, train, test, roles):
-        means = train.groupBy("segment").agg(F.avg(roles.target).alias("prediction"))
-        return test.join(means, "segment", "left")
+        model = ["segment", "predict_horizon", "fold"]
+        return test.join(train.groupBy(*model).agg(F.avg(roles.target).alias("prediction")), model, "left")
 
 
 def test_own_forecaster_through_train_and_backtest(frame):
@@ -81,3 +81,21 @@ def test_own_forecaster_through_train_and_backtest(frame):
     won = {(r.segment, r.predict_horizon) for r in winners.collect()}
     assert sorted(map(key, mine)) == sorted(key(r) for r in plain if (r.segment, r.predict_horizon) in won)
     assert len(mine) > 0
+
+
+def plan_size(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+
+def test_plan_of_a_forecaster_does_not_grow(frame, monkeypatch):
+    rows = [("a", "s", t, float(j % 5), 0.0) for j, t in enumerate(daily("2022-01-01", 60))]
+    df, sizes = frame(rows, SCHEMA), []
+
+    class Sized(Middle):
+        def fit_predict(self, train, test, roles):
+            out = super().fit_predict(train, test, roles)
+            sizes.append(plan_size(out))
+            return out
+    for group in (12, 1):  # one horizon, twelve horizons
+        tr.train(df, ROLES, 12, group, 2, baselines=(), with_forest=False, models=[Sized()])
+    assert len(sizes) == 2 and sizes[0] == sizes[1]

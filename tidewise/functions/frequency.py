@@ -47,18 +47,37 @@ def frequency_label(step: Column) -> Column:
     return expr.otherwise(F.lit(DEFAULT_FREQUENCY))
 
 
+def _steps(df: DataFrame, roles: Roles, spread: bool) -> DataFrame:
+    """The step before each row of a series (null for its first row)."""
+    if not spread:
+        return df.select(step_micros(roles).alias("step"))
+    from tidewise.operators.lags import ranged_shift
+    prev = ranged_shift(df, roles, {"_prev": 1}, roles.time)
+    return prev.select(F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(roles.time)).alias("step"))
+
+
+def step_histogram(df: DataFrame, roles: Roles, spread: bool = False) -> DataFrame:
+    """(frequency, n): how many steps between neighbouring rows of a series have each label."""
+    return (_steps(df, roles, spread).filter("step is not null")
+            .groupBy(frequency_label(F.col("step")).alias("frequency")).agg(F.count("*").alias("n")))
+
+
+def infer_unit(df: DataFrame, roles: Roles, spread: bool = False) -> str:
+    """The most frequent step of a panel, the shorter one on ties: the unit of its horizons and
+    offsets. One aggregate job; one row for each label reaches the driver."""
+    order = [label for label, _ in FREQUENCY_LADDER] + [DEFAULT_FREQUENCY]
+    found = {r["frequency"]: r["n"] for r in step_histogram(df, roles, spread).collect()}
+    if not found:
+        raise ValueError("no series has two rows: the step of the panel is not known")
+    return max(found, key=lambda label: (found[label], order.index(label)))
+
+
 def infer_frequency(df: DataFrame, roles: Roles, spread: bool = False) -> DataFrame:
     """One row: the minimum step over all series and its frequency label.
 
     ``spread``: find each row's previous time over range partitions, for
     panels where one series may be too large for one task.
     """
-    if spread:
-        from tidewise.operators.lags import ranged_shift
-        prev = ranged_shift(df, roles, {"_prev": 1}, roles.time)
-        steps = prev.select(F.timestamp_diff("MICROSECOND", F.col("_prev"),
-                                             F.col(roles.time)).alias("step"))
-    else:
-        steps = df.select(step_micros(roles).alias("step"))
+    steps = _steps(df, roles, spread)
     return steps.agg(F.min("step").alias("min_step_us")).select(
         "min_step_us", frequency_label(F.col("min_step_us")).alias("frequency"))

@@ -3,9 +3,9 @@ model of every (segment, horizon) on the data up to the fold's end of
 training and forecast its own time group of the next N steps.
 
 Horizon h with group size g forecasts the steps end_train + (h-g+1) ...
-end_train + h (in ``unit``s, days by default). A row therefore belongs to at
-most one horizon per fold, found by arithmetic, so the grid is never copied
-once per horizon.
+end_train + h (in ``unit``s, days by default; calendar months, the panel's own step or a
+project's own offsets as well). The bounds of all time groups are one small array, in which
+each row finds its folds and horizons, so the grid is never copied once per horizon.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.functions.offsets import unit_micros
+from tidewise.functions.frequency import infer_unit
+from tidewise.functions.offsets import offset_function
 from tidewise.operators.baselines import BASELINES, fold_mean_tables, mean_keys
 from tidewise.operators.folds import fold_arrays
 from tidewise.operators.horizons import check_grouping, horizon_list
@@ -24,49 +25,64 @@ from tidewise.operators.metrics import guard_missing, sq_err
 from tidewise.roles import Roles
 
 
-def _bounds_scalar(df: DataFrame, roles: Roles, n_folds: int, n_pred: int) -> Column:
+AUTO = "auto"
+
+
+def step_offset(df: DataFrame, roles: Roles, unit, spread: bool = False):
+    """The offset function of ``unit``: a unit's name, ``auto`` for the panel's most frequent step,
+    or a project's own function (time column, number of steps) -> time column."""
+    return offset_function(infer_unit(df, roles, spread) if unit == AUTO else unit)
+
+
+def _group_arrays(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int, unit) -> DataFrame:
+    """One row: ``end_train`` by fold, and ``groups``, the (fold, predict_horizon, begin_test, end_test,
+    last_test) of every time group, where last_test is the end of the fold's test set."""
+    ahead = step_offset(df, roles, unit)
     fa = fold_arrays(df, roles, n_folds, n_pred, by_segment=False)
-    return fa.select(F.struct("end_train", "end_test").alias("b")).scalar()
+    groups = []
+    for k in range(n_folds):
+        end = F.element_at("end_train", k + 1)
+        for h in horizon_list(n_pred, group):
+            groups.append(F.struct(
+                F.lit(k).cast("bigint").alias("fold"), F.lit(h).cast("bigint").alias("predict_horizon"),
+                ahead(end, F.lit(h - group + 1)).alias("begin_test"), ahead(end, F.lit(h)).alias("end_test"),
+                F.element_at("end_test", k + 1).alias("last_test")))
+    return fa.select("end_train", F.array(*groups).alias("groups"))
+
+
+def time_group_bounds(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int, unit="day") -> DataFrame:
+    """(fold, predict_horizon, begin_test, end_test): the steps h-g+1 to h after each fold's end of
+    training, as times. ``unit``: see ``step_offset``."""
+    group = check_grouping(n_pred, group)
+    return _group_arrays(df, roles, n_pred, group, n_folds, unit).select(F.inline("groups")).drop("last_test")
 
 
 def backtest_frame(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                   unit: str = "day", spread: bool = False) -> DataFrame:
+                   unit="day", spread: bool = False) -> DataFrame:
     """Panel + ``segment`` + lags, with per-row fold tags:
 
     - ``train_from``: first fold whose training set (t <= end_train) holds the row;
-    - ``tests``: the (fold, predict_horizon, beyond) of each fold whose time
-      group holds the row; ``beyond`` marks a time past the fold's test set,
-      for which the reference has no truth.
+    - ``tests``: the (fold, predict_horizon, beyond) of each time group that holds the row
+      (groups may overlap if the offsets say so); ``beyond`` marks a time past the fold's
+      test set, for which the reference has no truth.
     """
     group = check_grouping(n_pred, group)
     horizons = horizon_list(n_pred, group)
     s = roles.with_segment(df)
-    # The K-element bounds arrive once per row as a column, so the subquery
+    # All bounds (folds x horizons) arrive once per row as a column, so the subquery
     # runs once however many expressions read it.
-    lagged = add_lags(s, roles, horizons, spread).withColumn(
-        "_bounds", _bounds_scalar(s, roles, n_folds, n_pred))
-    b = F.col("_bounds")
-    t = F.col(roles.time)
-    step = unit_micros(unit)
-    tests, train_conds = [], []
-    for k in range(n_folds):
-        e = F.element_at(b.getField("end_train"), k + 1)
-        te = F.element_at(b.getField("end_test"), k + 1)
-        us = F.timestamp_diff("MICROSECOND", e, t)
-        h = F.ceil(us / F.lit(float(group * step))) * F.lit(group)
-        inside = (us > 0) & (h <= n_pred) & (us >= (h - F.lit(group - 1)) * F.lit(step))
-        tests.append(F.when(inside, F.struct(
-            F.lit(k).cast("bigint").alias("fold"),
-            h.cast("bigint").alias("predict_horizon"),
-            (t > te).alias("beyond"))))
-        train_conds.append(t <= e)
+    bounds = _group_arrays(s, roles, n_pred, group, n_folds, unit).select(F.struct("*")).scalar()
+    lagged = add_lags(s, roles, horizons, spread).withColumn("_bounds", bounds)
+    b, t = F.col("_bounds"), F.col(roles.time)
     train_from = None
-    for k, c in enumerate(train_conds):
+    for k in range(n_folds):
+        c = t <= F.element_at(b.getField("end_train"), k + 1)
         train_from = F.when(c, F.lit(k)) if train_from is None else train_from.when(c, F.lit(k))
-    return lagged.withColumns({
-        "train_from": train_from.cast("bigint"),
-        "tests": F.array_compact(F.array(*tests)),
-    }).drop("_bounds")
+    mine = F.transform(
+        F.filter(b.getField("groups"), lambda g: (t >= g["begin_test"]) & (t <= g["end_test"])),
+        lambda g: F.struct(g["fold"].alias("fold"), g["predict_horizon"].alias("predict_horizon"),
+                           (t > g["last_test"]).alias("beyond")))
+    return lagged.withColumns({"train_from": train_from.cast("bigint"), "tests": mine}).drop("_bounds")
 
 
 def backtest_tests(frame: DataFrame) -> DataFrame:
@@ -87,7 +103,7 @@ def last_backtest_prediction(horizons: list[int], group: int) -> Column:
 
 
 def backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                         models: tuple[str, ...] = ("Last",), unit: str = "day",
+                         models: tuple[str, ...] = ("Last",), unit="day",
                          spread: bool = False, materialize: bool = False) -> DataFrame:
     """(model, fold, predict_horizon, segment, id, time, y, prediction, beyond).
 
@@ -126,7 +142,7 @@ def backtest_scores(preds: DataFrame, keys: list[str], roles: Roles) -> DataFram
 
 
 def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                  unit: str = "day", spread: bool = False) -> DataFrame:
+                  unit="day", spread: bool = False) -> DataFrame:
     """(fold, segment, n, mse) of the Last forecaster: one job, no loop."""
     preds = backtest_predictions(df, roles, n_pred, group, n_folds, ("Last",), unit,
                                  spread)
@@ -138,7 +154,7 @@ def backtest_last(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds:
 # --------------------------------------------------------------------------
 def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group: int,
                                 n_folds: int, params_by_model: dict[tuple[str, int], dict],
-                                unit: str = "day", spread: bool = False, grid_fn=None) -> DataFrame:
+                                unit="day", spread: bool = False, grid_fn=None) -> DataFrame:
     """Refit the forest of each (segment, horizon) in ``params_by_model`` on
     the rows up to each fold's end of training and predict its time group."""
     import json
@@ -151,7 +167,7 @@ def forest_backtest_predictions(df: DataFrame, roles: Roles, n_pred: int, group:
 
 
 def backtest(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-             winners: DataFrame, unit: str = "day", spread: bool = False, grid_fn=None,
+             winners: DataFrame, unit="day", spread: bool = False, grid_fn=None,
              models: list = ()) -> dict[str, DataFrame]:
     """Backtest the chosen model of each (segment, horizon).
 
@@ -216,7 +232,7 @@ def baseline_train_scores(df: DataFrame, roles: Roles, n_pred: int, group: int,
 
 
 def baseline_train_sums(df: DataFrame, roles: Roles, n_pred: int, group: int, n_folds: int,
-                        models: tuple[str, ...] = ("Last",), unit: str = "day",
+                        models: tuple[str, ...] = ("Last",), unit="day",
                         spread: bool = False) -> DataFrame:
     """(model, segment, predict_horizon, fold, n, sse, missing) of each baseline on its own
     training rows.

@@ -64,7 +64,7 @@ def forecast_run(df: DataFrame, store: str, run_id: str | None = None, spread: b
 
 
 def backtest_run(df: DataFrame, store: str, run_id: str | None = None, n_folds: int = 3,
-                 unit: str = "day", validate: bool = True, spread: bool = False,
+                 unit="day", validate: bool = True, spread: bool = False,
                  grid_fn=None, models: list = ()) -> dict[str, DataFrame]:
     """Backtest the winners of a stored run (the best run if none is given)."""
     from tidewise.sources.panel import validate_panel

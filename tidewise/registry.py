@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.functions.calendar import ALL_FEATURES, add_time_features
-from tidewise.functions.frequency import infer_frequency
+from tidewise.functions.frequency import infer_frequency, step_histogram
+from tidewise.functions.offsets import shift_time
 from tidewise.operators import folds as fo
 from tidewise.operators import foldstats as fs
 from tidewise.operators import forest as fr
@@ -257,14 +258,7 @@ select cast(fold as bigint) as fold, cast(h as bigint) as predict_horizon,
        end_train + to_days(h - 6) as begin_test, end_train + to_days(h) as end_test
 from gfolds, (values (7), (14), (21), (28)) as v(h)""")
 def q_time_group_bounds(spark, sf_dir):
-    from tidewise.functions.offsets import shift_time
-    b = fo.fold_bounds(_series(spark, sf_dir), ROLES, N_FOLDS, N_PRED)
-    h = F.col("predict_horizon")
-    return b.select("fold", F.explode(F.array(*[F.lit(x).cast("bigint") for x in HORIZONS]))
-                    .alias("predict_horizon"), "end_train").select(
-        "fold", "predict_horizon",
-        shift_time(F.col("end_train"), h - F.lit(GROUP - 1)).alias("begin_test"),
-        shift_time(F.col("end_train"), h).alias("end_test"))
+    return bt.time_group_bounds(_series(spark, sf_dir), ROLES, N_PRED, GROUP, N_FOLDS)
 
 
 @register("time_folds", f"""with {SERIES_CTE}, {SEGMENT_ROLES_CTE}
@@ -437,6 +431,76 @@ def q_backtest_scores(spark, sf_dir):
     return rounded(bt.backtest_scores(p, ["model", "fold"], ROLES))
 
 
+# --------------------------------------------------------------------------
+# Panels by week, month and quarter: steps and offsets of the calendar
+# --------------------------------------------------------------------------
+def _period_panel(spark, sf_dir, period):
+    return write_scratch(normalize_panel(fx.period_series(spark, sf_dir, period), ROLES), "panel")
+
+
+def _month_end(t, n):
+    """A project's own offset: n months on, to the last day of the month."""
+    return F.last_day(shift_time(t, n - F.lit(1), "month")).cast("timestamp_ntz")
+
+
+# period -> steps, group, unit as given, and the SQL of n steps after a time
+PERIODS = {"week": (8, 4, "auto", "{t} + to_days(7 * ({n}))"), "month": (6, 3, "auto", "{t} + to_months({n})"),
+           "quarter": (4, 2, "quarter", "{t} + to_months(3 * ({n}))")}
+
+
+def _period_cte(period: str, n_pred: int, group: int, step: str) -> str:
+    hs = horizon_list(n_pred, group)
+    lags = ", ".join(f"lag(y, {h}) over (partition by id order by date) as last_{h}" for h in hs)
+    last = " ".join(f"when {h} then last_{h}" for h in hs)
+    begin, end = (step.format(t="f.end_train", n=n) for n in (f"h - {group - 1}", "h"))
+    return f"""{SERIES_CTE}, pseries as (select id, segment, date_trunc('{period}', date)::timestamp as date, sum(y) as y
+  from series group by all),
+plags as (select id, segment, date, y, {lags} from pseries),
+ptimes as (select date, row_number() over (order by date desc) - 1 as r from (select distinct date from pseries)),
+fold_ids as (select * from (values (0), (1), (2)) as v(fold)),
+pfolds as (select f.fold, max(case when t.r = (3 - f.fold) * {n_pred} then t.date end) as end_train
+           from ptimes t, fold_ids f group by f.fold),
+pbounds as (select fold, h, {begin} as begin_test, {end} as end_test
+            from pfolds f, (values {", ".join(f"({h})" for h in hs)}) as v(h)),
+pbt as (select l.*, b.fold, b.h as predict_horizon, coalesce(case h {last} end, 0) as prediction
+        from plags l join pbounds b on l.date between b.begin_test and b.end_test)"""
+
+
+def _register_period(period: str) -> None:
+    n_pred, group, unit, step = PERIODS[period]
+    cte = _period_cte(period, n_pred, group, step)
+
+    @register(f"time_group_bounds_{period}", f"""with {cte} select cast(fold as bigint) as fold,
+      cast(h as bigint) as predict_horizon, begin_test, end_test from pbounds""")
+    def q_bounds(spark, sf_dir):
+        return bt.time_group_bounds(_period_panel(spark, sf_dir, period), ROLES, n_pred, group, N_FOLDS, unit)
+
+    @register(f"backtest_{period}", f"""with {cte} select cast(fold as bigint) as fold, segment, count(*) as n,
+      round(avg((prediction - y) * (prediction - y)), 6) as mse from pbt group by all""")
+    def q_backtest(spark, sf_dir):
+        return rounded(bt.backtest_last(_period_panel(spark, sf_dir, period), ROLES, n_pred, group, N_FOLDS, unit))
+
+
+for _period in PERIODS:
+    _register_period(_period)
+
+
+@register("backtest_own_offset", f"""with {_period_cte("month", 6, 3, "last_day({t} + to_months({n} - 1))::timestamp")}
+select cast(fold as bigint) as fold, segment, count(*) as n, round(avg((prediction - y) * (prediction - y)), 6) as mse
+from pbt group by all""")
+def q_backtest_own_offset(spark, sf_dir):
+    return rounded(bt.backtest_last(_period_panel(spark, sf_dir, "month"), ROLES, 6, 3, N_FOLDS, _month_end))
+
+
+@register("step_histogram", f"""with {SERIES_CTE}, wseries as (select id, date_trunc('week', date)::timestamp as date
+  from series group by all),
+steps as (select date_diff('day', lag(date) over (partition by id order by date), date) as step from wseries)
+select case when step >= 365 then 'year' when step >= 90 then 'quarter' when step >= 28 then 'month' else 'week' end
+  as frequency, count(*) as n from steps where step is not null group by 1""")
+def q_step_histogram(spark, sf_dir):
+    return step_histogram(_period_panel(spark, sf_dir, "week"), ROLES)
+
+
 # --------------------------------------------------------------------------
 # Base table: reshape, joins, flag, sample
 # --------------------------------------------------------------------------

@@ -42,6 +42,13 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def period_series(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
+    """Quantity per supplier and calendar ``period`` (week, month, quarter), dated by its first day."""
+    s = series(spark, sf_dir)
+    start = F.date_trunc(period, F.col("date").cast("timestamp_ntz")).cast("timestamp_ntz")
+    return s.groupBy("id", "segment", start.alias("date")).agg(F.sum("y").alias("y"))
+
+
 def flag_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily quantity per (return flag, line status): 6 series, 3 segments. The
     forest queries fit on it: their cost is the fits, not the rows."""
