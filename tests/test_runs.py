@@ -55,6 +55,30 @@ def test_train_then_backtest_through_store(frame, tmp_path, monkeypatch):
     assert n_pred_rows == sum(r["n"] for r in scores)
 
 
+def test_runs_are_seen_whole(frame, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+    rows = [(f"id{i}", f"s{i % 2}", t, float((i + j) % 5), 0.0) for i in range(2) for j, t in enumerate(daily("2022-01-01", 30))]
+    df, store = frame(rows, SCHEMA), str(tmp_path / "store")
+    args = dict(n_pred=4, group=2, n_folds=2, baselines=("Last", "Mean"), with_forest=False)
+    with pytest.raises(LookupError):
+        tk.best_run(df.sparkSession, store)
+    with monkeypatch.context() as m:
+        m.setattr(tk, "new_run_id", lambda: "killed")
+        m.setattr(tk, "record_best", lambda *a: (_ for _ in ()).throw(RuntimeError("dies")))
+        with pytest.raises(RuntimeError, match="dies"):
+            runs.train_run(df, ROLES, store, **args)
+    with pytest.raises(LookupError):
+        tk.best_run(df.sparkSession, store)
+    with pytest.raises(LookupError):
+        tk.read_candidates(df.sparkSession, store, "killed")
+    with ThreadPoolExecutor(2) as ex:
+        both = list(ex.map(lambda _: runs.train_run(df, ROLES, store, **args), range(2)))
+    assert {r.run_id for r in tk.read_runs(df.sparkSession, store).collect()} == set(both) and len(set(both)) == 2
+    for run_id in both:
+        assert tk.read_candidates(df.sparkSession, store, run_id).count() == 8
+        assert tk.read_best(df.sparkSession, store, run_id).count() == 4
+
+
 class Middle:
     """Half of the segment's training mean: a project's own forecaster."""
     name, params = "Middle", {"share": 1.0}

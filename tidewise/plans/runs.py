@@ -37,9 +37,10 @@ def train_run(df: DataFrame, roles: Roles, store: str, n_pred: int, group: int,
     tk.record_candidates(results, store, run_id, n_folds, len(df.columns) + 1)
     best = tr.best_models(results, project)
     tk.record_best(best, store, run_id)
-    tk.record_run(spark, tr.train_summary(best), store, run_id, roles, n_pred, group, n_folds)
     if save_models:
         _save_winners(df, roles, store, run_id, n_pred, group, best, spread, grid_fn)
+    # last: from now on the run is seen
+    tk.record_run(spark, tr.train_summary(best), store, run_id, roles, n_pred, group, n_folds)
     return run_id
 
 

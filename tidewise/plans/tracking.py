@@ -1,11 +1,13 @@
 """Run records as tables: candidate scores, chosen models and run settings.
 
-Stands in for an experiment tracker: everything is a Parquet / JSON dataset
-under one store folder, appended per run and read back with filters.
+Stands in for an experiment tracker: every run writes its tables to a folder of its own
+below one store; its settings, written last, are the manifest row that makes it
+visible. A run that dies half-way is never read, and runs at the same time do not meet.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -13,10 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.roles import Roles
+from tidewise.sources import sinks
 
+RUN_SCHEMA = ("run_id string, number_predictions int, n_predictions_groupby int, n_folds int, "
+              "column_segment_groupby string, id_column string, time_column string, target string, average_cv_mse double")
+BEST_SCHEMA = ("segment string, predict_horizon bigint, model string, candidate bigint, average_mse double, "
+               "model_key string, params string")
+CANDIDATE_SCHEMA = ("run_id string, segment string, predict_horizon bigint, model string, candidate bigint, "
+                    "params map<string,string>, metrics map<string,double>, tags map<string,string>")
 
-def _path(store: str, name: str) -> str:
-    return f"{store.rstrip('/')}/{name}"
+
+def _path(store: str, run_id: str, name: str) -> str:
+    return f"{store.rstrip('/')}/data/{run_id}/{name}"
 
 
 def new_run_id() -> str:
@@ -25,7 +35,7 @@ def new_run_id() -> str:
 
 def record_candidates(cv_results: DataFrame, store: str, run_id: str, n_folds: int,
                       n_grid_features: int | None = None) -> None:
-    """Append one record per candidate: params, metrics (average_mse,
+    """One record per candidate: params, metrics (average_mse,
     std_mse, split{k}_test_score; not rounded) and tags (segment, horizon, model, and
     the number of columns of a horizon's grid)."""
     metrics = F.create_map(
@@ -40,29 +50,27 @@ def record_candidates(cv_results: DataFrame, store: str, run_id: str, n_folds: i
     out = cv_results.select(
         F.lit(run_id).alias("run_id"), "segment", "predict_horizon", "model", "candidate",
         params.alias("params"), metrics.alias("metrics"), tags.alias("tags"))
-    out.write.mode("append").partitionBy("run_id").parquet(_path(store, "candidates"))
+    out.write.mode("error").parquet(_path(store, run_id, "candidates"))
 
 
 def record_best(best: DataFrame, store: str, run_id: str) -> None:
     """The chosen model per (segment, horizon), as JSON lines."""
-    best.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(
-        _path(store, "best_models"))
+    best.write.mode("error").json(_path(store, run_id, "best_models"))
 
 
 def record_run(spark: SparkSession, summary: DataFrame, store: str, run_id: str, roles: Roles,
                n_pred: int, group: int, n_folds: int) -> None:
-    """The run's settings and overall score (one row)."""
-    summary.select(
-        F.lit(run_id).alias("run_id"), F.lit(n_pred).alias("number_predictions"),
-        F.lit(group).alias("n_predictions_groupby"), F.lit(n_folds).alias("n_folds"),
-        F.lit(roles.segment).cast("string").alias("column_segment_groupby"),
-        F.lit(roles.id).alias("id_column"), F.lit(roles.time).alias("time_column"),
-        F.lit(roles.target).alias("target"), F.col("average_cv_mse"),
-    ).write.mode("append").parquet(_path(store, "runs"))
+    """The run's settings and overall score: its manifest row, written when all else is."""
+    score = summary.first()["average_cv_mse"]
+    sinks.commit(spark, store, run_id, json.dumps({
+        "run_id": run_id, "number_predictions": n_pred, "n_predictions_groupby": group, "n_folds": n_folds,
+        "column_segment_groupby": roles.segment, "id_column": roles.id, "time_column": roles.time,
+        "target": roles.target, "average_cv_mse": score}))
 
 
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(_path(store, "runs"))
+    """The committed runs."""
+    return sinks.manifest(spark, store).select(F.from_json("content", RUN_SCHEMA).alias("run")).select("run.*")
 
 
 def best_run(spark: SparkSession, store: str, run_id: str | None = None):
@@ -79,13 +87,14 @@ def best_run(spark: SparkSession, store: str, run_id: str | None = None):
 
 
 def read_best(spark: SparkSession, store: str, run_id: str) -> DataFrame:
-    """Chosen models of one run; the run_id partition filter prunes folders."""
-    return (spark.read.json(_path(store, "best_models"))
-            .filter(F.col("run_id") == run_id).drop("run_id"))
+    """Chosen models of one committed run."""
+    best_run(spark, store, run_id)
+    return spark.read.schema(BEST_SCHEMA).json(_path(store, run_id, "best_models"))
 
 
 def read_candidates(spark: SparkSession, store: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(_path(store, "candidates")).filter(F.col("run_id") == run_id)
+    best_run(spark, store, run_id)
+    return spark.read.schema(CANDIDATE_SCHEMA).parquet(_path(store, run_id, "candidates"))
 
 
 def roles_of(run) -> Roles:
@@ -96,11 +105,11 @@ def roles_of(run) -> Roles:
 def save_forests(plans: DataFrame, nodes: DataFrame, store: str, run_id: str) -> None:
     """A run's grown forests: what their features are filled and cut with, and their nodes."""
     for name, df in (("plans", plans), ("nodes", nodes)):
-        df.write.mode("error").parquet(_path(store, f"models/run_id={run_id}/{name}"))
+        df.write.mode("error").parquet(_path(store, run_id, f"models/{name}"))
 
 
 def load_forests(spark: SparkSession, store: str, run_id: str) -> tuple[DataFrame, DataFrame]:
-    plans, nodes = (spark.read.parquet(_path(store, f"models/run_id={run_id}/{name}")) for name in ("plans", "nodes"))
+    plans, nodes = (spark.read.parquet(_path(store, run_id, f"models/{name}")) for name in ("plans", "nodes"))
     return plans, nodes
 
 

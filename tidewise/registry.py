@@ -33,7 +33,7 @@ from tidewise.plans.base_table import base_table
 from tidewise.sources import fixtures as fx
 from tidewise.session import scratch_path, write_scratch
 from tidewise.sources.panel import normalize_panel
-from tidewise.sources.raw import base_table_from_files
+from tidewise.sources.raw import accepted_prices, base_table_from_files, load_prices, rejected
 from tidewise.sources.tables import read_table
 
 # Fixed parameters of the registered queries.
@@ -626,6 +626,41 @@ def q_base_table_from_files(spark, sf_dir):
     return base_table_from_files(spark, *paths)
 
 
+def _mixed_price_files(spark, sf_dir, bad: str | None = None) -> str:
+    """Price files of two column orders in one folder; with ``bad``, a text in place of the prices of 1999."""
+    path = scratch_path(spark, "prices")
+    prices = fx.sell_prices(spark, sf_dir)
+    if bad:
+        prices = prices.withColumn("sell_price", F.when(F.col("wm_yr_wk") == 1999, bad).otherwise(
+            F.col("sell_price").cast("string")))
+    early = F.col("wm_yr_wk") <= 1997
+    for part, columns in ((early, ["sell_price", "wm_yr_wk", "store_id", "item_id"]),
+                          (~early, ["store_id", "item_id", "wm_yr_wk", "sell_price"])):
+        prices.filter(part).select(*columns).write.option("header", True).mode("append").csv(path)
+    return path
+
+
+@register("prices_from_mixed_files", f"with {RAW_CTE} select store_id, item_id, wm_yr_wk, sell_price from sell_prices")
+def q_prices_from_mixed_files(spark, sf_dir):
+    """Files of one table with different column orders, each read by its own header."""
+    return load_prices(spark, _mixed_price_files(spark, sf_dir))
+
+
+@register("rejected_prices", f"""with {RAW_CTE}
+select store_id || ',' || item_id || ',1999,n/a' as record, true as known_file from sell_prices where wm_yr_wk = 1999""")
+def q_rejected_prices(spark, sf_dir):
+    """Records whose price is no number."""
+    path = _mixed_price_files(spark, sf_dir, "n/a")
+    return rejected(spark, path, "prices").select("record", F.col("file").endswith(".csv").alias("known_file"))
+
+
+@register("accepted_prices", f"""with {RAW_CTE}
+select store_id, item_id, wm_yr_wk, sell_price from sell_prices where wm_yr_wk <> 1999""")
+def q_accepted_prices(spark, sf_dir):
+    """The records beside the rejected ones."""
+    return accepted_prices(spark, _mixed_price_files(spark, sf_dir, "n/a"))
+
+
 @register("sample_filter", f"""with {RAW_CTE}
 select *, {_BASE_FEATURES_SQL} from flagged
 where state_id = '{SAMPLE["state"]}' and store_id in ('2', '3') and dept_id = '{SAMPLE["dept"]}'
