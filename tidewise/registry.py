@@ -894,27 +894,27 @@ def q_forest_search(spark, sf_dir):
     return rounded(tr.cv_results(tr.forest_scores(panel, ROLES, N_PRED, GROUP, N_FOLDS), N_FOLDS))
 
 
-_CANDIDATES_SQL = ", ".join(f"({i}, '{c['feature_subset']}', {c['min_samples_split']}, {c['max_depth'] or 'null'})"
+_CANDIDATES_SQL = ", ".join(f"({i}, '{c['feature_subset']}', {c['min_samples_split']}, {c['max_depth'] or 'null'}, '{c['criterion']}')"
                             for i, c in enumerate(fr.sample_candidates()))
 
 
 @register("forest_search_report", f"""with {CV_CTE}, sizes as (select segment, count(*) as n from cvtest group by 1)
 select segment, cast(h as bigint) as predict_horizon, cast(candidate as bigint) as candidate, feature_subset,
        cast(min_samples_split as bigint) as min_samples_split, cast(max_depth as bigint) as max_depth,
-       cast(n as bigint) as n, true as better_than_last
+       criterion, cast(n as bigint) as n, true as better_than_last
 from sizes, (values (7), (14), (21), (28)) as v(h),
-     (values {_CANDIDATES_SQL}) as c(candidate, feature_subset, min_samples_split, max_depth)""")
+     (values {_CANDIDATES_SQL}) as c(candidate, feature_subset, min_samples_split, max_depth, criterion)""")
 def q_forest_search_report(spark, sf_dir):
     """Parameters and test rows of every candidate, and whether it beats the Last forecaster."""
     scores = write_scratch(_search(spark, sf_dir)[1]["scores"], "scores")
     means = tr.cv_results(scores, N_FOLDS)
     last = means.filter("model = 'Last'").select("segment", "predict_horizon", F.col("average_mse").alias("last_mse"))
     sizes = scores.groupBy("segment", "predict_horizon", "model", "candidate").agg(F.sum("n").alias("n"))
-    p = F.from_json("params", "feature_subset string, min_samples_split bigint, max_depth bigint")
+    p = F.from_json("params", "feature_subset string, min_samples_split bigint, max_depth bigint, criterion string")
     return (means.filter("model = 'RandomForest'").join(sizes, ["segment", "predict_horizon", "model", "candidate"])
             .join(last, ["segment", "predict_horizon"]).withColumn("p", p)
             .select("segment", "predict_horizon", "candidate", "p.feature_subset", "p.min_samples_split", "p.max_depth",
-                    "n", (F.col("average_mse") < F.col("last_mse")).alias("better_than_last")))
+                    "p.criterion", "n", (F.col("average_mse") < F.col("last_mse")).alias("better_than_last")))
 
 
 def _searched_backtest(spark, sf_dir):
