@@ -92,8 +92,9 @@ class Bands:
         if k == 0:
             return Band(number, low, high, 1, 1, 0)
         best, best_rank = None, None
-        for k2 in range(0, min(k, 4) + 1):
-            for n2 in range(k2 + 1, k2 + 5 if k2 else 2):
+        # subsets of two or more cells are enumerated wherever two elements can differ
+        for k2 in range(1 if k >= 2 else 0, min(k, 4) + 1):
+            for n2 in range(k2 + 2 if k2 else 1, k2 + 5 if k2 else 2):
                 for margin in (1.0, 1.1, 1.25, 1.5):
                     n1 = max(1, math.ceil((k + 1) / (k2 + 1) * margin))
                     b = Band(number, low, high, n1, n2, k2)
