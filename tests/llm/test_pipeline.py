@@ -67,7 +67,7 @@ def test_run_and_registration(spark):
     df = cp.run(spark, DIR)
     assert df.columns[:4] == ["doc_id", "source", "lang", "n_tokens"] and df.count() > 0
     names = __spark_entry__.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert names["pipeline"] is cp.run and len(cp.STAGES) == 5
     assert np.all([callable(f) for _, f in cp.STAGES])
 

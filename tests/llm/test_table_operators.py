@@ -76,7 +76,7 @@ def test_mixture_empty_and_clash(spark):
     with pytest.raises(ValueError):
         raking.mixture(df.withColumn("mix_kept", F.lit(1)), {"source": F.col("source")})
     other = raking.mixture(df.withColumn("mix_kept", F.lit(1)), {"source": F.col("source")}, prefix="own_")
-    assert "own_kept" in other.columns
+    assert "own_kept" in other.columns and "own_copies" in other.columns
 
 
 def test_mixture_runs_no_python(spark):

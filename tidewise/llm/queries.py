@@ -89,7 +89,7 @@ def _raking_sql() -> str:
                 weight * t_{c} / sum(weight) over (partition by {c}) as weight from {before})""")
             before = f"s{i}_{c}"
         steps.append(f"""s{i} as (select source, lang, topic, tokens, t_source, t_lang, t_topic,
-            least(weight, tokens / {raking.KEEP}::double) as weight from {before})""")
+            least(weight, {raking.COPIES} * tokens / {raking.KEEP}::double) as weight from {before})""")
         before = f"s{i}"
     shares = ", ".join(f"""sh_{c} as (select {c}, pow(sum(tokens), {raking.POWER}) as part
         from cells group by {c})""" for c in names)
@@ -107,21 +107,23 @@ def _raking_sql() -> str:
     targets as (select cells.*, {targets}, tokens as weight from cells {joins}),
     {", ".join(steps)},
     chances as (select source, lang, topic, weight * {raking.KEEP}::double / tokens as probability from {before})
-    select doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(probability, 1.0), 6) as probability,
+    drawn as (select doc_id, d.source, d.lang, d.topic, n_tokens, coalesce(probability, 1.0) as p,
       cast(concat('0x', substr(md5(concat('{raking.SEED}:', coalesce(cast(doc_id as varchar), 'null'))), 1, 8))
-        as bigint) / 4294967296.0 < coalesce(probability, 1.0) as kept
-    from docs d left join chances c on c.source = d.source and c.lang = d.lang and c.topic = d.topic"""
+        as bigint) / 4294967296.0 as u
+      from docs d left join chances c on c.source = d.source and c.lang = d.lang and c.topic = d.topic)
+    select doc_id, source, lang, topic, n_tokens, round(p, 6) as expected_copies,
+      cast(floor(p) as bigint) + cast(u < p - floor(p) as bigint) as copies from drawn"""
 
 
 @register("op3_source_mixing", _raking_sql())
 def op3(spark, sf_dir):
     mixed = raking.mixture(read_table(spark, sf_dir, "documents"), {
         "source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic("text")},
-        keep=raking.KEEP)  # as the oracle has it; margins that this misses: README
+        keep=raking.KEEP, copies=raking.COPIES)
     return mixed.select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"),
         F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
-        F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
+        F.round("mix_probability", 6).alias("expected_copies"), F.col("mix_copies").alias("copies"))
 
 
 @register("op4_document_fingerprint")

@@ -4,9 +4,11 @@ Documents are summed into cells, one for each combination of the categories (a
 map-side aggregate, so a source with a third of all rows is no hot key). Token
 weights of the cells are raked to the target shares of each category in turn; a
 document is kept with its cell's raked weight per token, times the share of all
-tokens that the sample shall have. As no document is kept more than once, a cell's
-weight is bounded by what the cell has (a probability of 1); the bound is one more step of
-each sweep, so that the other cells make up for scarce ones. Only DataFrame functions.
+tokens that the sample shall have. As no document is kept more than ``copies`` times (once by
+default), a cell's weight is bounded by that many times what the cell has; the bound is one
+more step of each sweep, so that the other cells make up for scarce ones. With copies the
+expected number of a document's copies takes the place of its probability: the whole part
+is sure, the rest is drawn. Only DataFrame functions.
 
 The sample is as large as the targets allow: the share of all tokens is the largest for which
 no category value lacks more than half of ``TOLERANCE``, and sweeps go on until every
@@ -41,7 +43,8 @@ from tidewise.llm.scratch import saved
 
 SWEEPS = 6
 POWER = 0.7
-KEEP = 0.75  # share of all tokens in op3's sample, where the bounds allow it
+KEEP = 0.75  # share of all tokens in op3's sample
+COPIES = 4   # of one document in op3's sample, at most
 TOLERANCE = 5e-4  # of a margin, as a part of all tokens
 MOST_SWEEPS = 100
 PATIENCE = 15  # sweeps before the share is lowered
@@ -68,10 +71,10 @@ def uniform(id_col: str = "doc_id", seed: int = SEED) -> Column:
 
 
 def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
-          keep: float | None = None, sweeps: int = SWEEPS) -> tuple[DataFrame, float]:
+          keep: float | None = None, sweeps: int = SWEEPS, copies: int = 1) -> tuple[DataFrame, float]:
     """``cells`` (categories, tokens) with ``weight``: the raked number of tokens, of as
-    many in all, and at most tokens / keep; and ``keep``, the largest that meets the targets
-    unless given."""
+    many in all, and at most copies * tokens / keep; and ``keep``, the largest that meets the
+    targets unless given."""
     total = Window.partitionBy()
     n = cells.agg(F.sum("tokens")).first()[0] or 0
     for c in categories:
@@ -85,13 +88,13 @@ def raked(cells: DataFrame, categories: tuple[str, ...], power: float = POWER,
     if not fixed:
         least = F.col("target") - F.lit(TOLERANCE / 2)
         keep = min(1.0, _margins(cells, categories, "tokens").filter(least > 0)
-                   .agg(F.min(F.col("got") / least)).first()[0] or 1.0)
+                   .agg(F.min(copies * F.col("got") / least)).first()[0] or 1.0)
     for i in range(sweeps if fixed else MOST_SWEEPS):
         for c in categories:
             factor = cells.groupBy(c).agg(F.sum("weight").alias("got"))
             cells = (cells.join(factor, c)
                      .withColumn("weight", F.col("weight") * F.col(f"target_{c}") / F.col("got")).drop("got"))
-        cells = saved(cells.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(keep))), "cells")
+        cells = saved(cells.withColumn("weight", F.least("weight", copies * F.col("tokens") / F.lit(keep))), "cells")
         if fixed:
             continue
         missed = _margins(cells, categories, "weight").agg(F.max(F.abs(F.col("got") - F.col("target")))).first()[0]
@@ -131,9 +134,10 @@ def margins(mixed: DataFrame, categories: tuple[str, ...], power: float = POWER,
 
 def mixture(docs: DataFrame, categories: dict[str, Column], id_col: str = "doc_id",
             text_col: str = "text", power: float = POWER, keep: float | None = None, sweeps: int = SWEEPS,
-            seed: int = SEED, prefix: str = "mix_") -> DataFrame:
-    """``docs`` with <prefix>tokens, the categories (<prefix>name), <prefix>probability
-    and <prefix>kept. Without ``keep`` the sample is as large as the targets allow."""
+            seed: int = SEED, prefix: str = "mix_", copies: int = 1) -> DataFrame:
+    """``docs`` with <prefix>tokens, the categories (<prefix>name), <prefix>probability (the expected
+    copies), <prefix>copies and <prefix>kept (a copy or more). Without ``keep`` the sample is as
+    large as the targets allow."""
     if any(c.lower().startswith(prefix) for c in docs.columns):
         raise ValueError(f"columns must not begin with {prefix!r}")
     names = tuple(prefix + c for c in categories)
@@ -141,10 +145,13 @@ def mixture(docs: DataFrame, categories: dict[str, Column], id_col: str = "doc_i
                              for c, e in categories.items()}
                             | {prefix + "tokens": tokens(F.col(text_col))})
     cells = docs.groupBy(*names).agg(F.sum(prefix + "tokens").alias("tokens"))
-    full, keep = raked(saved(cells.filter("tokens > 0"), "cells"), names, power, keep, sweeps)
-    chance = F.least(F.lit(1.0), F.col("weight") * keep / F.col("tokens"))  # rounding
+    full, keep = raked(saved(cells.filter("tokens > 0"), "cells"), names, power, keep, sweeps, copies)
+    chance = F.least(F.lit(float(copies)), F.col("weight") * keep / F.col("tokens"))  # rounding
     chances = saved(full.select(*names, chance.alias(prefix + "probability")), "chances")
+    p = F.col(prefix + "probability")
+    drawn = (uniform(id_col, seed) < p - F.floor(p)).cast("long")
     return (docs.join(chances, list(names), "left")
             .withColumn(prefix + "probability", F.coalesce(prefix + "probability", F.lit(1.0)))
-            .withColumn(prefix + "kept", uniform(id_col, seed) < F.col(prefix + "probability"))
-            .select(*docs.columns, prefix + "probability", prefix + "kept"))
+            .withColumn(prefix + "copies", F.floor(p) + drawn)
+            .withColumn(prefix + "kept", F.col(prefix + "copies") > 0)
+            .select(*docs.columns, prefix + "probability", prefix + "copies", prefix + "kept"))
