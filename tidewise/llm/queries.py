@@ -106,7 +106,7 @@ def _raking_sql() -> str:
     {shares},
     targets as (select cells.*, {targets}, tokens as weight from cells {joins}),
     {", ".join(steps)},
-    chances as (select source, lang, topic, weight * {raking.KEEP}::double / tokens as probability from {before})
+    chances as (select source, lang, topic, weight * {raking.KEEP}::double / tokens as probability from {before}),
     drawn as (select doc_id, d.source, d.lang, d.topic, n_tokens, coalesce(probability, 1.0) as p,
       cast(concat('0x', substr(md5(concat('{raking.SEED}:', coalesce(cast(doc_id as varchar), 'null'))), 1, 8))
         as bigint) / 4294967296.0 as u
