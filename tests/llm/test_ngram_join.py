@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tidewise.llm import ngram_join as nj
-from tidewise.llm.components import components
+from tidewise.llm.components import components, merged
 from tidewise.llm.partenum import Bands, signatures
 
 from . import brute
@@ -73,3 +73,14 @@ def test_subsets_of_cells_are_enumerated():
             assert enumerated or bands.differing(band.high, band.high) < 2
             shares.append((emitted, enumerated))
     assert sum(n for n, e in shares if e) > 0.999 * sum(n for n, _ in shares)
+
+
+def test_links_are_merged_into_components(spark):
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (31, 21), (40, 41), (5, 1), (11, 3)]
+
+    def edges(x):
+        return spark.createDataFrame(x, "a long, b long")
+    got = {r.node: r.component for r in merged(components(edges(first)), edges(more)).collect()}
+    assert got == {r.node: r.component for r in components(edges(first + more)).collect()} and len(got) == 13
+    rows = merged(components(edges(first)), edges([])).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, components(edges(first)).collect()))

@@ -30,6 +30,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.unionByName(roots)
 
 
+def merged(comps: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) when ``links`` are added to the components ``comps``: only the components
+    that they touch are joined anew, so the work follows the new links, not the graph."""
+    def of(x):
+        return comps.select(F.col("node").alias(x), F.col("component").alias("c_" + x))
+    touched = links.join(of(a), a, "left").join(of(b), b, "left").select(
+        F.coalesce("c_" + a, a).alias("u"), F.coalesce("c_" + b, b).alias("v"))
+    roots = saved(components(touched, "u", "v"), "roots")
+    old = comps.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    # a node of the links that was in no component is its own, and now another's member
+    new = roots.join(comps.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
+    return saved(old.select("node", F.coalesce("root", "component").alias("component")).unionByName(new), "components")
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether each component is a star around its least node: every larger end has one
     edge, and no smaller end is a larger end of another edge."""

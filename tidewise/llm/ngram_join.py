@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidewise.llm import hashing as H
 from tidewise.llm import packed as P
 from tidewise.llm.bitmap import bitmap
-from tidewise.llm.components import components
+from tidewise.llm.components import components, merged
 from tidewise.llm.partenum import Bands, signatures
 from tidewise.llm.scratch import saved
 
@@ -163,6 +163,12 @@ def _may_link(n_a: int, parity_a: bytes, n_b: int, parity_b: bytes, bands: Bands
     return differ <= bands.differing(n_a, n_b)
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    """No more tasks than the session's shuffle partitions: a join that was split for its skew may
+    have many times as many small ones, each of which would start Python."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _filtered(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     """Pairs whose sizes and parity bitmaps allow a link."""
     def run(batches):
@@ -175,8 +181,8 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     def side(x):
         return nodes.select(F.col("node").alias(x), F.col("n_shingles").alias("n_" + x),
                             F.col("parity").alias("p_" + x))
-    return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(run, "a long, b long"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "p_a", "n_b", "p_b")
+    return _gathered(both).mapInArrow(run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -240,7 +246,7 @@ def _open_pairs(lists: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Ban
             yield from _block_pairs(batch, bands, best)
 
     # the same pairs meet in many lists: they are made distinct by left node, as arrays
-    found = met.mapInArrow(run, "x long, ys array<long>").groupBy("x").agg(
+    found = _gathered(met).mapInArrow(run, "x long, ys array<long>").groupBy("x").agg(
         F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
     pairs = found.select("x", F.explode("ys").alias("y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -347,6 +353,5 @@ def _links(docs, text_col, width, bands, profiles, nodes) -> DataFrame:
     for best in (True, False):
         more = saved(_verified(_open_pairs(lists, nodes, comps, bands, best), sets, bands), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(links)
+            comps = merged(comps, more)
     return comps
