@@ -36,7 +36,10 @@ HEADLINE = [
     "backtest_report",     # test and training errors of three baselines
     "lag_feature_chunked",
     "base_table_from_files",
-    "forest_forecast",     # one distributed forest fit and prediction
+    "lead_target_ranged",
+    "fold_medians",        # imputation values of all models
+    "backtest_month",
+    "forest_forecast",     # 36 forests: every segment, horizon and fold
 ]
 
 

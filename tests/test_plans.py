@@ -15,7 +15,7 @@ def _plan(spark, name):
 
 def test_no_python_in_relational_queries(spark):
     for name in ("backtest_last", "cv_results", "base_table", "calendar_features",
-                 "impute_categorical", "lag_feature_chunked"):
+                 "impute_categorical", "lag_feature", "time_group_bounds_month"):
         plan = _plan(spark, name)
         assert not re.search(r"BatchEvalPython|ArrowEvalPython|PythonUDF", plan), name
 

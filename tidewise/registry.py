@@ -23,16 +23,19 @@ from tidewise.operators import prepare as pp
 from tidewise.operators import profile as pf
 from tidewise.operators.horizons import horizon_list, segment_horizons
 from tidewise.operators.lags import add_lags, horizon_grid, lead_target
-from tidewise.operators.metrics import round_score, rounded
+from tidewise.operators.metrics import round_score, rounded, score_predictions
 from tidewise.operators.splits import group_split_role, split_role, with_role
 from tidewise.plans import backtest as bt
+from tidewise.plans import runs
+from tidewise.plans import tracking as tk
 from tidewise.plans import train as tr
 from tidewise.plans import grove as gv
 from tidewise.plans.backtest import backtest_scores
 from tidewise.plans.base_table import base_table
 from tidewise.sources import fixtures as fx
+from tidewise.sources import sinks
 from tidewise.session import scratch_path, write_scratch
-from tidewise.sources.panel import normalize_panel
+from tidewise.sources.panel import load_base, normalize_panel
 from tidewise.sources.raw import accepted_prices, base_table_from_files, load_prices, rejected
 from tidewise.sources.tables import read_table
 
@@ -128,7 +131,18 @@ HORIZON_UNION = " union all ".join(
 # --------------------------------------------------------------------------
 @register("load_base", f"with {SERIES_CTE} select id, segment, date, y from series")
 def q_load_base(spark, sf_dir):
-    return _series(spark, sf_dir).select("id", "segment", "date", "y")
+    """The panel written as a base file (CSV) and loaded from it."""
+    path = sinks.write_csv(fx.series(spark, sf_dir).select("id", "segment", "date", "y"), scratch_path(spark, "base"))
+    return load_base(spark, path, ROLES, "csv", "id string, segment string, date timestamp_ntz, y double")
+
+
+@register("published_panel", f"with {SERIES_CTE} select id, segment, date, y from series")
+def q_published_panel(spark, sf_dir):
+    """The panel published as a committed version and read through its manifest."""
+    root = scratch_path(spark, "published")
+    sinks.publish_files(_series(spark, sf_dir).limit(0), root)  # a version before it, which is not read
+    sinks.publish_files(_series(spark, sf_dir).select("id", "segment", "date", "y"), root)
+    return sinks.published(spark, root)
 
 
 @register("segments", f"with {SERIES_CTE} select distinct segment from series")
@@ -244,6 +258,15 @@ def q_horizon_grid(spark, sf_dir):
     return horizon_grid(_series(spark, sf_dir), ROLES, HORIZONS)
 
 
+@register("horizon_grid_sink", f"""with {LAGS_CTE}
+select id, segment, date, y, cast(14 as bigint) as predict_horizon, last_14 as last from lags""")
+def q_horizon_grid_sink(spark, sf_dir):
+    """One horizon of the written grid: only its folder is read."""
+    path = sinks.write_grid(horizon_grid(_series(spark, sf_dir), ROLES, HORIZONS), scratch_path(spark, "grid"))
+    grid = spark.read.parquet(path).filter("predict_horizon = 14")
+    return grid.withColumn("predict_horizon", F.col("predict_horizon").cast("bigint"))
+
+
 # --------------------------------------------------------------------------
 # Folds
 # --------------------------------------------------------------------------
@@ -380,6 +403,45 @@ def q_train_best(spark, sf_dir):
     return rounded(tr.train_summary(best))
 
 
+def _stored_run(spark, sf_dir):
+    """A run of all baselines in a store of its own."""
+    store = scratch_path(spark, "store")
+    run_id = runs.train_run(_panel(spark, sf_dir), ROLES, store, N_PRED, GROUP, N_FOLDS,
+                            baselines=("Last", "Mean", "MeanTS"), with_forest=False, project=PROJECT)
+    return store, run_id
+
+
+@register("stored_winners", f"""with {SCORES_CTE}
+select segment, predict_horizon, model, round(average_mse, 6) as average_mse,
+       '{PROJECT}_' || segment || '_' || cast(predict_horizon as varchar) as model_key from best""")
+def q_stored_winners(spark, sf_dir):
+    """Winners written to the run store and read back from its best run."""
+    store, _ = _stored_run(spark, sf_dir)
+    run = tk.best_run(spark, store)
+    return rounded(tk.read_best(spark, store, run["run_id"])).drop("candidate", "params")
+
+
+@register("stored_candidates", f"""with {SCORES_CTE}
+select segment, predict_horizon, model, round(average_mse, 6) as average_mse, round(std_mse, 6) as std_mse,
+       round(split2_test_score, 6) as split2_test_score, cast(predict_horizon as varchar) as horizon_tag from results""")
+def q_stored_candidates(spark, sf_dir):
+    """Candidate records of a stored run: metrics and tags."""
+    got = tk.read_candidates(spark, *_stored_run(spark, sf_dir))
+    return rounded(got.select("segment", "predict_horizon", "model", *(
+        F.col("metrics")[m].alias(m) for m in ("average_mse", "std_mse", "split2_test_score")),
+        F.col("tags")["prediction_horizon"].alias("horizon_tag")))
+
+
+@register("stored_run", f"""with {SCORES_CTE}
+select {N_PRED} as number_predictions, {GROUP} as n_predictions_groupby, {N_FOLDS} as n_folds,
+       'segment' as column_segment_groupby, 'y' as target, round(avg(average_mse), 6) as average_cv_mse from best""")
+def q_stored_run(spark, sf_dir):
+    """The run's own record: settings and overall score."""
+    store, _ = _stored_run(spark, sf_dir)
+    return rounded(tk.read_runs(spark, store).select("number_predictions", "n_predictions_groupby", "n_folds",
+                                                     "column_segment_groupby", "target", "average_cv_mse"))
+
+
 # --------------------------------------------------------------------------
 # Backtest
 # --------------------------------------------------------------------------
@@ -431,6 +493,18 @@ def q_backtest_scores(spark, sf_dir):
     return rounded(bt.backtest_scores(p, ["model", "fold"], ROLES))
 
 
+@register("prediction_scores", f"""with {BT_CTE}
+select cast(fold as bigint) as fold, cast(predict_horizon as bigint) as predict_horizon, count(*) as n,
+       round(avg((prediction - y) * (prediction - y)), 6) as mse
+from btpred where model = 'Last' group by fold, predict_horizon""")
+def q_prediction_scores(spark, sf_dir):
+    """A table of predictions scored against the panel as its truth."""
+    panel = _panel(spark, sf_dir)
+    preds = bt.backtest_predictions(panel, ROLES, N_PRED, GROUP, N_FOLDS, ("Last",)).select(
+        "fold", "predict_horizon", "id", "date", "prediction")
+    return rounded(score_predictions(preds, panel, ["id", "date"], "y", ["fold", "predict_horizon"]))
+
+
 # --------------------------------------------------------------------------
 # Panels by week, month and quarter: steps and offsets of the calendar
 # --------------------------------------------------------------------------
@@ -703,6 +777,27 @@ def q_constant_columns(spark, sf_dir):
     return pf.constant_profile(_featured_series(spark, sf_dir), PROFILE_COLUMNS)
 
 
+FEATURE_KINDS = {"segment": "categorical", "weekday": "categorical", **dict.fromkeys(
+    ["year", "month", "day", "hour", "minute", "second", "microsecond", "nanosecond", "working"], "numeric")}
+
+
+@register("feature_types", f"""with {SERIES_CTE}, featured as (select segment, dayname(date) as weekday, year(date) as year,
+  month(date) as month, day(date) as day, hour(date) as hour, minute(date) as minute, second(date) as second,
+  microsecond(date) % 1000000 as microsecond, 0 as nanosecond, isodow(date) < 6 as working from series)
+""" + " union all ".join(f"select '{c}' as column_name, '{k}' as kind, count({c}) as n_values, "
+                         f"count(distinct {c}) as n_distinct from featured" for c, k in FEATURE_KINDS.items()))
+def q_feature_types(spark, sf_dir):
+    """The features beside the roles, number or category, and how many values they have."""
+    s = _featured_series(spark, sf_dir).withColumns({
+        "weekday": F.date_format("date", "EEEE"), "working": F.weekday("date") < 5})
+    s = s.drop(*[c for c in s.columns if c not in FEATURE_KINDS and c not in ROLES.role_columns()])
+    nums, cats = pf.numeric_categorical(s, ROLES)
+    kinds = {c: "numeric" for c in nums} | {c: "categorical" for c in cats}
+    counts = s.agg(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("kind"), F.count(c).alias("n_values"),
+                              F.count_distinct(c).alias("n_distinct")).alias(c) for c, k in kinds.items()])
+    return counts.select(F.inline(F.array(*kinds)))
+
+
 NUMERIC_IMPUTE = ["Quantity", "sell_price", "snap", "day", "week"]
 CATEGORICAL_IMPUTE = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
