@@ -39,7 +39,6 @@ HEADLINE = [
     "lead_target_ranged",
     "fold_medians",        # imputation values of all models
     "backtest_month",
-    "forest_forecast",     # 36 forests: every segment, horizon and fold
 ]
 
 
