@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewise import Roles
 from tidewise.operators.lags import horizon_grid
@@ -108,3 +109,24 @@ def test_wide_files_with_other_days(spark, tmp_path):
     got = raw.load_sales(spark, str(tmp_path))
     assert got.columns == [*keys.split(","), "d_1", "d_2", "d_10"]
     assert sorted(tuple(r)[5:] for r in got.collect()) == [("CA", 1.0, None, 2.0), ("TX", 6.5, 5.0, None)]
+
+
+def test_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from tidewise.session import OPEN_FOLDERS, write_scratch
+    name, seen, plain = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    before = spark.conf.get(name)
+
+    def parquet(self, *args, **kw):
+        seen.append(spark.conf.get(name))
+        return plain(self, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("predict_horizon"))
+    many = df.withColumn("predict_horizon", F.col("id") % (3 * OPEN_FOLDERS))  # more than are open at once
+    for rows in (df, many):
+        sinks.write_grid(rows, str(tmp_path / "g"))
+        assert spark.read.parquet(str(tmp_path / "g")).exceptAll(
+            rows.withColumn("predict_horizon", F.col("predict_horizon").cast("int"))).isEmpty()
+        assert write_scratch(rows, "folders", ["predict_horizon"]).count() == 3000
+    assert seen == [str(OPEN_FOLDERS)] * 4 and spark.conf.get(name) == before

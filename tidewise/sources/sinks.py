@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewise.session import write_folders
+
 MANIFEST_SCHEMA = "version string, committed_at timestamp, content string"
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   mode: str = "overwrite") -> str:
-    w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        write_folders(df, path, partition_by, mode)
+    else:
+        df.write.mode(mode).parquet(path)
     return path
 
 
