@@ -164,3 +164,13 @@ def test_backoff_scores_repeated_ids_and_empty(spark):
     assert got[1].n_words == 4 and math.isclose(got[1].mean_log_score, 0.0, abs_tol=1e-12)
     assert (got[2].n_words, got[2].log_score, got[2].mean_log_score) == (0, 0.0, None)
     assert lm_score.backoff_scores(df.limit(0)).collect() == []
+
+
+def test_texts_are_decoded_together():
+    own = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for texts in (["", "The cat, the hat!", "", "x", "naïve 你好 <|endoftext|>", ""], ["", ""], []):
+        ids = [np.array(own.library.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
+        bounds = np.array([0, *map(len, ids)]).cumsum()
+        got = own.decode_all(np.concatenate([np.zeros(0, np.int32), *ids]), bounds)
+        got.validate(full=True)
+        assert got.to_pylist() == [own.library.decode(i.tolist(), skip_special_tokens=False) for i in ids]

@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from tidewise.llm import hashing as H
 WINDOW = 16
 CHUNK = 1024           # bytes, about; a power of two
 KEPT_CHUNKS = 10_000   # in a task's store
-KEPT_WORDS = 220_000   # in each of two generations; the older one goes first
+KEPT_WORDS = 320_000   # in each of two generations; the older one goes first
 LONGEST_KEPT = 64      # characters of a word that is kept
 JOINED = 200           # new words in one call of the library
 EDGE = 8               # whole words at either end of a chunk that a window may take in
@@ -75,6 +76,7 @@ class Encoder:
         self.pieces: list[str] = [""] * (max(vocabulary.values(), default=-1) + 1)
         for piece, i in vocabulary.items():
             self.pieces[i] = piece
+        self.spelled: pa.Array | None = None
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.chunks: dict[bytes, tuple[str, bytes, list[str], list[str], str] | str] = {}
@@ -101,23 +103,22 @@ class Encoder:
     def _learn(self, words) -> dict[str, bytes]:
         """The ids of words, all of which are then kept (long ones: returned only)."""
         known, older = self.words, self.older
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        words = set(words)
+        new = words.difference(known)
         if len(known) + len(new) > KEPT_WORDS:
             self.older, self.words = known, {"": b""}
             known, older = self.words, self.older
-            new = list(dict.fromkeys(words))
-        unknown, long = [], {}
-        for w in new:
-            if w in older:
-                known[w] = older[w]
-            else:
-                unknown.append(w)
-        for w, ids in zip(unknown, self._encode_words(unknown)):
-            (known if len(w) <= LONGEST_KEPT else long)[w] = ids
-        return long
+            new = words
+        unknown = list(new.difference(older))
+        again = new.difference(unknown)
+        known.update(zip(again, map(older.__getitem__, again)))
+        known.update(zip(unknown, self._encode_words(unknown)))
+        return {w: known.pop(w) for w in unknown if len(w) > LONGEST_KEPT}
 
     def _ids(self, words: list[str], long: dict[str, bytes]) -> list[bytes]:
         known = self.words
+        if not long:
+            return list(map(known.__getitem__, words))
         return [known[w] if w in known else long[w] for w in words]
 
     def _read_chunks(self, blocks: list[bytes]) -> list:
@@ -127,9 +128,9 @@ class Encoder:
             self.chunks = {}
         new = {b: b.decode().replace("\n", " ").split(" ") for b in dict.fromkeys(blocks)
                if b not in self.chunks}
-        long = self._learn([w for parts in new.values() for w in parts[1:-1]])
+        long = self._learn(chain.from_iterable(parts[1:-1] for parts in new.values()))
         for block, parts in new.items():
-            inner = [w for w in parts[1:-1] if w]
+            inner = list(filter(None, parts[1:-1]))
             self.chunks[block] = parts[0] if len(parts) == 1 else (
                 parts[0], b"".join(self._ids(inner, long)), inner[:EDGE], inner[-EDGE:], parts[-1])
         return [self.chunks[b] for b in blocks]
@@ -196,6 +197,16 @@ class Encoder:
         """As the library's decode without a decoder, special tokens kept."""
         return " ".join(map(self.pieces.__getitem__, ids.tolist()))
 
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """``decode`` of texts whose ids stand end to end, text i's at ``bounds[i]:bounds[i + 1]``."""
+        if self.spelled is None:  # each piece with a blank behind it, then each as it is
+            self.spelled = pa.array([p + " " for p in self.pieces] + self.pieces, pa.large_string())
+        ids = ids.astype(np.int64)
+        ids[bounds[1:][np.diff(bounds) > 0] - 1] += len(self.pieces)  # the last of each text
+        spelled = self.spelled.take(pa.array(ids))
+        ends = np.frombuffer(spelled.buffers()[1], np.int64, len(ids) + 1)[bounds].astype(np.int32)
+        return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(ends), spelled.buffers()[2])
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -229,11 +240,11 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
             for a, b, got in _encoded(batch, "__text", own):
                 some = batch.slice(a, b - a)
                 lengths = np.array([0, *map(len, got)]).cumsum() // 4
-                ids = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()),
-                                               pa.array(np.frombuffer(b"".join(got), np.int32)))
+                flat = np.frombuffer(b"".join(got), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))
                 columns = [some.column(i) for i in range(len(keep))] + [ids]
                 if decode:
-                    columns.append(pa.array([own.decode(np.frombuffer(x, np.int32)) for x in got], pa.string()))
+                    columns.append(own.decode_all(flat, lengths))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return inputs.mapInArrow(run, ", ".join([*kinds, "ids array<int>", *["decoded string"] * decode]))
